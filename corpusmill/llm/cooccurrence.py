@@ -10,8 +10,8 @@ from corpusmill.runtime import stage
 
 
 def clean_item(c: Column) -> Column:
-    """Lower case, one blank between words, no punctuation at either end; accents are kept. Null where nothing is left."""
-    s = F.regexp_replace(F.lower(c), r"[\s_ ]+", " ")
+    """Lower case, one blank for white space, underscores and hyphens, no punctuation at either end; accents and apostrophes are kept. Null where nothing is left."""
+    s = F.regexp_replace(F.lower(c), r"[\s\p{Z}_-]+", " ")
     s = F.regexp_replace(s, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
     return F.nullif(s, F.lit(""))
 

@@ -7,7 +7,7 @@ recs as (select id, topics, geographic from shelf_features where id is not null)
 raw as (select id, unnest(list_concat(coalesce(topics, []), coalesce(geographic, []))) as x from recs),
 items as (
   select distinct id, item from (
-    select id, nullif(regexp_replace(regexp_replace(lower(x), '[\s_]+', ' ', 'g'), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'), '') as item from raw
+    select id, nullif(regexp_replace(regexp_replace(lower(x), '[\s\p{Z}_-]+', ' ', 'g'), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g'), '') as item from raw
   ) where item is not null),
 n as (select count(distinct id) as n from recs),
 cnt as (select item, count(*) as c from items group by item),

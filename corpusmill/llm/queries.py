@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import cooccurrence, grouped_split, target_sample, text_quality
+from corpusmill.llm import cooccurrence, grouped_split, mixing, packing, target_sample, text_quality, tokens
+from corpusmill.runtime import stage
 from corpusmill.sources.tables import table
 
 
@@ -62,5 +63,30 @@ def p7_split(spark: SparkSession, d: str) -> DataFrame:
     return grouped_split.grouped_split(groups, {"train": 0.8, "validation": 0.1, "test": 0.1}).select(F.col("row").alias("rec_no"), "split")
 
 
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    return stage(tokens.token_counts(table(spark, d, "documents").select("doc_id", "source", "text"), keep=["doc_id", "source"]), "sizes")
+
+
+def p8_pack(spark: SparkSession, d: str) -> DataFrame:
+    sizes = _sized(spark, d)
+    kinds = table(spark, d, "pack_capacities").collect()  # the sizes of containers: a handful of rows
+    out = None
+    for r in kinds:
+        one = packing.pack(sizes, r["capacity_tokens"], ["doc_id"]).select(F.lit(r["container_kind"]).alias("container_kind"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    targets = table(spark, d, "mix_targets")
+    order = {r["source"]: i for i, r in enumerate(targets.select("source").distinct().orderBy("source").collect())}
+    ramps = {s: (i % 3 - 1) * 0.5 for s, i in order.items()}  # a third each fades out, stays, fades in
+    return mixing.mix(_sized(spark, d), targets, ramps=ramps)[0]
+
+
+def p9_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1].isdigit()}
