@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import cooccurrence, grouped_split, mixing, packing, target_sample, text_quality, tokens
+from corpusmill.llm import cooccurrence, grouped_split, mixing, packing, target_sample, text_quality, tokens, truncation
 from corpusmill.runtime import stage
 from corpusmill.sources.tables import table
 
@@ -28,6 +28,18 @@ def p1_association(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", r("lift"), r("pmi"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation(table(spark, d, "shelf_features"))[0].where("is_cut").select("rec_no")
+
+
+def p2_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.cut_rates(truncation.truncation(table(spark, d, "shelf_features"))[0])
+
+
+def p2_limits(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation(table(spark, d, "shelf_features"))[1]
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d)[1].where("not can_be_met").select("facet", "category")
 
