@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import cooccurrence, grouped_split, mixing, packing, target_sample, text_quality, tokens, truncation
+from corpusmill.llm import cooccurrence, grouped_split, mixing, near_duplicates, packing, target_sample, text_quality, tokens, truncation
+from corpusmill.operators.blocks import pairs_within
 from corpusmill.runtime import stage
 from corpusmill.sources.tables import table
 
@@ -56,6 +57,18 @@ def p4_gaps(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d)[1]
 
 
+#: Similar in the sense of the test data: sets of three-word runs, at least 0.6 of them in common.
+WORDS, SIMILARITY = 3, 0.6
+
+
+def p5_groups(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates.near_duplicate_groups(table(spark, d, "shelf_features"), similarity=SIMILARITY, words=WORDS)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs_within(p5_groups(spark, d), ["group"], "rec_no").select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b"))
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return text_quality.text_quality(table(spark, d, "shelf_features")).where("not is_natural").select("rec_no")
 
