@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import cooccurrence, grouped_split, mixing, near_duplicates, packing, target_sample, text_quality, tokens, truncation
+from corpusmill.llm import cooccurrence, grouped_split, mixing, near_duplicates, packing, split_overlap, target_sample, text_quality, tokens, truncation
 from corpusmill.operators.blocks import pairs_within
 from corpusmill.runtime import stage
 from corpusmill.sources.tables import table
 
 
+#: Similar in the sense of the test data: sets of three-word runs, at least 0.6 of them in common.
+WORDS, SIMILARITY = 3, 0.6
+
+
 def _pairs(spark: SparkSession, d: str) -> DataFrame:
     shelf = table(spark, d, "shelf_features")
     n = shelf.where("id is not null").select("id").distinct().count()
@@ -41,6 +45,19 @@ def p2_limits(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation(table(spark, d, "shelf_features"))[1]
 
 
+def _overlaps(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.split_overlap(table(spark, d, "shelf_features"), similarity=SIMILARITY, words=WORDS)
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    o = _overlaps(spark, d)
+    return o.select(F.least("train_row", "eval_row").alias("rec_a"), F.greatest("train_row", "eval_row").alias("rec_b")).distinct()
+
+
+def p3_counts(spark: SparkSession, d: str) -> DataFrame:
+    return split_overlap.overlap_counts(_overlaps(spark, d), table(spark, d, "shelf_features"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d)[1].where("not can_be_met").select("facet", "category")
 
@@ -57,10 +74,6 @@ def p4_gaps(spark: SparkSession, d: str) -> DataFrame:
     return _sample(spark, d)[1]
 
 
-#: Similar in the sense of the test data: sets of three-word runs, at least 0.6 of them in common.
-WORDS, SIMILARITY = 3, 0.6
-
-
 def p5_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_duplicates.near_duplicate_groups(table(spark, d, "shelf_features"), similarity=SIMILARITY, words=WORDS)
 
