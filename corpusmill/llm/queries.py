@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import cooccurrence, grouped_split, mixing, near_duplicates, packing, split_overlap, target_sample, text_quality, tokens, truncation
+from corpusmill.llm import cooccurrence, grouped_split, mixing, near_duplicates, packing, pii, split_overlap, target_sample, text_quality, tokens, truncation
 from corpusmill.operators.blocks import pairs_within
 from corpusmill.runtime import stage
 from corpusmill.sources.tables import table
@@ -126,5 +126,21 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
 
 
+def _pii(spark: SparkSession, d: str):
+    docs = table(spark, d, "documents")
+    places = tuple(sorted(r[0] for r in table(spark, d, "place_regions").select("place").distinct().collect()))  # a fixed table of dozens
+    return docs, pii.fit_pii(docs, "doc_id", places=places)
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    docs, model = _pii(spark, d)
+    return pii.find_pii(docs, model).select("doc_id", "kind", "pii").distinct()
+
+
+def p10_redacted(spark: SparkSession, d: str) -> DataFrame:
+    docs, model = _pii(spark, d)
+    return pii.redact(docs.select("doc_id", "text"), model).select("doc_id", "redacted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("p") and name[1].isdigit()}
