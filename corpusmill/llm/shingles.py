@@ -51,13 +51,20 @@ def token_batch(texts, ids: WordIds) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(out) if out else np.empty(0, np.uint64)), np.cumsum(n)
 
 
-def shingle_batch(tokens: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
-    """The sorted set of k-word shingles of each text; a text of fewer words has one shingle, all of it, and a text without words none."""
+def shingles_at(tokens: np.ndarray, k: int) -> np.ndarray:
+    """The shingle that begins at each word but the last k - 1."""
+    n = max(len(tokens) - k + 1, 0)
     with np.errstate(over="ignore"):
-        n = max(len(tokens) - k + 1, 0)
         h = np.full(n, M1, np.uint64)
         for j in range(k):
             h = mix(h * M1 + tokens[j : j + n])
+    return h
+
+
+def shingle_batch(tokens: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
+    """The sorted set of k-word shingles of each text; a text of fewer words has one shingle, all of it, and a text without words none."""
+    with np.errstate(over="ignore"):
+        h = shingles_at(tokens, k)
         out = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             if b - a >= k:

@@ -13,12 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shingles import WordIds, least_overlap, prefix_length, shingle_batch, token_batch
+from corpusmill.llm.shingles import WordIds, least_overlap, shingle_batch, shingles_at, token_batch
 from corpusmill.runtime import shared_dir, stage
 
 #: Words an index is sorted by, so the longest match that one search finds; longer matches are merged from overlapping ones.
 DEPTH = 8
 SHARD_WORDS = 4_000_000
+SKETCH_BITS = 1024
 
 
 def _write(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -79,7 +80,7 @@ class WordIndex:
     doc: the text of each suffix. first: where each symbol's suffixes begin. text, start: the texts and where each begins.
     """
 
-    PARTS = ("vocab", "last", "doc", "first", "text", "start", "key", "size")
+    PARTS = ("vocab", "last", "doc", "first", "text", "start", "key", "size", "sketch")
 
     def __init__(self, part):
         for k in self.PARTS:
@@ -87,7 +88,7 @@ class WordIndex:
         self.n = len(self.text)
 
     @classmethod
-    def build(cls, tokens: np.ndarray, offsets: np.ndarray, keys: np.ndarray, sizes: np.ndarray) -> dict[str, np.ndarray]:
+    def build(cls, tokens: np.ndarray, offsets: np.ndarray, keys: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> dict[str, np.ndarray]:
         vocab, symbol = np.unique(tokens, return_inverse=True)
         n_docs = len(offsets) - 1
         n = len(tokens) + n_docs
@@ -99,7 +100,7 @@ class WordIndex:
         last = text[order - 1].astype(np.int64)
         doc = (np.searchsorted(start, order, side="right") - 1).astype(np.int32)
         first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(vocab) + 1))])
-        return {"vocab": vocab, "last": np.sort(last * (n + 1) + np.arange(n)), "doc": doc, "first": first, "text": text, "start": np.append(start, n), "key": keys, "size": sizes}
+        return {"vocab": vocab, "last": np.sort(last * (n + 1) + np.arange(n)), "doc": doc, "first": first, "text": text, "start": np.append(start, n), "key": keys, "size": sizes, "sketch": sketches}
 
     def symbols(self, tokens: np.ndarray) -> np.ndarray:
         """The symbol of each word, -1 for words that no text has."""
@@ -139,6 +140,26 @@ class WordIndex:
         return np.asarray(self.vocab)[np.asarray(self.text[self.start[d] : self.start[d + 1] - 1]) - 1]
 
 
+def sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """Bit vectors in which each shingle flips one bit: those of two sets differ in at most as many bits as the sets in shingles."""
+    out = np.empty((len(sets), SKETCH_BITS // 64), np.uint64)
+    for i, s in enumerate(sets):
+        bits = np.bincount((s >> np.uint64(20)) % np.uint64(SKETCH_BITS), minlength=SKETCH_BITS) & 1
+        out[i] = np.packbits(bits.astype(np.uint8)).view("<u8")
+    return out
+
+
+def merged_spans(tokens: np.ndarray, other: np.ndarray, k: int) -> tuple[int, int]:
+    """(words of the longest match, words within matches) of a text against a set of shingles: overlapping matches are merged to spans."""
+    hit = np.isin(shingles_at(tokens, k), other)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
+    begin, end = edge[::2], edge[1::2] + k - 1
+    covered = np.zeros(len(tokens) + 1, np.int64)
+    np.add.at(covered, begin, 1)
+    np.add.at(covered, end, -1)
+    return int((end - begin).max(initial=0)), int((np.cumsum(covered) > 0).sum())
+
+
 def _build(path: str, k: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
@@ -148,15 +169,16 @@ def _build(path: str, k: int):
         held, no = [], 0
 
         def close():
-            tokens, keys, sizes, lens = (np.concatenate([h[i] for h in held]) for i in range(4))
-            _write(path, f"{shard}-{no}", WordIndex.build(tokens, np.concatenate([[0], np.cumsum(lens)]), keys, sizes))
+            tokens, keys, sizes, lens, sketches = (np.concatenate([h[i] for h in held]) for i in range(5))
+            _write(path, f"{shard}-{no}", WordIndex.build(tokens, np.concatenate([[0], np.cumsum(lens)]), keys, sizes, sketches))
             return pd.DataFrame({"shard": [f"{shard}-{no}"], "least": [int(sizes.min())], "most": [int(sizes.max())], "texts": [len(keys)], "words": [len(tokens)]})
 
         for pdf in batches:
             tokens, offsets = token_batch(pdf["text"], ids)
-            sizes = np.array([len(s) for s in shingle_batch(tokens, offsets, k)], np.int64)
+            sets = shingle_batch(tokens, offsets, k)
+            sizes = np.array([len(s) for s in sets], np.int64)
             keep = sizes > 0  # a text without words has no tokens either: offsets stay right
-            held.append((tokens, pdf["key"].to_numpy()[keep], sizes[keep], np.diff(offsets)[keep]))
+            held.append((tokens, pdf["key"].to_numpy()[keep], sizes[keep], np.diff(offsets)[keep], sketch([s for s in sets if len(s)])))
             if sum(len(h[0]) for h in held) >= SHARD_WORDS:
                 yield close()
                 held, no = [], no + 1
@@ -169,8 +191,8 @@ def _build(path: str, k: int):
 def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: float):
     """Streams training texts through the shards whose texts can be similar by size."""
 
-    def one(ix: WordIndex, sets_of: dict, tokens, offsets, sets, docs) -> list[tuple[int, int, int, int]]:
-        """(training text, indexed text, shared shingles, union) of similar pairs, for the texts `docs` of a batch."""
+    def one(ix: WordIndex, sets_of: dict, tokens, offsets, sets, sketches, docs) -> list[tuple[int, ...]]:
+        """(training text, indexed text, shared shingles, union, longest match, matched words) of similar pairs, for the texts `docs` of a batch."""
         pieces = np.concatenate([np.arange(offsets[d], offsets[d + 1]) for d in docs])
         sym = ix.symbols(tokens[pieces])
         lens = np.array([offsets[d + 1] - offsets[d] for d in docs])
@@ -200,24 +222,33 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
         quota = n - np.ceil(similarity * n - 1e-9) + 1 - (n - present)
         by = by[enough[by["own"]]].sort_values(["own", "count", "run"], kind="stable")
         rank = by.groupby("own").cumcount().to_numpy()
-        by = by[rank < quota[by["own"]]]
+        own_before = by["own"].to_numpy()
+        by = by[rank < quota[own_before]]
         if not len(by):
             return []
         c = by["count"].to_numpy()
         spot = np.repeat(lo[by["run"]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        pair = np.unique(np.repeat(by["own"].to_numpy(), c).astype(np.int64) << np.int64(32) | np.asarray(ix.doc)[spot])
-        a, b = pair >> 32, pair & 0xFFFFFFFF
+        a, b = np.repeat(by["own"].to_numpy(), c).astype(np.int64), np.asarray(ix.doc)[spot].astype(np.int64)
+        # so many of the text's shingles come before this one in the order, absent ones among them: the rest must still be enough
+        before = np.repeat(rank[rank < quota[own_before]] + (n - present)[by["own"]], c)
         nb = np.asarray(ix.size)[b]
-        fits = (np.minimum(n[a], nb) >= similarity * np.maximum(n[a], nb) - 1e-9)
+        need = least_overlap(n[a], nb, similarity)
+        fits = (np.minimum(n[a], nb) >= similarity * np.maximum(n[a], nb) - 1e-9) & (n[a] - before >= need)
+        pair = np.unique(a[fits] << np.int64(32) | b[fits])
+        a, b = pair >> 32, pair & 0xFFFFFFFF
+        mine, theirs = sketches[docs], np.asarray(ix.sketch)
+        far = np.concatenate([np.bitwise_count(mine[a[i : i + 65536]] ^ theirs[b[i : i + 65536]]).sum(1, dtype=np.int64) for i in range(0, len(a), 65536)]) if len(a) else np.empty(0, np.int64)
+        near = far <= np.floor((1 - similarity) / (1 + similarity) * (n[a] + np.asarray(ix.size)[b]) + 1e-9)
         out = []
-        for x, y in zip(a[fits].tolist(), b[fits].tolist(), strict=True):
+        for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
             other = sets_of.get(y)
             if other is None:
                 w = ix.words_of(y)
                 other = sets_of[y] = shingle_batch(w, np.array([0, len(w)]), k)[0]
-            both = len(np.intersect1d(sets[docs[x]], other, assume_unique=True))
+            d = docs[x]
+            both = len(np.intersect1d(sets[d], other, assume_unique=True))
             if both >= least_overlap(n[x], len(other), similarity):
-                out.append((docs[x], y, both, int(n[x]) + len(other) - both))
+                out.append((d, y, both, int(n[x]) + len(other) - both, *merged_spans(tokens[offsets[d] : offsets[d + 1]], other, k)))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,6 +259,7 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
             sets = shingle_batch(tokens, offsets, k)
             n = np.array([len(s) for s in sets])
             width = np.diff(offsets)
+            sketches = sketch(sets)
             keys = pdf["key"].to_numpy()
             rows = []
             for name, least, most in shards:
@@ -240,22 +272,24 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
                 ix, sets_of = open_[name]
                 if len(sets_of) > 100_000:
                     sets_of.clear()
-                for d, y, both, union in one(ix, sets_of, tokens, offsets, sets, docs) if docs else []:
-                    rows.append((keys[d], int(ix.key[y]), both, union))
+                for d, y, *rest in one(ix, sets_of, tokens, offsets, sets, sketches, docs) if docs else []:
+                    rows.append((keys[d], int(ix.key[y]), *rest))
                 if short:  # texts shorter than a shingle are similar to equal ones only
                     starts, ends = np.asarray(ix.start[:-1]), np.asarray(ix.start[1:]) - 1
                     tiny = {ix.words_of(int(y)).tobytes(): int(ix.key[y]) for y in np.flatnonzero(ends - starts < k)}
                     for d in short:
                         y = tiny.get(tokens[offsets[d] : offsets[d + 1]].tobytes())
                         if y is not None:
-                            rows.append((keys[d], y, 1, 1))
-            yield pd.DataFrame(rows, columns=["train_key", "eval_key", "shared", "total"])
+                            rows.append((keys[d], y, 1, 1, int(width[d]), int(width[d])))
+            yield pd.DataFrame(rows, columns=["train_key", "eval_key", "shared", "total", "longest", "matched"])
 
     return run
 
 
 def split_overlap(df: DataFrame, row: str = "rec_no", text: str = "text", split: str = "split", train: str = "train", evals: tuple[str, ...] = ("dev", "test"), similarity: float = 0.8, words: int = 5) -> DataFrame:
-    """(train_row, eval_row, eval_split, shared, total) for each training row and evaluation row of similar texts; similarity = shared / total.
+    """(train_row, eval_row, eval_split, shared, total, longest, matched) for each training row and evaluation row of similar texts.
+
+    similarity = shared / total in shingles; longest and matched: words of the longest match, and within all matches, merged to spans.
 
     Similar: Jaccard similarity of the sets of `words`-word shingles at least `similarity` (a text of fewer words is one
     shingle). Distinct evaluation texts, in order of length, become shards of a word-level FM-index, at most SHARD_WORDS words and one
@@ -275,11 +309,11 @@ def split_overlap(df: DataFrame, row: str = "rec_no", text: str = "text", split:
     sized = one("eval").withColumn("len", F.length("text")).repartitionByRange(parts, "len", "key").select("key", "text")
     shards = sized.mapInPandas(_build(path, words), "shard string, least long, most long, texts long, words long").collect()  # a row for each shard
     plan = [(r["shard"], r["least"], r["most"]) for r in shards]
-    found = stage(one("train").mapInPandas(_probe(path, plan, words, similarity), "train_key long, eval_key long, shared long, total long"), "overlaps")
+    found = stage(one("train").mapInPandas(_probe(path, plan, words, similarity), "train_key long, eval_key long, shared long, total long, longest long, matched long"), "overlaps")
     rows = src.select("row", "split", "key")
     left = rows.where(F.col("split") == train).select(F.col("key").alias("train_key"), F.col("row").alias("train_row"))
     right = rows.where(F.col("split") != train).select(F.col("key").alias("eval_key"), F.col("row").alias("eval_row"), F.col("split").alias("eval_split"))
-    return found.join(left, "train_key").join(right, "eval_key").select("train_row", "eval_row", "eval_split", "shared", "total")
+    return found.join(left, "train_key").join(right, "eval_key").select("train_row", "eval_row", "eval_split", "shared", "total", "longest", "matched")
 
 
 def overlap_counts(overlaps: DataFrame, df: DataFrame, row: str = "rec_no", source: str = "model") -> DataFrame:
