@@ -14,7 +14,7 @@ from corpusmill.operators.blocks import pairs_within
 from corpusmill.operators.graph import connected_components
 from corpusmill.runtime import stage
 
-SEGMENTS, COUNTERS = 8, 1 << 20
+SEGMENTS, COUNTERS, FINE_BITS = 8, 1 << 20, 2048
 #: Key groups up to this size are compared within a task; larger ones are split by a second shared shingle.
 GROUP = 256
 RECORD = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "<u4"), ("at", "<u4")])
@@ -193,6 +193,70 @@ def ring_filter(budget: Column, d: list[Column]) -> Column:
     return start
 
 
+FILTER_BITS = 1 << 26
+
+
+def _slots(ids: np.ndarray) -> list[np.ndarray]:
+    h = ids.view(np.uint64)
+    return [(h >> np.uint64(r)) % np.uint64(FILTER_BITS) for r in (0, 19, 37)]
+
+
+def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bits = np.zeros(FILTER_BITS, bool)
+    for pdf in batches:
+        for slot in _slots(pdf["set"].to_numpy()):
+            bits[slot] = True
+    yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+
+
+def _unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for pdf in batches:
+        for b in pdf["bits"]:
+            bits |= np.frombuffer(b, np.uint8)
+    yield pd.DataFrame({"bits": [bits.tobytes()]})
+
+
+def only_involved(sets: DataFrame, involved: DataFrame) -> DataFrame:
+    """The rows of `sets` whose set is in `involved`, and a few others; a Bloom filter of 8 MB, whatever the collection, spares the rest a shuffle."""
+    marks = involved.coalesce(4).mapInPandas(_mark, "bits binary").repartition(1).mapInPandas(_unite, "bits binary").first()
+    shared = sets.sparkSession.sparkContext.broadcast(marks["bits"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = np.frombuffer(shared.value, np.uint8)
+        for pdf in batches:
+            keep = np.ones(len(pdf), bool)
+            for slot in _slots(pdf["set"].to_numpy()):
+                keep &= (bits[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 == 1
+            yield pdf[keep]
+
+    return sets.mapInPandas(run, sets.schema)
+
+
+def _fine_sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        out = []
+        for s in pdf["shingles"]:
+            bits = np.bincount((np.frombuffer(s, "<u8") >> np.uint64(16)) % np.uint64(FINE_BITS), minlength=FINE_BITS) & 1
+            out.append(np.packbits(bits.astype(np.uint8)).tobytes())
+        yield pdf[["set", "n"]].assign(fine=out)
+
+
+def _near(similarity: float):
+    """The ring filter's last chain, the sum, on the finer vectors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            x = np.frombuffer(b"".join(pdf["fa"]), np.uint64).reshape(len(pdf), -1)
+            y = np.frombuffer(b"".join(pdf["fb"]), np.uint64).reshape(len(pdf), -1)
+            far = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+            yield pdf.loc[far <= np.floor((1 - similarity) / (1 + similarity) * (pdf["na"] + pdf["nb"]) + 1e-9), ["a", "b"]]
+
+    return run
+
+
 def _verify(similarity: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -214,8 +278,8 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
        by range of the shingle to tasks that pair sets with a shingle in common. Any two similar sets meet there; frequent
        shingles come last in the order and are hardly ever sent. 2. Groups of more than GROUP sets at a shingle are not paired:
        their sets are sent again by two shingles, which similar sets share too if they share more than one. 3. The ring
-       of segments of the sets' bit vectors must hold a start from which all chains stay within their share of the distance. 4. The full distance is
-       computed on the shingles. Nothing is capped and no step loses a pair.
+       of segments of the sets' bit vectors must hold a start from which all chains stay within their share of the distance; what is left is held
+       against longer vectors. 4. The full distance is computed on the shingles. Nothing is capped and no step loses a pair.
     """
     spark = sets.sparkSession
     frequency = spark.sparkContext.broadcast(shingle_frequencies(sets))  # 4 MB by construction
@@ -241,9 +305,12 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     budget = F.floor(F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + F.lit(1e-9))
     d = [F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in SKETCH]
     held = stage(both.where(ring_filter(budget, d)).select("a", "b"), "ring")
-    involved = held.select(F.explode(F.array("a", "b")).alias("set")).distinct()
-    texts = stage(sets.select("set", "shingles").join(involved, "set", "left_semi").dropDuplicates(["set"]), "involved")
-    j = held.join(texts.select(F.col("set").alias("a"), F.col("shingles").alias("sa")), "a").join(texts.select(F.col("set").alias("b"), F.col("shingles").alias("sb")), "b")
+    involved = stage(held.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "involved")
+    texts = stage(only_involved(sets.select("set", "n", "shingles"), involved).join(involved, "set", "left_semi").dropDuplicates(["set"]), "texts")
+    fine = texts.mapInPandas(_fine_sketch, "set long, n int, fine binary")
+    side = lambda x: fine.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    near = stage(held.join(side("a"), "a").join(side("b"), "b").mapInPandas(_near(similarity), "a long, b long"), "near")
+    j = near.join(texts.select(F.col("set").alias("a"), F.col("shingles").alias("sa")), "a").join(texts.select(F.col("set").alias("b"), F.col("shingles").alias("sb")), "b")
     return stage(j.select("a", "b", "sa", "sb").mapInPandas(_verify(similarity), "a long, b long"), "similar")
 
 
