@@ -67,6 +67,15 @@ def shingle_frequencies(sets: DataFrame) -> np.ndarray:
     return np.frombuffer(one["counts"], "<u4")
 
 
+def least_shared(n):
+    """How many shingles two similar sets, the smaller of n, must share within their prefixes: the prefixes are longer by as many less one."""
+    return 1 + n // 32
+
+
+def least_shared_of(n: Column) -> Column:
+    return F.floor(n / F.lit(32)) + F.lit(1)
+
+
 def _prefixes(similarity: float, frequency, ranges: int):
     """Each text's rarest shingles, enough that similar texts share one, as records cut by range of the shingle."""
 
@@ -77,7 +86,7 @@ def _prefixes(similarity: float, frequency, ranges: int):
             parts = []
             for s, set_, n in zip(pdf["shingles"], pdf["set"], pdf["n"], strict=True):
                 h = np.frombuffer(s, "<u8")
-                p = prefix_length(n, similarity)
+                p = min(n, prefix_length(n, similarity) + least_shared(n) - 1)
                 rank = np.lexsort((h, f[h % np.uint64(COUNTERS)]))[:p]
                 r = np.empty(p, RECORD)
                 r["key"], r["set"], r["n"], r["at"] = h[rank], set_, n, np.arange(p)
@@ -101,14 +110,21 @@ def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _viable(n_a, at_a, n_b, at_b, similarity: float) -> np.ndarray:
-    """Sizes within the similarity's bounds, and enough shingles left from the shared one on for the overlap that it needs."""
+    """Sizes within the similarity's bounds, and the shared shingle within both texts' prefixes for the overlap that these sizes need."""
     lo, hi = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
     need = np.ceil(similarity / (1 + similarity) * (lo + hi) - 1e-9)
+    need = need - least_shared(lo) + 1
     return (lo >= similarity * hi - 1e-9) & (n_a - at_a >= need) & (n_b - at_b >= need)
 
 
 def _candidates(similarity: float):
-    """Pairs of sets that share a record's key. A range's records are sorted once; equal offsets within runs of a key are compared as arrays."""
+    """Pairs of sets that share a record's key, and how often. A range's records are sorted once; equal offsets within runs of a key are compared as arrays."""
+
+    def count(seen: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((seen[:, 1], seen[:, 0]))
+        seen, k = seen[order], k[order]
+        new = np.concatenate([[True], (seen[1:, :2] != seen[:-1, :2]).any(1)])
+        return seen[new], np.add.reduceat(k, np.flatnonzero(new))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def flush(blobs: list[bytes]):
@@ -121,10 +137,10 @@ def _candidates(similarity: float):
             if big.any():
                 take = np.concatenate([np.arange(s, s + m) for s, m in zip(starts[big], size[big], strict=True)])
                 g = r[take]
-                yield pd.DataFrame({"a": g["set"], "b": g["key"].view(np.int64), "kind": np.ones(len(g), np.int8)})
+                yield pd.DataFrame({"a": g["set"], "b": np.ascontiguousarray(g["key"]).view(np.int64), "n": g["n"].astype(np.int32), "k": np.zeros(len(g), np.int32)})
             small = ~big & (size > 1)
             starts, size = starts[small], size[small]
-            seen = np.empty((0, 2), np.int64)
+            seen, k_seen = np.empty((0, 3), np.int64), np.empty(0, np.int64)
             for d in range(1, int(size.max(initial=1))):
                 m = size > d
                 s, k = starts[m], size[m] - d
@@ -132,12 +148,15 @@ def _candidates(similarity: float):
                 x, y = r[base], r[base + d]
                 ok = _viable(x["n"].astype(np.int64), x["at"], y["n"].astype(np.int64), y["at"], similarity)
                 if ok.any():
-                    seen = np.concatenate([seen, np.stack([x["set"][ok], y["set"][ok]], 1)])
+                    a, b = x["set"][ok], y["set"][ok]
+                    smaller = np.minimum(x["n"][ok], y["n"][ok]).astype(np.int64)
+                    seen = np.concatenate([seen, np.stack([np.minimum(a, b), np.maximum(a, b), smaller], 1)])
+                    k_seen = np.concatenate([k_seen, np.ones(len(a), np.int64)])
                 if len(seen) > 2_000_000:
-                    seen = np.unique(seen, axis=0)
+                    seen, k_seen = count(seen, k_seen)
             if len(seen):
-                seen = np.unique(seen, axis=0)
-                yield pd.DataFrame({"a": seen[:, 0], "b": seen[:, 1], "kind": np.zeros(len(seen), np.int8)})
+                seen, k_seen = count(seen, k_seen)
+                yield pd.DataFrame({"a": seen[:, 0], "b": seen[:, 1], "n": seen[:, 2].astype(np.int32), "k": k_seen.astype(np.int32)})
 
         held: dict[int, list[bytes]] = {}
         for pdf in batches:
@@ -276,7 +295,8 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     Jaccard similarity t means that the indicator vectors' Hamming distance is at most (1 - t) / (1 + t) * (|A| + |B|).
     1. Each set's shingles are ordered rarest first, by counters filled from all texts, and the first n - ceil(t n) + 1 are sent
        by range of the shingle to tasks that pair sets with a shingle in common. Any two similar sets meet there; frequent
-       shingles come last in the order and are hardly ever sent. 2. Groups of more than GROUP sets at a shingle are not paired:
+       shingles come last in the order and are hardly ever sent. Prefixes are longer by a few shingles, and a pair must share as many
+       more, which leaves few chance meetings. 2. Groups of more than GROUP sets at a shingle are not paired:
        their sets are sent again by two shingles, which similar sets share too if they share more than one. 3. The ring
        of segments of the sets' bit vectors must hold a start from which all chains stay within their share of the distance; what is left is held
        against longer vectors. 4. The full distance is computed on the shingles. Nothing is capped and no step loses a pair.
@@ -286,9 +306,10 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     size = sets.agg(F.sum("n")).first()[0] or 0
     ranges = max(2 * spark.sparkContext.defaultParallelism, int(size * (1 - similarity) * RECORD.itemsize / 12e6) + 1)
     records = sets.select("set", "n", "shingles").mapInPandas(_prefixes(similarity, frequency, ranges), "range long, records binary")
-    met = stage(records.repartition(ranges, "range").mapInPandas(_candidates(similarity), "a long, b long, kind byte"), "candidates")
-    pairs = met.where("kind = 0").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    crowded = met.where("kind = 1").select(F.col("a").alias("set"), F.col("b").alias("key"))
+    met = stage(records.repartition(ranges, "range").mapInPandas(_candidates(similarity), "a long, b long, n int, k int"), "candidates")
+    enough = met.where("k > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.sum("k").alias("k")).where(F.col("k") >= least_shared_of(F.col("n")))
+    pairs = enough.select("a", "b")
+    crowded = met.where("k = 0").select(F.col("a").alias("set"), F.col("b").alias("key"))
     if not crowded.isEmpty():
         unique = sets.join(crowded.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"]).select("set", "n", "shingles")
         again = stage(crowded.join(unique, "set").mapInPandas(_second_keys(similarity, frequency), "key long, set long").distinct(), "second-keys")
