@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.expr import tokens
+from corpusmill.runtime import spread
 
 
 def postings(docs: DataFrame, doc: str, text: str) -> DataFrame:
     """(doc, term, tf, dl): one row for each term of a document; dl counts all its tokens."""
-    t = docs.select(F.col(doc).alias("doc"), tokens(F.col(text)).alias("ts"))
+    t = spread(docs.select(F.col(doc).alias("doc"), F.col(text).alias("text"))).select("doc", tokens(F.col("text")).alias("ts"))
     one = t.select("doc", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
     return one.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.max("dl").cast("long").alias("dl"))
 

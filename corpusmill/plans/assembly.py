@@ -10,6 +10,7 @@ from corpusmill.operators.lexical import postings
 from corpusmill.plans.registry import query
 from corpusmill.plans.reports import WORDS
 from corpusmill.plans.retrieval import R6, TOK
+from corpusmill.runtime import spread
 from corpusmill.sources.tables import table
 
 #: Patterns of refusals and of self-labelling.
@@ -60,7 +61,7 @@ def exact_dedup_keep_first(spark, d):
 @query(f"""with t as (select doc_id, {TOK.replace('{}', 'text')} as ts from documents), s as (select doc_id, len(ts) as n, ts from t)
 select doc_id, case when n = 0 then 0 when n < 5 then 1 else len(list_distinct([array_to_string(ts[i:i+4], ' ') for i in range(1, n - 3)])) end::bigint as shingles from s""")
 def shingle_counts(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(shingles(tokens(F.col("text")), 5)).cast("long").alias("shingles"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.size(shingles(tokens(F.col("text")), 5)).cast("long").alias("shingles"))
 
 
 @query(f"""with k as (select doc_id, source, {H60.format("'7|' || doc_id")} as h from documents), r as (select *, row_number() over (partition by source order by h, doc_id) as r, count(*) over (partition by source) as n from k)
@@ -124,7 +125,7 @@ def minhash_signatures(spark, d):
     p = (1 << 31) - 1
     a = [(1103515245 * (i + 1) + 12345) % (p - 1) + 1 for i in range(128)]
     b = [(22695477 * (i + 1) + 1) % p for i in range(128)]
-    h = table(spark, d, "documents").select("doc_id", F.transform(shingles(tokens(F.col("text")), 5), lambda s: F.pmod(F.xxhash64(s), F.lit(p))).alias("h"))
+    h = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.transform(shingles(tokens(F.col("text")), 5), lambda s: F.pmod(F.xxhash64(s), F.lit(p))).alias("h"))
     coefficients = F.array(*[F.struct(F.lit(x).cast("long").alias("a"), F.lit(y).cast("long").alias("b")) for x, y in zip(a, b, strict=True)])
     return h.select("doc_id", F.transform(coefficients, lambda c: F.coalesce(F.array_min(F.transform("h", lambda x: (c["a"] * x + c["b"]) % F.lit(p))), F.lit(p - 1).cast("long"))).alias("signature"))
 

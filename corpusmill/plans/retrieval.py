@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.expr import ACCENTED, PLAIN, cosine, r6, tokens
 from corpusmill.operators import lexical, metrics
 from corpusmill.plans.registry import query
+from corpusmill.runtime import spread
 from corpusmill.sources.tables import table
 
 R6 = "floor(({}) * 1e6 + 0.5) / 1e6"
@@ -102,7 +103,7 @@ s as (select query, vec_id as doc, {R6.format('list_cosine_similarity(u::double[
 r as (select *, row_number() over (partition by query order by score desc, doc) as rank from s) select query, doc, rank from r where rank <= 5""")
 def dense_topk(spark, d):
     """Every vector whose id is divisible by 20 is a query, against all vectors, in blocks of queries."""
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    e = spread(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v")))
     q = e.where("doc % 20 = 0").select(F.col("doc").alias("query"), F.col("v").alias("u"))
     s = e.join(q, F.col("query") != F.col("doc")).select("query", "doc", r6(cosine(F.col("u"), F.col("v"))).alias("score"))
     return lexical.top_k(s, 5).select("query", "doc", F.col("rank").cast("long").alias("rank"))

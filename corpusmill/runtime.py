@@ -123,6 +123,12 @@ def running_total(df: DataFrame, order: list[str], out: str, by: str | None = No
     return joined.select(*df.columns, (F.col(out) + F.col("_off")).alias(out))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files give fewer partitions than there are cores (small tables); large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < df._jdf.rdd().getNumPartitions() < cores else df
+
+
 def hash_unit(*cols, seed: int = 0) -> F.Column:
     """A uniform number in (0, 1) that depends only on the seed and the columns."""
     h = F.xxhash64(F.lit(seed), *cols)
