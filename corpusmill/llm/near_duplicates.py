@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from corpusmill.llm.shingles import WordIds, prefix_length, set_id, shingle_batch, token_batch
 from corpusmill.operators.blocks import pairs_within
 from corpusmill.operators.graph import connected_components
-from corpusmill.runtime import stage
+from corpusmill.runtime import spread, stage
 
 SEGMENTS, COUNTERS, FINE_BITS = 8, 1 << 20, 2048
 #: Key groups up to this size are compared within a task; larger ones are split by a second shared shingle.
@@ -345,7 +345,7 @@ def near_duplicate_groups(df: DataFrame, row: str = "rec_no", text: str = "body"
     """
     src = df.where(F.col(text).isNotNull()).select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
     schema = ", ".join(["row long", "set long", "n int", *(f"{c} long" for c in SKETCH), "shingles binary"])
-    sets = stage(src.mapInPandas(_sets(words), schema), "sets")
+    sets = stage(spread(src).mapInPandas(_sets(words), schema), "sets")
     pairs = similar_sets(sets, similarity)
     comp = connected_components(pairs, "a", "b")
     links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.runtime import spread
+
 #: Function words of English, French, German and Spanish.
 COMMON_WORDS = (
     "a an and any are as at be been because before both but by can could did do does during each every few for from had has have he her here him his how "
@@ -77,7 +79,8 @@ def text_quality(df: DataFrame, row: str = "rec_no", text: str = "body", word_co
     Null and blank texts are natural language with no reasons (there is nothing to reject); a null or zero word_count
     gives a null word_count_error. Repeated rows count each.
     """
-    stats = df.select(F.col(row), F.col(word_count).alias("stated_words"), *quality_stats(F.col(text)))
+    narrow = spread(df.select(F.col(row), F.col(word_count).alias("stated_words"), F.col(text).alias("_text")))
+    stats = narrow.select(F.col(row), "stated_words", *quality_stats(F.col("_text")))
     error = F.when(F.col("stated_words") > 0, (F.col("stated_words") - F.col("n_words")).cast("double") / F.col("stated_words"))
     out = stats.withColumn("word_count_error", error)
     out = out.withColumn("reasons", F.when(F.col("n_words") > 0, quality_reasons()).otherwise(F.array().cast("array<string>")))

@@ -12,6 +12,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from corpusmill.runtime import spread
+
 #: Fixed value: how the byte-level BPE vocabularies cut a text before merging.
 PIECES = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KEPT_PIECES = 1 << 18
@@ -61,4 +63,4 @@ def token_counts(df: DataFrame, text: str = "text", keep: list[str] | None = Non
             yield pdf[keep].assign(**{out: [counter.count(t) if t else 0 for t in pdf[text]]})
 
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(out, T.LongType())])
-    return df.select(*keep, text).mapInPandas(run, schema)
+    return spread(df.select(*keep, text)).mapInPandas(run, schema)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.spellings import model_key
 from corpusmill.llm.text_quality import COMMON_WORDS
-from corpusmill.runtime import stage
+from corpusmill.runtime import spread, stage
 
 #: Forms in which a length may have been limited.
 MEASURES = ("chars", "bytes", "utf16", "html_chars", "html_bytes", "json_chars", "json_ascii", "crlf_chars", "crlf_bytes")
@@ -135,7 +135,7 @@ def truncation(df: DataFrame, row: str = "rec_no", text: str = "body", model: st
     """
     src = df.where(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").where(F.col(text).rlike(r"\S"))
     src = src.select(F.col(row).cast("long").alias("row"), model_key(F.col(model)).alias("model"), F.col(text).alias("body"), F.col(word_count).cast("long").alias("stated"))
-    scanned = stage(src.mapInPandas(_scan, ROWS), "endings")
+    scanned = stage(spread(src).mapInPandas(_scan, ROWS), "endings")
     rows = scanned.where("kind = 'row'").select("row", "model", "h", "lengths", "n_words", "stated", "ended", "trace", "verse", "prose", "open_end", "word", "skeleton", "longer", "further")
     stats = stage(scanned.where("kind = 'stat'").groupBy("key").agg(F.sum("n").alias("n"), F.sum("n_end").alias("n_end")), "ending-stats")
     unfinished = stage(rows.where("not ended or trace <> ''"), "unfinished")
