@@ -21,6 +21,8 @@ COMMON_WORDS = (
 #: Thresholds: published values (large-corpus filters), where a comment says nothing else.
 SYMBOLS_PER_WORD, BULLET_LINES, ELLIPSIS_LINES, ALPHA_WORDS, MEAN_WORD, DUPLICATE_UNITS = 0.1, 0.9, 0.3, 0.8, (3.0, 10.0), 0.3
 #: Own values. Common words: the published rule wants 2 of 8 words a document, which short prose may miss. Bullets: a list may have a line of introduction. Duplicates: two equal sentences are no repetition yet.
+#: Symbols: a mark at the end of short prose is no junk.
+SYMBOLS_COMMON = 0.25
 COMMON_SHARE, BULLET_LINES_OWN, BULLET_WORDS_OWN, DUPLICATES_LEAST = 0.1, 0.8, 0.6, 3
 
 BULLET = r"^\s*(?:[-*+•‣◦▪●–—»·]|\(?\d{1,3}[.)\]]|\(?[a-zA-Z][.)])\s"
@@ -64,7 +66,7 @@ def quality_reasons() -> Column:
     rules = {
         "few_common_words": c("common_words") < COMMON_SHARE,
         "bullet_list": (c("bullet_lines") > BULLET_LINES_OWN) | ((c("bullet_words") > BULLET_WORDS_OWN) & (c("n_lines") > 4)),
-        "symbols": c("symbols_per_word") > SYMBOLS_PER_WORD,
+        "symbols": (c("symbols_per_word") > SYMBOLS_PER_WORD) & (c("common_words") < SYMBOLS_COMMON),
         "few_alphabetic_words": c("alpha_words") < ALPHA_WORDS,
         "word_length": (c("mean_word_len") < MEAN_WORD[0]) | (c("mean_word_len") > MEAN_WORD[1]),
         "ellipsis_lines": (c("ellipsis_lines") > ELLIPSIS_LINES) & (c("n_lines") > 3),
