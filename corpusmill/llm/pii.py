@@ -13,13 +13,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import spread
+from corpusmill.runtime import spread, stage
 
 KINDS = ("none", "email", "phone", "identity", "address", "name")
 NONE, EMAIL, PHONE, IDENTITY, ADDRESS, NAME = range(6)
 #: Labels that a candidate of each type may take.
 ALLOWED = {"E": (NONE, EMAIL), "N": (NONE, PHONE, IDENTITY), "I": (NONE, IDENTITY), "A": (NONE, ADDRESS), "P": (NONE, NAME)}
-SAMPLE_DOCS = 4000  # documents, chosen by hash, that the model is fitted on
+SAMPLE_DOCS = 4000  # documents, chosen by hash, that the weights are fitted on
 ROUNDS, SWEEPS = 80, 4  # of gradient steps; of message passing
 
 # Words of streets, cues and particles in English, French, German and Spanish.
@@ -59,6 +59,7 @@ SLOTS = (
 )
 
 
+ORDINARY = re.compile(r"(?<=[a-z,] )[a-zß-ÿ]{4,}")
 CAPITAL = re.compile(r"(?<![\w.])[A-ZÀ-ÖØ-Þ][^\W\d_]{2,}")
 BEFORE_SURNAME = re.compile(r"(?<![\w.-])([A-ZÀ-ÖØ-Þ][^\W\d_]{2,})\s([A-ZÀ-ÖØ-Þ][^\W\d_]{4,})(?![\w])")
 
@@ -295,34 +296,64 @@ def mask_of(s: str, kind: str) -> np.ndarray:
 MASK = {k: np.array([0.0 if j in allowed else -1e6 for j in range(len(KINDS))]) for k, allowed in ALLOWED.items()}
 
 
-def fit(texts: list[str], places: tuple[str, ...]) -> dict:
-    """The model from a sample of texts: lexicons of first names and surname endings, weights of features, and potentials of neighbours and of similar candidates.
+COUNTED = "kind string, word string, other string, n long"
+HELD = 200_000  # counts that a task holds before it hands them on
 
-    Nothing is labelled by hand: candidates whose surroundings leave no doubt are the labelled rows; a multinomial
-    logistic regression of the features is fitted on them, then once more with the candidates it is sure of.
-    """
-    firsts, ends, ordinary = Counter(), Counter(), Counter()
+
+def count_words(texts, seen: Counter) -> None:
+    """Adds to `seen`, by (kind, word, other): o ordinary words, f first names and e surname endings of the slots, c capitalised words, b those before what may be a surname."""
     for t in texts:
-        ordinary.update(re.findall(r"(?<=[a-z,] )[a-zß-ÿ]{4,}", t))
+        seen.update(("o", w, "") for w in ORDINARY.findall(t))
+        seen.update(("c", w, "") for w in CAPITAL.findall(t))
+        seen.update(("b", *m) for m in BEFORE_SURNAME.findall(t))
         for slot in SLOTS:
             for m in slot.finditer(t):
-                given, rest = (m[2], m[1]) if m[2] else (m[1].split()[0], " ".join(m[1].split()[1:]))
-                for f in re.findall(r"[^\W\d_]{3,}", fold(given)):
-                    firsts[f] += 1
-                for s in re.findall(r"[^\W\d_]{4,}", fold(rest)):
-                    ends[s[-3:]] += 1
-    ends_ = frozenset(e for e, n in ends.items() if n >= 4)
-    common = frozenset(w for w, n in ordinary.items() if n >= max(20, len(texts) // 100))
-    # words before surnames that the slots don't show are first names too
-    before: Counter = Counter()
-    capital: Counter = Counter()
-    for t in texts:
-        capital.update(map(fold, CAPITAL.findall(t)))
-        for m in BEFORE_SURNAME.finditer(t):
-            low = fold(m[2])
-            if low[-3:] in ends_ and low not in common and fold(m[1]) not in common:
-                before[fold(m[1])] += 1
-    first = frozenset(f for f, n in firsts.items() if n >= 2) | frozenset(f for f, n in before.items() if n >= 5 and n >= 0.4 * capital[f])
+                given, rest = (m[2], m[1]) if m[2] else ((m[1].split() or [""])[0], " ".join(m[1].split()[1:]))
+                seen.update(("f", f, "") for f in re.findall(r"[^\W\d_]{3,}", fold(given)))
+                seen.update(("e", s[-3:], "") for s in re.findall(r"[^\W\d_]{4,}", fold(rest)))
+
+
+def lexicons(df: DataFrame, text: str = "text") -> dict:
+    """First names, surname endings and ordinary words from all rows' texts, counted in one pass over them.
+
+    First names: at least 2 in slots, or 5 sightings before a surname and those 0.4 of all; endings: 4 in slots; ordinary
+    words: 20 and one for each 100 texts. Only what reaches these bounds comes to the driver.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: Counter = Counter()
+
+        def held():
+            rows = [(k, w if k in "ofe" else fold(w), fold(o), n) for (k, w, o), n in seen.items()]
+            seen.clear()
+            return pd.DataFrame(rows, columns=["kind", "word", "other", "n"])
+
+        for pdf in batches:
+            count_words(pdf[text], seen)
+            if len(seen) > HELD:
+                yield held()
+        yield held()
+
+    some = df.where(F.length(text) > 0).select(text)
+    n = some.count()
+    counts = stage(spread(some).mapInPandas(run, COUNTED).groupBy("kind", "word", "other").agg(F.sum("n").alias("n")), "names")
+    words = lambda kind, least: frozenset(r[0] for r in counts.where((F.col("kind") == kind) & (F.col("n") >= least)).select("word").collect())
+    ends, common, slots = words("e", 4), words("o", max(20, n // 100)), words("f", 2)
+    # words before surnames that the slots don't show are first names too, particles aside
+    pairs = counts.where((F.col("kind") == "b") & F.substring("other", -3, 3).isin(*ends) & ~F.col("other").isin(*common) & ~F.col("word").isin(*common, *PARTICLES.split("|")))
+    before = pairs.groupBy("word").agg(F.sum("n").alias("before")).where("before >= 5")
+    capital = counts.where("kind = 'c'").select("word", "n")
+    more = before.join(capital, "word").where("before >= 0.4 * n").select("word").collect()
+    return {"first": slots | frozenset(r[0] for r in more), "ends": ends, "ordinary": common}
+
+
+def fit(texts: list[str], lexicon: dict, places: tuple[str, ...]) -> dict:
+    """The model: `lexicon`, the lexicons of all texts, and from a sample of texts the weights of features and the potentials of neighbours and of similar candidates.
+
+    Nothing is labelled by hand: candidates whose surroundings leave no doubt are the labelled rows; a multinomial
+    logistic regression of the features is fitted on them, then once more with the candidates it is sure of.
+    """
+    first, ends_, common = lexicon["first"], lexicon["ends"], lexicon["ordinary"]
     finder = Finder(first, ends_, common, places)
     docs, feats, masks, labels, edges = [], [], [], [], []
     for t in texts:
@@ -413,17 +444,17 @@ def label_batch(texts, model: dict, finder: Finder) -> list[list[tuple[int, int,
 
 
 def fit_pii(df: DataFrame, key: str, text: str = "text", places: tuple[str, ...] = (), sample_docs: int = SAMPLE_DOCS) -> dict:
-    """fit() on at most `sample_docs` texts, chosen by a hash of the key so that any order of rows gives the same."""
+    """Lexicons from all texts, weights by fit() on at most `sample_docs` texts, chosen by a hash of the key so that any order of rows gives the same."""
     n = df.count()
     share = min(1.0, 1.2 * sample_docs / max(n, 1))
     some = df.where(F.pmod(F.xxhash64(key), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).where(F.length(text) > 0)
     rows = some.select(text).orderBy(F.xxhash64(key)).limit(sample_docs).collect()  # bounded by sample_docs
-    return fit([r[0] for r in rows], places)
+    return fit([r[0] for r in rows], lexicons(df, text), places)
 
 
 def find_pii(df: DataFrame, model: dict, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, begin, end, kind, pii) for each place; begin and end count characters from 0. Whole texts; null and empty ones give no rows. Each row of df counts by itself."""
-    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: fitted on a bounded sample
+    shared = df.sparkSession.sparkContext.broadcast(model)  # bounded: weights of a bounded sample, and words that occur often enough
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -251,6 +251,19 @@ def test_pii_on_generated_letters(spark):
     assert red[501] is None and red[500] == "" and "[EMAIL]" in red[0] and "[NAME]" in red[0]
 
 
+def test_pii_lexicons_count_all_documents(spark):
+    """A first name and a surname ending that the sample of 10 documents hardly shows are known, and their names found."""
+    docs = [(i, f"The parcel is here.\nContact: Ulrika Branlotte, u.b{i}@mail.example.org, +1 415 555 01{i % 90 + 10}\nUlrika Branlotte wrote.") for i in range(600)]
+    docs += [(600 + i, f"The parcel is here.\nContact: Zephrin Qualdimox, z.q{i}@mail.example.org, +1 415 555 01{i + 10}\nZephrin Qualdimox wrote.") for i in range(6)]
+    docs += [(700 + i, f"A letter from Osmirra Branlotte, number {i}.") for i in range(6)] + [(800 + i, "A visit, Von Branlotte came.") for i in range(6)] + [(900, None), (901, "")]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    model = pii.fit_pii(df, "doc_id", sample_docs=10)
+    assert model["first"] == {"ulrika", "zephrin", "osmirra"} and model["ends"] == {"tte", "mox"} and "parcel" in model["ordinary"]
+    assert model["first"] == pii.fit_pii(df, "doc_id", sample_docs=1000)["first"]
+    got = {(r.doc_id, r.pii) for r in pii.find_pii(df, model).where("kind = 'name'").collect()}
+    assert {(600 + i, "Zephrin Qualdimox") for i in range(6)} | {(700 + i, "Osmirra Branlotte") for i in range(6)} <= got
+
+
 def test_message_passing_is_exact_on_a_chain():
     rng = np.random.default_rng(3)
     u, w = rng.normal(size=(3, 6)), rng.normal(size=(2, 6, 6))
