@@ -276,11 +276,11 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
                     rows.append((keys[d], int(ix.key[y]), *rest))
                 if short:  # texts shorter than a shingle are similar to equal ones only
                     starts, ends = np.asarray(ix.start[:-1]), np.asarray(ix.start[1:]) - 1
-                    tiny = {ix.words_of(int(y)).tobytes(): int(ix.key[y]) for y in np.flatnonzero(ends - starts < k)}
+                    tiny: dict[bytes, list[int]] = {}  # equal words may stand in several raw texts, each with a key of its own
+                    for y in np.flatnonzero(ends - starts < k):
+                        tiny.setdefault(ix.words_of(int(y)).tobytes(), []).append(int(ix.key[y]))
                     for d in short:
-                        y = tiny.get(tokens[offsets[d] : offsets[d + 1]].tobytes())
-                        if y is not None:
-                            rows.append((keys[d], y, 1, 1, int(width[d]), int(width[d])))
+                        rows += [(keys[d], y, 1, 1, int(width[d]), int(width[d])) for y in tiny.get(tokens[offsets[d] : offsets[d + 1]].tobytes(), ())]
             yield pd.DataFrame(rows, columns=["train_key", "eval_key", "shared", "total", "longest", "matched"])
 
     return run

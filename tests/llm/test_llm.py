@@ -97,6 +97,12 @@ def test_split_overlap_equals_brute_force(spark, monkeypatch, shard):
     assert got == want and want
 
 
+def test_split_overlap_pairs_all_raw_variants_of_short_texts(spark):
+    rows = [(1, "train", "green door"), (2, "train", "Green  door!"), (3, "dev", "green door"), (4, "test", "GREEN door"), (5, "dev", "gréen\tdoor."), (6, "test", "door green"), (7, "test", "green  door")]
+    got = {(r.train_row, r.eval_row, r.shared, r.total, r.longest) for r in split_overlap.split_overlap(spark.createDataFrame(rows, "rec_no long, split string, text string")).collect()}
+    assert got == {(t, e, 1, 1, 2) for t in (1, 2) for e in (3, 4, 5, 7)}
+
+
 def test_split_overlap_empty(spark):
     assert split_overlap.split_overlap(spark.createDataFrame([], "rec_no long, split string, text string")).count() == 0
 
