@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.expr import cosine, facet_set, r6
 from corpusmill.operators import metrics
+from corpusmill.operators.labels import class_truth
 from corpusmill.plans.registry import query
 from corpusmill.plans.retrieval import R6
 from corpusmill.sources.tables import table
@@ -18,7 +19,7 @@ labels as (select term as label from label_space where facet = 'lcc_code')"""
 
 
 def _truth(spark, d):
-    return table(spark, d, "shelf_features").where("length(trim(lcc_code)) = 1").groupBy("id").agg(F.min(F.upper(F.trim("lcc_code"))).alias("truth"))
+    return class_truth(table(spark, d, "shelf_features"), table(spark, d, "label_space"))
 
 
 def _evaluated(spark, d):

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions.expr import ACCENTED, PLAIN, cosine, r6, tokens
 from corpusmill.operators import lexical, metrics
+from corpusmill.operators.labels import class_truth
 from corpusmill.plans.registry import query
 from corpusmill.runtime import spread
 from corpusmill.sources.tables import table
@@ -130,7 +131,7 @@ def run_metrics(spark, d):
     one = runs.withColumn("r", F.row_number().over(w)).where("r = 1")
     flat = one.select("query_id", F.posexplode("ranked_doc_ids").alias("pos", "doc")).groupBy("query_id", "doc").agg(F.min("pos").alias("pos"))
     ranked = flat.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("pos")))
-    cls = table(spark, d, "shelf_features").where("length(trim(lcc_code)) = 1").groupBy("id").agg(F.min(F.upper(F.trim("lcc_code"))).alias("c"))
+    cls = class_truth(table(spark, d, "shelf_features"), table(spark, d, "label_space"), "c")
     j = ranked.join(cls.select(F.col("id").alias("query_id"), F.col("c").alias("qc")), "query_id").join(cls.select(F.col("id").alias("doc"), "c"), "doc", "left").withColumn("hit", F.when(F.col("c") == F.col("qc"), 1).otherwise(0))
     per = j.groupBy("query_id").agg((F.sum(F.when(F.col("rank") <= 5, F.col("hit"))) / F.count_if(F.col("rank") <= 5)).alias("p"), F.coalesce(F.max(F.when(F.col("hit") == 1, 1 / F.col("rank"))), F.lit(0.0)).alias("rr"))
     return per.agg(F.count("*").alias("n_queries"), r6(F.avg("p")).alias("precision_5"), r6(F.avg("rr")).alias("mrr"))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.expr import hash60, r6
+from corpusmill.operators.labels import class_truth
 from corpusmill.plans.registry import query
 from corpusmill.plans.retrieval import R6
 from corpusmill.sources.tables import table
@@ -80,7 +81,7 @@ c as (select sum(case when x = 1 and y = 0 then 1 else 0 end) as b, sum(case whe
 select b::bigint as b, c::bigint as c, {R6.format('(abs(b - c) - 1) * (abs(b - c) - 1) / (b + c)')} as statistic from c""")
 def mcnemar(spark, d):
     p = table(spark, d, "class_predictions")
-    truth = table(spark, d, "shelf_features").where("length(trim(lcc_code)) = 1").groupBy("id").agg(F.min(F.upper(F.trim("lcc_code"))).alias("truth"))
+    truth = class_truth(table(spark, d, "shelf_features"), table(spark, d, "label_space"))
     ends = p.agg(F.min("run_name").alias("lo"), F.max("run_name").alias("hi"))
     j = p.groupBy("id", "run_name").agg(F.min("prediction").alias("pred")).join(truth, "id").crossJoin(F.broadcast(ends)).withColumn("ok", (F.col("pred") == F.col("truth")).cast("int"))  # one row on the right
     e = j.groupBy("id").agg(F.max(F.when(F.col("run_name") == F.col("lo"), F.col("ok"))).alias("x"), F.max(F.when(F.col("run_name") == F.col("hi"), F.col("ok"))).alias("y"))

@@ -9,6 +9,7 @@ from corpusmill.functions.expr import shingles, tokens
 from corpusmill.operators import lexical, metrics
 from corpusmill.operators.blocks import pairs_within
 from corpusmill.operators.graph import connected_components
+from corpusmill.plans.evaluation import _truth
 from corpusmill.plans.statistics import adjust
 from corpusmill.runtime import running_total
 
@@ -95,3 +96,12 @@ def test_absent_label_counts_as_zero(spark):
 def test_holm_and_bh(spark):
     got = adjust(spark.createDataFrame([("a", 0.01), ("b", 0.02), ("c", 0.9)], "name string, p double")).toPandas().set_index("name")
     assert got.loc["b", "holm"] == pytest.approx(0.04) and got.loc["a", "bh"] == pytest.approx(0.03) and isinstance(got, pd.DataFrame)
+
+
+def test_truth_reads_all_spellings(spark, tmp_path):
+    rows = [("a", "Q"), ("b", " q "), ("c", "C."), ("d", "LCC C"), ("e", "Q - Science"), ("f", "Auxiliary Sciences of History"), ("g", None), ("h", "nonsense"), ("i", "Science"), ("i", "C"), ("k", "x")]
+    spark.createDataFrame(rows, "id string, lcc_code string").write.parquet(f"{tmp_path}/shelf_features.parquet")
+    space = [("lcc_code", "Q", "Science"), ("lcc_code", "C", "Auxiliary Sciences of History")]
+    spark.createDataFrame(space, "facet string, term string, broader string").write.parquet(f"{tmp_path}/label_space.parquet")
+    got = {r.id: r.truth for r in _truth(spark, str(tmp_path)).collect()}
+    assert got == {"a": "Q", "b": "Q", "c": "C", "d": "C", "e": "Q", "f": "C", "i": "C", "k": "X"}
