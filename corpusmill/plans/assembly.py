@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -17,6 +20,15 @@ from corpusmill.sources.tables import table
 REFUSAL = r"(?i)\b(i can(?:not|'t) (?:help|assist|comply|fulfill|provide)|i'?m sorry,? but|as an ai|as a large language model|i do not have the ability to|i am not able to|i won'?t be able to|i must decline)\b"
 SELF_LABEL = r"(?i)\b(lcgft|lcsh|lcdgt|lcc)\s*[)\]]?\s*:|\bin the field of\b"
 FUNCTION_WORDS = "the of and a an in to is was that by for with as it they not but from on at be are were which who when than their this".split()
+#: The whole lists of SURVEY A.7 and A.8; the shorter ones above are those of the SQL.
+REFUSALS = r"(?iU)\b(?:i can(?:not|'t) (?:help|assist|comply|fulfill|provide)|i'?m sorry,? but|as an ai|as a large language model|i do not have the ability to|i am not able to|i won'?t be able to|unable to (?:fulfill|complete|assist with) (?:this|that) request|i must decline|against (?:my|the) content policy|i'?m (?:just )?an ai)\b"
+CUT_MARKS = r"(?iU)\[(?:content )?truncated\]|<\|[^|]*\|>|\.\.\.\s*\z"
+SELF_LABELS = (
+    r"(?iU)\b(?:lcgft|lcsh|lcdgt|lcc)\s*[)\]]?\s*:|\bin the field of\b",
+    r"(?iUm)^\s*(?:document\s+type|subject\s+area|category|genre)\s*:",
+    r"(?iU)\bthis (?:satire|lecture|poem|essay|report|guide|article|document)\b[^.]{0,40}\b(?:explores|covers|examines|presents)\b",
+    r"(?iUm)^\s*(?:in|within)\s+(?:political science|medicine|law|philosophy|economics|sociology)\s*,",
+)
 H60 = "('0x' || substr(md5({}), 1, 15))::bigint"
 
 
@@ -36,8 +48,10 @@ def gate_length(spark, d):
 
 @query(f"select rec_no, regexp_matches(coalesce(body, ''), {_lit(REFUSAL)}) as refusal, regexp_matches(coalesce(body, ''), {_lit(SELF_LABEL)}) as self_label from shelf_features")
 def gate_refusal_self_label(spark, d):
+    """refusal: a refusing phrase, a mark of truncation, or no text; self_label: a phrase that names the text's own category."""
     b = F.coalesce("body", F.lit(""))
-    return table(spark, d, "shelf_features").select("rec_no", b.rlike(REFUSAL).alias("refusal"), b.rlike(SELF_LABEL).alias("self_label"))
+    refusal = b.rlike(REFUSALS) | b.rlike(CUT_MARKS) | ~b.rlike(r"(?U)\S")
+    return table(spark, d, "shelf_features").select("rec_no", refusal.alias("refusal"), reduce(or_, [b.rlike(p) for p in SELF_LABELS]).alias("self_label"))
 
 
 @query(f"""with t as (select doc_id, {TOK.replace('{}', 'text')} as ts from documents), s as (select doc_id, len(ts) as n, len(list_filter(ts, lambda x: x in ({', '.join(map(_lit, FUNCTION_WORDS))}))) as k from t)

@@ -9,6 +9,7 @@ from corpusmill.functions.expr import shingles, tokens
 from corpusmill.operators import lexical, metrics
 from corpusmill.operators.blocks import pairs_within
 from corpusmill.operators.graph import connected_components
+from corpusmill.plans import assembly
 from corpusmill.plans.evaluation import _truth
 from corpusmill.plans.statistics import adjust
 from corpusmill.runtime import running_total
@@ -105,3 +106,14 @@ def test_truth_reads_all_spellings(spark, tmp_path):
     spark.createDataFrame(space, "facet string, term string, broader string").write.parquet(f"{tmp_path}/label_space.parquet")
     got = {r.id: r.truth for r in _truth(spark, str(tmp_path)).collect()}
     assert got == {"a": "Q", "b": "Q", "c": "C", "d": "C", "e": "Q", "f": "C", "i": "C", "k": "X"}
+
+
+def test_gate_refusal_self_label_whole_lists(spark, tmp_path):
+    refusing = ["We are unable to complete that request now.", "It is against my content policy.", "I'm just an AI, sorry.", "I cannot help", "A tale [Content truncated]", "left <|endoftext|> over", "and then... \n", "", " \n\u00a0", None]
+    naming = ["Title\n Genre : satire", "This essay quietly explores rivers.", "Intro\nIn law, it is so.", "Tipo (LCC): Law"]
+    clean = ["A plain text.", "The genre: satire", "He won, in law, a case.", "One... two."]
+    rows = list(enumerate(refusing + naming + clean))
+    spark.createDataFrame(rows, "rec_no int, body string").write.parquet(f"{tmp_path}/shelf_features.parquet")
+    got = {r.rec_no: (r.refusal, r.self_label) for r in assembly.gate_refusal_self_label(spark, str(tmp_path)).collect()}
+    n, m = len(refusing), len(refusing) + len(naming)
+    assert got == {i: (i < n, n <= i < m) for i, _ in rows}
