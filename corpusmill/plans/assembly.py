@@ -20,6 +20,8 @@ from corpusmill.sources.tables import table
 REFUSAL = r"(?i)\b(i can(?:not|'t) (?:help|assist|comply|fulfill|provide)|i'?m sorry,? but|as an ai|as a large language model|i do not have the ability to|i am not able to|i won'?t be able to|i must decline)\b"
 SELF_LABEL = r"(?i)\b(lcgft|lcsh|lcdgt|lcc)\s*[)\]]?\s*:|\bin the field of\b"
 FUNCTION_WORDS = "the of and a an in to is was that by for with as it they not but from on at be are were which who when than their this".split()
+#: The whole list of SURVEY A.9; the shorter one above is that of the SQL.
+ENGLISH_WORDS = "the a an and or but if of to in on for with as by at from is are was were be been being this that these those it its he she they we you i his her their our your not no so than then which who whom whose what when where why how all any some most more less can could will would shall should may might must do does did has have had into through about between among over under after before during without within against up down out off also only just there here such other same each both few many much".split()
 #: The whole lists of SURVEY A.7 and A.8; the shorter ones above are those of the SQL.
 REFUSALS = r"(?iU)\b(?:i can(?:not|'t) (?:help|assist|comply|fulfill|provide)|i'?m sorry,? but|as an ai|as a large language model|i do not have the ability to|i am not able to|i won'?t be able to|unable to (?:fulfill|complete|assist with) (?:this|that) request|i must decline|against (?:my|the) content policy|i'?m (?:just )?an ai)\b"
 CUT_MARKS = r"(?iU)\[(?:content )?truncated\]|<\|[^|]*\|>|\.\.\.\s*\z"
@@ -57,9 +59,12 @@ def gate_refusal_self_label(spark, d):
 @query(f"""with t as (select doc_id, {TOK.replace('{}', 'text')} as ts from documents), s as (select doc_id, len(ts) as n, len(list_filter(ts, lambda x: x in ({', '.join(map(_lit, FUNCTION_WORDS))}))) as k from t)
 select doc_id, case when n > 0 then {R6.format('k / n')} end as share, coalesce(k / nullif(n, 0) >= 0.12, false) as passed from s""")
 def gate_language(spark, d):
-    s = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("ts"))
-    k, n = F.size(F.filter("ts", lambda x: x.isin(*FUNCTION_WORDS))), F.size("ts")
-    return s.select("doc_id", F.when(n > 0, r6(k / n)).alias("share"), F.coalesce(F.when(n > 0, k / n) >= 0.12, F.lit(False)).alias("passed"))
+    """Share of English function words among the words, at least 0.12, where at least half of the letters are ASCII."""
+    letters = lambda p: F.length(F.regexp_replace("text", p, ""))
+    s = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("ts"), letters(r"[^A-Za-z]").alias("ascii"), letters(r"\P{L}").alias("letters"))
+    k, n = F.size(F.filter("ts", lambda x: x.isin(*ENGLISH_WORDS))), F.size("ts")
+    passed = (F.when(n > 0, k / n) >= 0.12) & (F.when(F.col("letters") > 0, F.col("ascii") / F.col("letters")) >= 0.5)
+    return s.select("doc_id", F.when(n > 0, r6(k / n)).alias("share"), F.coalesce(passed, F.lit(False)).alias("passed"))
 
 
 KEY = r"sha256(lower(regexp_replace(trim(text), '\s+', ' ', 'g')))"

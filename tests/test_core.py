@@ -117,3 +117,10 @@ def test_gate_refusal_self_label_whole_lists(spark, tmp_path):
     got = {r.rec_no: (r.refusal, r.self_label) for r in assembly.gate_refusal_self_label(spark, str(tmp_path)).collect()}
     n, m = len(refusing), len(refusing) + len(naming)
     assert got == {i: (i < n, n <= i < m) for i, _ in rows}
+
+
+def test_gate_language_whole_list_and_ascii_share(spark, tmp_path):
+    rows = [(1, "You should do what we would do"), (2, "the " + "\u0436\u0437\u0438\u0439" * 9), (3, "Kurz danach kam ein Brief"), (4, "12 34"), (5, None), (6, "")]
+    spark.createDataFrame(rows, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.share, r.passed) for r in assembly.gate_language(spark, str(tmp_path)).collect()}
+    assert got == {1: (1.0, True), 2: (0.5, False), 3: (0.0, False), 4: (0.0, False), 5: (None, False), 6: (None, False)}
