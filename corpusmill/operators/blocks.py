@@ -6,16 +6,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: A group of more members is joined to its size by broadcast: there are at most rows / HEAVY such groups.
+HEAVY = 1 << 16
+
+
 def pairs_within(df: DataFrame, group: list[str], member: str, block: int = 128, keep: list[str] | None = None, where=None) -> DataFrame:
     """Pairs (group, left member < right member) as columns *group, a, b and, for each column of keep, <name>_a and <name>_b.
 
-    Rows of a group are split into chunks of about `block` members by hash; each pair of chunks is joined by a key of
+    Members are distinct within a group. Rows of a group are split into chunks of about `block` members by hash; each pair of chunks is joined by a key of
     its own, so a group of m rows is spread over (m/block)^2/2 tasks' worth of keys and no task holds the group.
     `where(left, right)` gives a condition on the pair, applied while joining.
     """
     keep = keep or []
-    sizes = df.groupBy(*group).agg(F.count("*").alias("_m"))
-    sized = df.select(*group, member, *keep).join(sizes.where("_m > 1"), group)
+    rows = df.select(*group, member, *keep)
+    sizes = rows.groupBy(*group).agg(F.count("*").alias("_m")).where("_m > 1")
+    heavy = sizes.where(F.col("_m") > HEAVY)
+    # a group of a third of all rows would meet its size in one task: such groups are few and small to send, the others are joined as usual
+    sized = rows.join(F.broadcast(heavy), group).unionByName(rows.join(sizes.where(F.col("_m") <= HEAVY), group))
     k = F.ceil(F.col("_m") / F.lit(block))
     chunked = sized.withColumn("_c", F.pmod(F.xxhash64(member), k)).withColumn("_k", k)
     left = chunked.withColumn("_d", F.explode(F.sequence("_c", F.col("_k") - 1)))

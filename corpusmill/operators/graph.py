@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.runtime import stage
+from corpusmill.runtime import stage, unstage
 
 
 def local_forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -40,23 +40,51 @@ def _forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"u": v, "v": u})  # root, node
 
 
+#: Ties that one task may hold while forests are merged, and how many forests are merged at a level.
+TASK_TIES, FAN_IN, SALTS = 4_000_000, 8, 32
+
+
+def _tagged_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    from pyspark import TaskContext
+
+    for pdf in _forest(batches):
+        yield pdf.assign(task=TaskContext.get().partitionId())
+
+
 def connected_components(edges: DataFrame, u: str = "u", v: str = "v", max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of an edge list of bigint ids; component is the smallest node of the component.
 
-    Edges are spread over tasks, each task reduces its share to a local forest of stars, and forests merge level by
-    level: every node of a star moves to the least root that any task gave to it or to its root, the moved ties are
-    exchanged by root and reduced again, until each node has one root. Nulls and loops: edges with a null end are dropped, a loop makes
-    its node a component of one. No task holds more than its share of the forest and nothing reaches the driver but
-    the number of changes.
+    Edges are spread over tasks and each task reduces its share to a local forest of stars. Forests are merged level by level,
+    FAN_IN at a time, while a task's share stays within TASK_TIES; a graph that small ends as one forest. A larger one goes on in rounds: every
+    tie moves to the least root known for its node and for its root, ties are exchanged by node, never by root, and
+    reduced again, until each node has one root. A component of most nodes is thus spread over all tasks at every step; the roots' own moves
+    are joined on a salted key. Nulls and loops: edges with a null end are dropped, a loop makes its node a component
+    of one. Nothing reaches the driver but numbers of rows.
     """
     e = edges.select(F.col(u).cast("long").alias("u"), F.col(v).cast("long").alias("v")).where("u is not null and v is not null")
-    stars = stage(e.mapInPandas(_forest, "u long, v long"), "forest")
+    stars = stage(e.mapInPandas(_tagged_forest, "u long, v long, task int"), "forest")
+    ties, parts = (stars.agg(F.count("*"), F.countDistinct("task")).first())
+    while parts > 1 and ties * FAN_IN <= TASK_TIES * parts or 1 < parts <= FAN_IN and ties <= TASK_TIES:
+        merged = -(-parts // FAN_IN)
+        at = stars.select("u", "v", F.floor(F.col("task") / F.lit(FAN_IN)).alias("task"))
+        up = stage(at.repartition(merged, "task").mapInPandas(_tagged_forest, "u long, v long, task int"), "forest")
+        unstage(stars)
+        stars, parts = up, merged
+        if parts > 1:
+            ties, parts = stars.agg(F.count("*"), F.countDistinct("task")).first()
+    if parts <= 1:
+        return stars.select(F.col("v").alias("node"), F.col("u").alias("component"))
+    stars = stars.select("u", "v")
     for _ in range(max_rounds):
         least = stage(stars.groupBy("v").agg(F.min("u").alias("least"), F.max("u").alias("most")), "least")
         if least.where("least <> most").isEmpty():
             return least.select(F.col("v").alias("node"), F.col("least").alias("component"))
-        of_root = least.select(F.col("v").alias("u"), F.col("least").alias("above"))
-        moved = stars.join(least.drop("most"), "v").join(of_root, "u").withColumn("to", F.least("least", "above"))
+        roots = stars.select(F.col("u").alias("v")).distinct()
+        moving = least.where("least < v").join(roots, "v", "left_semi").select(F.col("v").alias("u"), F.col("least").alias("above"))
+        salted = moving.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+        moved = stars.join(least.drop("most"), "v").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        moved = moved.join(salted, ["u", "salt"], "left").withColumn("to", F.least("least", F.coalesce("above", "u")))
         ties = moved.select(F.col("to").alias("u"), F.explode(F.array("u", "v")).alias("v")).distinct()
-        stars = stage(ties.repartition("u").mapInPandas(_forest, "u long, v long"), "forest")
+        up = stage(ties.repartition("v").mapInPandas(_forest, "u long, v long"), "forest")
+        stars = up
     raise RuntimeError(f"components not settled after {max_rounds} rounds")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -16,13 +18,18 @@ from pyspark.sql import types as T
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _OWN: dict[str, str] = {}
 _STAGED: list[tuple[SparkSession, str]] = []
+_LOCK, _WRITES, _BEFORE = threading.Lock(), [0], [None]
+SMALL = 1 << 30  # bytes of a plan's estimate up to which spread() may move rows
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests, one machine) a temporary folder of our own."""
+    """The folder named by spark.checkpoint.dir; where that is unset and all tasks run in this process, a temporary folder of our own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("on a cluster spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN:
         _OWN[app] = "file://" + tempfile.mkdtemp(prefix="corpusmill-")
@@ -36,36 +43,73 @@ def _remove(path: str) -> None:
     shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
+@contextlib.contextmanager
+def _freeing_shuffles(spark: SparkSession):
+    """While tables are written, the shuffles behind them go as soon as they are read; writes of several threads may overlap."""
+    with _LOCK:
+        if not _WRITES[0]:
+            _BEFORE[0] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        _WRITES[0] += 1
+    try:
+        yield
+    finally:
+        with _LOCK:
+            _WRITES[0] -= 1
+            if not _WRITES[0]:
+                spark.conf.unset(CLEANUP) if _BEFORE[0] is None else spark.conf.set(CLEANUP, _BEFORE[0])
+
+
 def stage(df: DataFrame, name: str = "t") -> DataFrame:
     """Writes df to the shared folder and reads it back: lineage is cut, and the data survives the loss of any executor."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stage-{name}-{uuid.uuid4().hex}"
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")  # the shuffles behind a written table are not read again
-    try:
+    path = new_path(spark, f"stage-{name}")
+    with _freeing_shuffles(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that drop_staged() and scratch() remove."""
+    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     _STAGED.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    return path
+
+
+def _delete(spark: SparkSession, paths: list[str]) -> None:
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
+def unstage(*tables: DataFrame) -> None:
+    """Removes tables of stage() that nothing will read again."""
+    for t in tables:
+        path = getattr(t, "_staged_at", None)
+        if path:
+            _delete(t.sparkSession, [path])
+            _STAGED[:] = [x for x in _STAGED if x[1] != path]
 
 
 def drop_staged(spark: SparkSession) -> None:
     """Removes every table that stage() wrote for this session; results not yet written by then can no longer be computed."""
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
-    keep = []
-    for owner, path in _STAGED:
-        if owner is spark:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-        else:
-            keep.append((owner, path))
-    _STAGED[:] = keep
+    _delete(spark, [path for owner, path in _STAGED if owner is spark])
+    _STAGED[:] = [x for x in _STAGED if x[0] is not spark]
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Whatever is staged within is removed at the end; results must have been written by then."""
+    before = {path for _, path in _STAGED}
+    try:
+        yield
+    finally:
+        new = [path for owner, path in _STAGED if owner is spark and path not in before]
+        _delete(spark, new)
+        _STAGED[:] = [x for x in _STAGED if x[1] not in set(new)]
 
 
 def _accumulate(order: list[str], by: str | None, amount: str | None, out: str):
@@ -124,7 +168,9 @@ def running_total(df: DataFrame, order: list[str], out: str, by: str | None = No
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores where its files give fewer partitions than there are cores (small tables); large inputs stay as they are."""
+    """df over all cores where it is small (SMALL bytes by the optimiser's estimate) and its files give fewer partitions than there are cores; the result is the same."""
+    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SMALL:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < df._jdf.rdd().getNumPartitions() < cores else df
 

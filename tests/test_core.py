@@ -124,3 +124,43 @@ def test_gate_language_whole_list_and_ascii_share(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: (r.share, r.passed) for r in assembly.gate_language(spark, str(tmp_path)).collect()}
     assert got == {1: (1.0, True), 2: (0.5, False), 3: (0.0, False), 4: (0.0, False), 5: (None, False), 6: (None, False)}
+
+
+@pytest.mark.parametrize("held", [4_000_000, 300, 10])
+def test_components_of_a_giant_and_a_path(spark, monkeypatch, held):
+    """One component of nearly all nodes and a long path, whether forests merge to one or go on in rounds."""
+    from corpusmill.operators import graph
+
+    monkeypatch.setattr(graph, "TASK_TIES", held)
+    rng = random.Random(3)
+    perm = rng.sample(range(1000), 1000)
+    edges = list(zip(perm, perm[1:], strict=False)) + [(rng.choice([5000, 5001]), rng.randint(5000, 9000)) for _ in range(4000)] + [(9500, 9500)]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "u long, v long").repartition(11)).collect()}
+    assert all(c == 0 for n, c in got.items() if n < 1000) and got[9500] == 9500
+    assert len({c for n, c in got.items() if 5000 <= n < 9500}) <= 2
+
+
+def test_pairs_within_heavy_groups_by_broadcast(spark, monkeypatch):
+    from corpusmill.operators import blocks
+
+    monkeypatch.setattr(blocks, "HEAVY", 10)
+    rows = [("g", i) for i in range(40)] + [("h", 1), ("h", 2), (None, 1), (None, 2)]
+    got = {(r["g"], r["a"], r["b"]) for r in pairs_within(spark.createDataFrame(rows, "g string, x int"), ["g"], "x", block=16).collect()}
+    assert got == {("g", i, j) for i in range(40) for j in range(i + 1, 40)} | {("h", 1, 2)}
+
+
+def test_unstage_and_scratch(spark):
+    import os
+
+    from corpusmill.runtime import scratch, stage, unstage
+
+    path = lambda t: t._staged_at.removeprefix("file://")
+    a = stage(spark.range(3))
+    assert os.path.isdir(path(a)) and a.count() == 3
+    unstage(a)
+    assert not os.path.exists(path(a))
+    with scratch(spark):
+        b = stage(spark.range(4))
+        assert b.count() == 4
+    assert not os.path.exists(path(b))
