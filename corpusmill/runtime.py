@@ -169,7 +169,7 @@ def running_total(df: DataFrame, order: list[str], out: str, by: str | None = No
 
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where it is small (SMALL bytes by the optimiser's estimate) and its files give fewer partitions than there are cores; the result is the same."""
-    if int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString()) > SMALL:
+    if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > SMALL:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if 0 < df._jdf.rdd().getNumPartitions() < cores else df
