@@ -12,11 +12,16 @@ from pyspark.sql import functions as F
 from corpusmill.llm.shingles import WordIds, prefix_length, set_id, shingle_batch, token_batch
 from corpusmill.operators.blocks import pairs_within
 from corpusmill.operators.graph import connected_components
-from corpusmill.runtime import spread, stage
+from corpusmill.runtime import spread, stage, unstage
 
-SEGMENTS, COUNTERS, FINE_BITS = 8, 1 << 20, 2048
+SEGMENTS, FINE_BITS = 8, 2048
+#: Counters of shingles: as many as fit 16 shingles each, within these bounds (4 to 64 MB).
+COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 24
+SLICES = 64  # tasks that add up counters or filter bits
 #: Key groups up to this size are compared within a task; larger ones are split by a second shared shingle.
 GROUP = 256
+#: A shingle whose counter is above this, and above CROWD times the mean counter, is never gathered: its texts take the second shingle at once.
+HOT, CROWD = 50_000, 16
 RECORD = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "<u4"), ("at", "<u4")])
 SKETCH = [f"k{i}" for i in range(SEGMENTS)]
 
@@ -35,7 +40,9 @@ def _sets(k: int):
             keep = np.array([len(s) > 0 for s in sets], bool)
             sets = [s for s in sets if len(s)]
             sketches = np.array([odd_sketch(s) for s in sets], "<i8").reshape(len(sets), SEGMENTS)
-            out = pd.DataFrame({"row": pdf["row"].to_numpy()[keep], "set": np.array([set_id(s) for s in sets], np.uint64).view(np.int64), "n": np.array([len(s) for s in sets], np.int32)})
+            ids128 = [set_id(s) for s in sets]
+            low, high = (np.array([(x >> r) & 0xFFFFFFFFFFFFFFFF for x in ids128], np.uint64).view(np.int64) for r in (0, 64))
+            out = pd.DataFrame({"row": pdf["row"].to_numpy()[keep], "set": low, "high": high, "n": np.array([len(s) for s in sets], np.int32)})
             for i, c in enumerate(SKETCH):
                 out[c] = sketches[:, i]
             out["shingles"] = [s.tobytes() for s in sets]
@@ -44,27 +51,38 @@ def _sets(k: int):
     return run
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(COUNTERS, np.int64)
-    for pdf in batches:
-        total += np.bincount(np.frombuffer(b"".join(pdf["shingles"]), "<u8") % np.uint64(COUNTERS), minlength=COUNTERS)
-    yield pd.DataFrame({"counts": [np.minimum(total, 2**31 - 1).astype("<u4").tobytes()]})
+def _count(counters: int):
+    """A task's counts of shingles by counter, cut to slices."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(counters, np.int64)
+        for pdf in batches:
+            total += np.bincount(np.frombuffer(b"".join(pdf["shingles"]), "<u8") % np.uint64(counters), minlength=counters)
+        cut = np.minimum(total, 2**31 - 1).astype("<u4").reshape(SLICES, -1)
+        yield pd.DataFrame({"slice": np.arange(SLICES), "counts": [c.tobytes() for c in cut]})
+
+    return run
 
 
 def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = np.zeros(COUNTERS, np.int64)
+    totals: dict[int, np.ndarray] = {}
     for pdf in batches:
-        for b in pdf["counts"]:
-            total += np.frombuffer(b, "<u4")
-    yield pd.DataFrame({"counts": [np.minimum(total, 2**31 - 1).astype("<u4").tobytes()]})
+        for i, b in zip(pdf["slice"], pdf["counts"], strict=True):
+            c = np.frombuffer(b, "<u4").astype(np.int64)
+            totals[i] = totals[i] + c if i in totals else c
+    yield pd.DataFrame({"slice": list(totals), "counts": [np.minimum(c, 2**31 - 1).astype("<u4").tobytes() for c in totals.values()]})
 
 
-def shingle_frequencies(sets: DataFrame) -> np.ndarray:
-    """How often shingles fall on each of 2^20 counters, over all texts: 4 MB whatever the collection, added up by tasks."""
-    tasks = max(1, min(sets.rdd.getNumPartitions(), sets.sparkSession.sparkContext.defaultParallelism))
-    part = sets.select("shingles").coalesce(tasks).mapInPandas(_count, "counts binary")
-    one = part.repartition(1).mapInPandas(_add, "counts binary").first()
-    return np.frombuffer(one["counts"], "<u4")
+def shingle_frequencies(sets: DataFrame, shingles: int) -> np.ndarray:
+    """How often shingles fall on each counter, over all texts; tasks hand their counts on in slices, so no task adds up more than 1 / SLICES of them."""
+    counters = min(MOST_COUNTERS, max(COUNTERS, 1 << max(0, shingles // 16).bit_length()))
+    cores = sets.sparkSession.sparkContext.defaultParallelism
+    part = sets.select("shingles")
+    part = part.coalesce(cores) if part.rdd.getNumPartitions() > cores else part
+    rows = part.mapInPandas(_count(counters), "slice int, counts binary").repartition(min(SLICES, cores), "slice").mapInPandas(_add, "slice int, counts binary").collect()  # 4 bytes a counter
+    if not rows:
+        return np.zeros(counters, "<u4")
+    return np.concatenate([np.frombuffer(r["counts"], "<u4") for r in sorted(rows, key=lambda r: r["slice"])])
 
 
 def least_shared(n):
@@ -77,29 +95,33 @@ def least_shared_of(n: Column) -> Column:
 
 
 def _prefixes(similarity: float, frequency, ranges: int):
-    """Each text's rarest shingles, enough that similar texts share one, as records cut by range of the shingle."""
+    """Each text's rarest shingles, enough that similar texts share one, as records cut by range of the shingle; those of crowded shingles go to range -1."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         f = frequency.value
+        hot = max(HOT, CROWD * float(f.mean()))
         for pdf in batches:
             pdf = pdf.drop_duplicates("set")
             parts = []
             for s, set_, n in zip(pdf["shingles"], pdf["set"], pdf["n"], strict=True):
                 h = np.frombuffer(s, "<u8")
                 p = min(n, prefix_length(n, similarity) + least_shared(n) - 1)
-                rank = np.lexsort((h, f[h % np.uint64(COUNTERS)]))[:p]
+                rank = np.lexsort((h, f[h % np.uint64(len(f))]))[:p]
                 r = np.empty(p, RECORD)
                 r["key"], r["set"], r["n"], r["at"] = h[rank], set_, n, np.arange(p)
                 parts.append(r)
             if not parts:
                 continue
             r = np.concatenate(parts)
-            to = (r["key"] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)
+            to = ((r["key"] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+            crowded = f[r["key"] % np.uint64(len(f))] > hot
+            # all records of such a shingle are told by the same counter, so none is left behind; they stay where they are
+            to[crowded] = -1 - (r["set"][crowded] % ranges)
             order = np.argsort(to, kind="stable")
             r, to = r[order], to[order]
             starts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1]]))
             ends = np.append(starts[1:], len(r))
-            yield pd.DataFrame({"range": to[starts].astype(np.int64), "records": [r[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
+            yield pd.DataFrame({"range": to[starts], "records": [r[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]})
 
     return run
 
@@ -127,8 +149,11 @@ def _candidates(similarity: float):
         return seen[new], np.add.reduceat(k, np.flatnonzero(new))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def flush(blobs: list[bytes]):
+        def flush(blobs: list[bytes], told: bool):
             r = np.frombuffer(b"".join(blobs), RECORD)
+            if told:
+                yield pd.DataFrame({"a": r["set"], "b": np.ascontiguousarray(r["key"]).view(np.int64), "n": r["n"].astype(np.int32), "k": np.zeros(len(r), np.int32)})
+                return
             r = r[np.lexsort((r["set"], r["key"]))]
             same = (r["key"][1:] == r["key"][:-1]) & (r["set"][1:] == r["set"][:-1])
             r = r[np.concatenate([[True], ~same])]
@@ -161,9 +186,12 @@ def _candidates(similarity: float):
         held: dict[int, list[bytes]] = {}
         for pdf in batches:
             for g, b in zip(pdf["range"], pdf["records"], strict=True):
-                held.setdefault(g, []).append(b)
+                if g < 0:
+                    yield from flush([b], True)
+                else:
+                    held.setdefault(g, []).append(b)
         for g in list(held):
-            yield from flush(held.pop(g))
+            yield from flush(held.pop(g), False)
 
     return run
 
@@ -180,7 +208,7 @@ def _second_keys(similarity: float, frequency):
                 first = np.uint64(np.int64(key).view(np.uint64))
                 # shares `key` and at least one of the others in a prefix that is longer by one, unless one shared shingle is enough
                 p = min(n, prefix_length(n, similarity) + 1)
-                rank = np.lexsort((h, f[h % np.uint64(COUNTERS)]))[:p]
+                rank = np.lexsort((h, f[h % np.uint64(len(f))]))[:p]
                 other = h[rank]
                 other = other[other != first]
                 r = np.empty(len(other), [("key", "<u8"), ("set", "<i8")])
@@ -212,41 +240,65 @@ def ring_filter(budget: Column, d: list[Column]) -> Column:
     return start
 
 
-FILTER_BITS = 1 << 26
+#: Bits of the filter for each set, and the most it may have (128 MB); beyond, texts are joined without it.
+BITS_EACH, MOST_BITS = 12, 1 << 30
 
 
-def _slots(ids: np.ndarray) -> list[np.ndarray]:
+def _slots(ids: np.ndarray, bits: int) -> list[np.ndarray]:
     h = ids.view(np.uint64)
-    return [(h >> np.uint64(r)) % np.uint64(FILTER_BITS) for r in (0, 19, 37)]
+    return [(h >> np.uint64(r)) % np.uint64(bits) for r in (0, 19, 33)]
 
 
-def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(FILTER_BITS, bool)
-    for pdf in batches:
-        for slot in _slots(pdf["set"].to_numpy()):
-            bits[slot] = True
-    yield pd.DataFrame({"bits": [np.packbits(bits).tobytes()]})
+def _mark(bits: int):
+    """The filter's slices, each from the slots that fall on it."""
+    width = bits // SLICES
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict[int, np.ndarray] = {}
+        for pdf in batches:
+            for i, s in zip(pdf["slice"], pdf["slots"], strict=True):
+                if i not in held:
+                    held[i] = np.zeros(width, bool)
+                held[i][np.frombuffer(s, "<u4")] = True
+        yield pd.DataFrame({"slice": list(held), "bits": [np.packbits(x).tobytes() for x in held.values()]})
 
+    return run
 
-def _unite(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for pdf in batches:
-        for b in pdf["bits"]:
-            bits |= np.frombuffer(b, np.uint8)
-    yield pd.DataFrame({"bits": [bits.tobytes()]})
+
+def _cut_slots(bits: int):
+    width = bits // SLICES
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = np.concatenate(_slots(pdf["set"].to_numpy(), bits)) if len(pdf) else np.empty(0, np.uint64)
+            to = (at // np.uint64(width)).astype(np.int64)
+            order = np.argsort(to, kind="stable")
+            at, to = at[order], to[order]
+            starts, size = _runs(to) if len(to) else (np.empty(0, int), np.empty(0, int))
+            yield pd.DataFrame({"slice": to[starts], "slots": [(at[s : s + m] % np.uint64(width)).astype("<u4").tobytes() for s, m in zip(starts, size, strict=True)]})
+
+    return run
 
 
 def only_involved(sets: DataFrame, involved: DataFrame) -> DataFrame:
-    """The rows of `sets` whose set is in `involved`, and a few others; a Bloom filter of 8 MB, whatever the collection, spares the rest a shuffle."""
-    marks = involved.coalesce(4).mapInPandas(_mark, "bits binary").repartition(1).mapInPandas(_unite, "bits binary").first()
-    shared = sets.sparkSession.sparkContext.broadcast(marks["bits"])
+    """The rows of `sets` whose set is in `involved`, and a few others; a Bloom filter of BITS_EACH bits a set, made in slices by all tasks, spares the rest a shuffle."""
+    n = involved.count()
+    bits = max(1 << 16, 1 << (BITS_EACH * n).bit_length())
+    if bits > MOST_BITS:
+        return sets
+    tasks = min(SLICES, sets.sparkSession.sparkContext.defaultParallelism)
+    rows = involved.mapInPandas(_cut_slots(bits), "slice long, slots binary").repartition(tasks, "slice").mapInPandas(_mark(bits), "slice long, bits binary").collect()  # at most MOST_BITS
+    whole = np.zeros(bits // 8, np.uint8).reshape(SLICES, -1)
+    for r in rows:
+        whole[r["slice"]] = np.frombuffer(r["bits"], np.uint8)
+    shared = sets.sparkSession.sparkContext.broadcast(whole.tobytes())
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits = np.frombuffer(shared.value, np.uint8)
+        held = np.frombuffer(shared.value, np.uint8)
         for pdf in batches:
             keep = np.ones(len(pdf), bool)
-            for slot in _slots(pdf["set"].to_numpy()):
-                keep &= (bits[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 == 1
+            for slot in _slots(pdf["set"].to_numpy(), bits):
+                keep &= (held[slot >> np.uint64(3)] >> (np.uint8(7) - (slot & np.uint64(7)).astype(np.uint8))) & 1 == 1
             yield pdf[keep]
 
     return sets.mapInPandas(run, sets.schema)
@@ -302,8 +354,8 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
        against longer vectors. 4. The full distance is computed on the shingles. Nothing is capped and no step loses a pair.
     """
     spark = sets.sparkSession
-    frequency = spark.sparkContext.broadcast(shingle_frequencies(sets))  # 4 MB by construction
     size = sets.agg(F.sum("n")).first()[0] or 0
+    frequency = spark.sparkContext.broadcast(shingle_frequencies(sets, size))  # 4 to 64 MB by construction
     ranges = max(2 * spark.sparkContext.defaultParallelism, int(size * (1 - similarity) * RECORD.itemsize / 12e6) + 1)
     records = sets.select("set", "n", "shingles").mapInPandas(_prefixes(similarity, frequency, ranges), "range long, records binary")
     met = stage(records.repartition(ranges, "range").mapInPandas(_candidates(similarity), "a long, b long, n int, k int"), "candidates")
@@ -315,8 +367,8 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
         again = stage(crowded.join(unique, "set").mapInPandas(_second_keys(similarity, frequency), "key long, set long").distinct(), "second-keys")
         sized = stage(again.join(unique.select("set", "n"), "set"), "second-sized")
         within = pairs_within(sized, ["key"], "set", block=GROUP, keep=["n"], where=lambda left, right: F.least(left("n"), right("n")) >= F.greatest(left("n"), right("n")) * F.lit(similarity) - F.lit(1e-9))
-        # sets so small that one shared shingle may do: few different ones can share it, as each is that shingle and at most one more
-        tiny = crowded.join(unique.where("n <= 2").select("set", "n"), "set")
+        # sets so small that one shared shingle may do: 1 / (na + nb - 1) is at least the similarity, so neither has more than 1 / similarity
+        tiny = crowded.join(unique.where(F.col("n") <= F.lit(int(1 / similarity + 1e-9))).select("set", "n"), "set")
         small = pairs_within(tiny, ["key"], "set", block=GROUP, keep=["n"])
         pairs = pairs.unionByName(within.select("a", "b")).unionByName(small.select("a", "b"))
     pairs = pairs.distinct()
@@ -332,7 +384,23 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     side = lambda x: fine.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
     near = stage(held.join(side("a"), "a").join(side("b"), "b").mapInPandas(_near(similarity), "a long, b long"), "near")
     j = near.join(texts.select(F.col("set").alias("a"), F.col("shingles").alias("sa")), "a").join(texts.select(F.col("set").alias("b"), F.col("shingles").alias("sb")), "b")
-    return stage(j.select("a", "b", "sa", "sb").mapInPandas(_verify(similarity), "a long, b long"), "similar")
+    out = stage(j.select("a", "b", "sa", "sb").mapInPandas(_verify(similarity), "a long, b long"), "similar")
+    unstage(met, held, involved, texts, near)
+    return out
+
+
+def apart(sets: DataFrame) -> DataFrame:
+    """sets without `high`: where different sets have the same 64-bit number, all but one get another, made of all 128 bits.
+
+    Of 1e10 sets a few share their number. They are found by comparing the other 64 bits, and their numbers are few enough to be broadcast:
+    n * n / 2^65 are expected, one in a billion at that size.
+    """
+    same = sets.groupBy("set").agg(F.min("high").alias("kept"), F.max("high").alias("most")).where("kept <> most").select("set", "kept")
+    if same.isEmpty():
+        return sets.drop("high")
+    j = sets.join(F.broadcast(same), "set", "left")
+    moved = F.when(F.col("kept").isNotNull() & (F.col("high") != F.col("kept")), F.xxhash64(F.lit("apart"), "set", "high")).otherwise(F.col("set"))
+    return stage(j.withColumn("set", moved).drop("high", "kept"), "sets")
 
 
 def near_duplicate_groups(df: DataFrame, row: str = "rec_no", text: str = "body", similarity: float = 0.8, words: int = 5) -> DataFrame:
@@ -341,15 +409,17 @@ def near_duplicate_groups(df: DataFrame, row: str = "rec_no", text: str = "body"
     Similar: Jaccard similarity of the sets of `words`-word shingles (words are runs of letters and digits without case and accents; a text of
     fewer words is one shingle) at least `similarity`. `links` is the number of other
     distinct sets similar to the row's. Null texts and texts without words are in no group. Rows count each, repeated or not; copies share a
-    set and are never compared with each other. group is a set's 64-bit number, the least of its group.
+    set and are never compared with each other. group is a set's number, the least of its group; sets are told apart by 128 bits.
     """
     src = df.where(F.col(text).isNotNull()).select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
-    schema = ", ".join(["row long", "set long", "n int", *(f"{c} long" for c in SKETCH), "shingles binary"])
-    sets = stage(spread(src).mapInPandas(_sets(words), schema), "sets")
+    schema = ", ".join(["row long", "set long", "high long", "n int", *(f"{c} long" for c in SKETCH), "shingles binary"])
+    sets = apart(stage(spread(src).mapInPandas(_sets(words), schema), "sets"))
     pairs = similar_sets(sets, similarity)
     comp = connected_components(pairs, "a", "b")
     links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     rows = sets.select("row", "set").join(comp.withColumnRenamed("node", "set"), "set", "left").join(links.withColumnRenamed("node", "set"), "set", "left")
     rows = rows.select("row", F.coalesce("component", "set").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
     many = rows.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").select("group")
-    return stage(rows.join(many, "group").select(F.col("row").alias(row), "group", "links"), "groups")
+    out = stage(rows.join(many, "group").select(F.col("row").alias(row), "group", "links"), "groups")
+    unstage(pairs, comp)
+    return out

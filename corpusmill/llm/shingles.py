@@ -90,5 +90,5 @@ def prefix_length(n: int, similarity: float) -> int:
 
 
 def set_id(s: np.ndarray) -> int:
-    """A 64-bit number of a shingle set."""
-    return xxhash.xxh3_64_intdigest(s.tobytes())
+    """A 128-bit number of a shingle set."""
+    return xxhash.xxh3_128_intdigest(s.tobytes())

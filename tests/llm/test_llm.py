@@ -280,3 +280,38 @@ def test_message_passing_is_exact_on_a_chain():
     p /= p.sum(1, keepdims=True)
     for k, axes in enumerate(((1, 2), (0, 2), (0, 1))):
         assert np.allclose(p[k], joint.sum(axes) / joint.sum(), atol=1e-3)
+
+
+@pytest.mark.parametrize(("similarity", "words"), [(0.3, 2), (0.8, 5)])
+def test_near_duplicates_with_crowded_shingles(spark, monkeypatch, similarity, words):
+    """Boilerplate in nine tenths of the texts, with hot shingles told before they are gathered, at low and high similarity."""
+    monkeypatch.setattr(near_duplicates, "GROUP", 2)
+    monkeypatch.setattr(near_duplicates, "HOT", 3)
+    monkeypatch.setattr(near_duplicates, "CROWD", 0)
+    rng = random.Random(12)
+    texts = corpus(70, 3)
+    boiler = "all rights of this text are kept by the house that printed it in spring"
+    texts = [t if i % 10 == 0 else f"{boiler} {t}" if i % 3 else f"{boiler} w{rng.randint(1, 9)}" for i, t in enumerate(texts)] + ["a b", "a b c", "a b d", "a b c d", "b a"]
+    rows = list(enumerate(texts))
+    got = near_duplicates.near_duplicate_groups(spark.createDataFrame(rows, "rec_no long, body string"), similarity=similarity, words=words).collect()
+    parent = {}
+
+    def find(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for i, j in similar(texts, words, similarity):
+        parent[find(i)] = find(j)
+    want, have = {}, {}
+    for x in list(parent):
+        want.setdefault(find(x), set()).add(x)
+    for r in got:
+        have.setdefault(r.group, set()).add(r.rec_no)
+    assert sorted(map(sorted, have.values())) == sorted(map(sorted, want.values())) and want
+
+
+def test_sets_of_equal_numbers_are_kept_apart(spark):
+    sets = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 5)], "row long, set long, high long")
+    got = {r.row: r.set for r in near_duplicates.apart(sets).collect()}
+    assert got[1] == got[3] == 7 and got[2] not in (7, 8) and got[4] == 8
