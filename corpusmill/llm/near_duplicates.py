@@ -15,7 +15,7 @@ from corpusmill.operators.graph import connected_components
 from corpusmill.runtime import spread, stage, unstage
 
 SEGMENTS, FINE_BITS = 8, 2048
-#: Counters of shingles: as many as fit 16 shingles each, within these bounds (4 to 64 MB).
+#: Counters of shingles: one for each 64 of them, within these bounds (4 to 64 MB).
 COUNTERS, MOST_COUNTERS = 1 << 20, 1 << 24
 SLICES = 64  # tasks that add up counters or filter bits
 #: Key groups up to this size are compared within a task; larger ones are split by a second shared shingle.
@@ -75,7 +75,7 @@ def _add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def shingle_frequencies(sets: DataFrame, shingles: int) -> np.ndarray:
     """How often shingles fall on each counter, over all texts; tasks hand their counts on in slices, so no task adds up more than 1 / SLICES of them."""
-    counters = min(MOST_COUNTERS, max(COUNTERS, 1 << max(0, shingles // 16).bit_length()))
+    counters = min(MOST_COUNTERS, max(COUNTERS, 1 << max(0, shingles // 64).bit_length()))
     cores = sets.sparkSession.sparkContext.defaultParallelism
     part = sets.select("shingles")
     part = part.coalesce(cores) if part.rdd.getNumPartitions() > cores else part
