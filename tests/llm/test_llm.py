@@ -315,3 +315,28 @@ def test_sets_of_equal_numbers_are_kept_apart(spark):
     sets = spark.createDataFrame([(1, 7, 1), (2, 7, 2), (3, 7, 1), (4, 8, 5)], "row long, set long, high long")
     got = {r.row: r.set for r in near_duplicates.apart(sets).collect()}
     assert got[1] == got[3] == 7 and got[2] not in (7, 8) and got[4] == 8
+
+
+def test_target_sample_gaps_are_near_the_raked_optimum(spark):
+    """Ids that lack a category of a facet are drawn too, and every facet's gaps stay within 0.02 of what raking alone leaves."""
+    rng = random.Random(21)
+    pick = lambda xs, none: None if rng.random() < none else rng.choices(xs, range(1, len(xs) + 1))[0]
+    lcc, forms, regs, models = list("ABCDEFGHKLMN"), [f"form{c}" for c in "abcdefgh"], ["formal", "plain", "verse"], [f"mod{c}" for c in "abcde"]
+    rows = [(f"id{i}", pick(lcc, 0.12), pick(forms, 0.1), pick(regs, 0.05), pick(models, 0.1)) for i in range(12000)] + [(None, "A", "forma", "formal", "moda")]
+    df = spark.createDataFrame(rows, "id string, lcc_code string, lcgft_form string, register string, model string")
+    terms = {"lcc_code": lcc, "lcgft_form": forms, "register": regs, "model": models}
+    space = spark.createDataFrame([(f, t, f"the {t} kind") for f, ts in terms.items() for t in ts], "facet string, term string, broader string")
+    goal = [(f, t, 1 / len(ts), 20, 0.2) for f, ts in terms.items() for t in ts]
+    targets = spark.createDataFrame(goal, "facet string, category string, target_share double, min_records int, sample_fraction double")
+    sample, report = target_sample.target_sample(df, space, targets)
+    s, r = sample.toPandas(), report.toPandas()
+    assert s["id"].is_unique and s[target_sample.FACETS].isna().any(axis=1).mean() > 0.1
+    cells = df.where("id is not null").groupBy(*target_sample.FACETS).count().withColumnRenamed("count", "left").toPandas()
+    want = {f: {t: 0.2 * 12000 / len(ts) for t in ts} for f, ts in terms.items()}
+    mass = target_sample.rake(cells, want, 200, 1e-4)
+    for f in terms:
+        met = r[(r["facet"] == f) & r["can_be_met"]]
+        best = sum(abs(mass[(cells[f] == c).to_numpy()].sum() - want[f][c]) for c in met["category"])
+        assert met["gap"].abs().sum() <= best + 0.02 * 2400
+    again = target_sample.target_sample(df.repartition(7), space, targets)[0].toPandas()
+    assert set(again["id"]) == set(s["id"])
