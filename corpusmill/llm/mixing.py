@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +40,22 @@ def schedule_position(x: Column, ramp: Column) -> Column:
     return F.when(F.abs(ramp) < 1e-9, x).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), (root - b) / (F.lit(2.0) * ramp))))
 
 
-def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, ramps: dict[str, float] | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+def fade_in_repeated(give: dict[str, float], stock: dict[str, int], ramp: float = 0.5) -> dict[str, float]:
+    """A schedule by source: those used more than once come late and the others early, so that repeats meet a model that has seen the rest."""
+    return {s: ramp if stock.get(s) and g > stock[s] else -ramp for s, g in give.items()}
+
+
+def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, ramps: dict[str, float] | Callable | None = None, seed: int = 0) -> tuple[DataFrame, DataFrame]:
     """(uses, report) for docs(doc_id, source, n_tokens) and targets(source, target_share, max_repeats).
 
     uses: one row for each use of a text: doc_id, source, n_tokens, use (1, 2, ...), position in [0, 1]; texts not used
     don't appear. `total` is the size of the mixture, the stock of the wanted sources if not given. A source's tokens
     over its stock gives its repeats r: every text is used floor(r) times, and the texts that come first in a seeded
-    random order once more, up to the source's demand; a text counts while the tokens before it are below the demand. No text is used more than max_repeats times. Each use's place on the
-    source's token line is turned into a training position by inverting the source's cumulative demand under its ramp.
+    random order once more, up to the source's demand; a text counts while the tokens before it are below the demand. No text is used more than max_repeats times.
+    `ramps` gives each source's schedule, as a dict or a function of the sources' tokens and stocks: its weight at time t is 1 + ramp * (2t - 1) times its mean.
+    Each use's place on the source's token line is turned into a time by inverting the source's cumulative demand, and the time into a position
+    by the cumulative demand of all sources: position is the share of all tokens that come before, so equal stretches
+    of it hold equal numbers of tokens, and the weights of a time are each source's share of the demand at that time.
     report: source, target_share, share_reached, tokens_wanted, tokens_used, stock, repeats, shortfall.
     Sources without a target or without texts give no uses; a wanted source without texts is reported with stock 0. Null sources are none; texts of 0 tokens are never used. Repeated doc_ids are texts of their own.
     """
@@ -58,7 +68,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, ramps:
     stock = {r["source"]: r["n"] for r in mine.groupBy("source").agg(F.sum("n_tokens").alias("n")).collect()}
     size = float(sum(stock.values())) if total is None else float(total)
     give = allot(stock, goal, size)
-    ramps = ramps or {}
+    ramps = (ramps(give, stock) if callable(ramps) else ramps) or {}
+    given = sum(give.values())
+    tilt = sum(give[s] * float(ramps.get(s, 0.0)) for s in give) / given if given else 0.0
     rows = [(s, goal[s][0], goal[s][1], int(stock.get(s, 0)), give[s], float(ramps.get(s, 0.0))) for s in goal]
     names = [("source", T.StringType()), ("target_share", T.DoubleType()), ("max_repeats", T.IntegerType()), ("stock", T.LongType()), ("tokens_wanted", T.DoubleType()), ("ramp", T.DoubleType())]
     plan = spark.createDataFrame(rows, T.StructType([T.StructField(n, t) for n, t in names]))
@@ -70,7 +82,9 @@ def mix(docs: DataFrame, targets: DataFrame, total: float | None = None, ramps:
     j = j.withColumn("k", uses).where("k > 0").withColumn("use", F.explode(F.sequence(F.lit(1), F.col("k"))))
     at = (F.col("use") - 1) * F.col("stock") + F.col("before") + F.col("n_tokens") / 2.0
     x = F.least(F.lit(1.0), at / F.col("tokens_wanted"))
-    out = stage(j.select("doc_id", "source", "n_tokens", "use", schedule_position(x, F.col("ramp")).alias("position")), "mix-uses")
+    t = schedule_position(x, F.col("ramp"))
+    position = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t + F.lit(tilt) * (t * t - t)))
+    out = stage(j.select("doc_id", "source", "n_tokens", "use", position.alias("position")), "mix-uses")
     got = out.groupBy("source").agg(F.sum("n_tokens").alias("tokens_used"))
     all_used = out.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("all_used"))
     r = plan.join(got, "source", "left").crossJoin(F.broadcast(all_used))  # one row on the right
