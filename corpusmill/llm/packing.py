@@ -52,13 +52,18 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[tuple[in
     return [(p, n) for room in packs.values() for p, n in room.items() if n]
 
 
+#: Ranks of a length that share a join key with the patterns that take them.
+BLOCK = 1024
+
+
 def pack(items: DataFrame, capacity: int, key: list[str], size: str = "n_tokens") -> DataFrame:
     """(*key, piece, n_tokens, container) for items with distinct keys: each item in one container, or in pieces if larger than capacity.
 
     An item of size s > capacity is cut into floor(s / capacity) pieces that fill a container each and a rest, which
     is packed like any item. Items of size 0 (null, empty texts) lie in container 0 if there are containers, else 0 opens one.
-    The histogram of sizes has at most `capacity` rows, and so have the patterns a bound in lengths; patterns are joined
-    back by an item's rank among those of its size, which is counted without gathering a size in one task.
+    The histogram of sizes has at most `capacity` rows. Each step of packing ends a length or a pattern, so patterns are few beside items, but
+    their number has no bound that does not grow: they are joined back by (length, block of ranks), an ordinary join of keys of
+    at most BLOCK items, never a broadcast. An item's rank among those of its size is counted without gathering a size in one task.
     """
     if capacity < 1:
         raise ValueError("capacity must be at least 1")
@@ -84,6 +89,8 @@ def pack(items: DataFrame, capacity: int, key: list[str], size: str = "n_tokens"
     if 0 in counts:
         rows.append((0, 0, counts[0], -1))
     plan = spark.createDataFrame(rows, "n_tokens long, lo long, hi long, first long")
-    joined = ranked.join(F.broadcast(plan), "n_tokens").where("rank >= lo and rank < hi")
+    block = lambda c: F.floor(c / F.lit(BLOCK))
+    plan = plan.withColumn("block", F.explode(F.sequence(block(F.col("lo")), block(F.col("hi") - 1))))
+    joined = ranked.withColumn("block", block(F.col("rank"))).join(plan, ["n_tokens", "block"]).where("rank >= lo and rank < hi")
     container = F.when(F.col("first") < 0, F.lit(0).cast("long")).otherwise(F.col("first") + F.col("rank") - F.col("lo"))
     return joined.select(*key, "piece", "n_tokens", container.alias("container"))
