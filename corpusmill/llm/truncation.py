@@ -17,8 +17,11 @@ from corpusmill.runtime import spread, stage
 
 #: Forms in which a length may have been limited.
 MEASURES = ("chars", "bytes", "utf16", "html_chars", "html_bytes", "json_chars", "json_ascii", "crlf_chars", "crlf_bytes")
-#: Marks that whoever cuts a text leaves behind.
-STRONG_TRACE = r"\[\s*(?:content |text |output )?(?:truncated|cut|clipped|\.\.\.|…)[^\]\n]{0,20}\]|<\|[^|>\n]*\|>|\((?:more|continued|cont\.?|truncated|cut)\)|�+"
+#: Marks of truncation, [truncated] or [content truncated] and tokens in <| |>.
+KNOWN_TRACE = r"\[(?:content )?truncated\]|<\|[^|>\n]*\|>"
+#: Own values: further marks that whoever cuts a text leaves behind.
+OWN_TRACE = r"\[\s*(?:content |text |output )?(?:truncated|cut|clipped|\.\.\.|…)[^\]\n]{0,20}\]|\((?:more|continued|cont\.?|truncated|cut)\)|�+"
+STRONG_TRACE = f"{KNOWN_TRACE}|{OWN_TRACE}"
 TRACE = re.compile(rf"\s*(?:(?P<strong>{STRONG_TRACE})|(?P<weak>\.\.\.|…))\s*$", re.IGNORECASE)
 ENDED = re.compile(r"[.!?。！？][\"”’'»)\]]*(?:\s*[^\w\s.,;:]{1,3}|\s*\([^()\n]{1,12}\))?\s*$")
 UNIT = re.compile(r"[.!?]+[\"”’'»)\]]*(?:\s+|$)|\n+")
@@ -58,6 +61,14 @@ def lengths(b: str) -> list[int]:
     return [n, nb, n + wide, n + html, nb + html, n + json_, n + json_ + ascii_, n + nl, nb + nl]
 
 
+def _starts(parts, longer: Counter, n: int, between: str, kind: str) -> None:
+    """Adds n to the count of every proper beginning of a word (its letters) or a pattern (its signs), each told by its hash; any length, in one pass over it."""
+    h = xxhash.xxh3_64(kind + "\0")
+    for i, part in enumerate(parts[:-1]):
+        h.update(between + part if i else part)
+        longer[h.intdigest() - (1 << 63)] += n
+
+
 def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     words, ends, ended = Counter(), Counter(), Counter()
 
@@ -66,16 +77,13 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         longer: Counter = Counter()
         for w, n in words.items():
             rows.append((_h("w", w), n, ends.get(w, 0)))
-            for i in range(1, min(len(w), 24)):
-                longer[w[:i]] += n
-        rows += [(_h("p", w), n, 0) for w, n in longer.items()]
+            _starts(w, longer, n, "", "p")
+        rows += [(h, n, 0) for h, n in longer.items()]
         further: Counter = Counter()
         for s, n in ended.items():
             rows.append((_h("s", s), n, n))
-            parts = s.split(" ")
-            for i in range(1, min(len(parts), 40)):
-                further[" ".join(parts[:i])] += n
-        rows += [(_h("q", s), n, 0) for s, n in further.items()]
+            _starts(s.split(" "), further, n, " ", "q")
+        rows += [(h, n, 0) for h, n in further.items()]
         words.clear(), ends.clear(), ended.clear()
         return pd.DataFrame([("stat", *[None] * (len(columns) - 4), *r) for r in rows], columns=columns, dtype=object)
 
