@@ -29,7 +29,7 @@ def record_items(df: DataFrame, record: str, lists: list[str]) -> DataFrame:
 def cooccurrence(items: DataFrame, n_records: int, min_pairs: int = 1, min_share: float = 0.0, large: int = 48) -> DataFrame:
     """Pairs of items held by at least max(min_pairs, min_share * n_records) records, with their association.
 
-    `items` is (record, item) without repeats; n_records counts records without items too. Out: item_a < item_b, n_ab, n_a,
+    With the defaults that is every pair of items that any record holds. `items` is (record, item) without repeats; n_records counts records without items too. Out: item_a < item_b, n_ab, n_a,
     n_b, n, lift = n_ab * n / (n_a * n_b), pmi = ln(lift), npmi. An item below the threshold can't be part of a pair
     above it, so such items go first: that is exact, and shortens long baskets. Baskets of up to `large` items make
     their pairs within the row. Longer ones are split into chunks of items, and each product of two chunks is a

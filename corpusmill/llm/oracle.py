@@ -12,10 +12,11 @@ items as (
 n as (select count(distinct id) as n from recs),
 cnt as (select item, count(*) as c from items group by item),
 ab as (select a.item as item_a, b.item as item_b, count(*) as n_ab from items a join items b on a.id = b.id and a.item < b.item group by 1, 2),
-pairs as (
+every as (
   select item_a, item_b, n_ab, ca.c as n_a, cb.c as n_b, n.n as n
   from ab join cnt ca on ca.item = item_a join cnt cb on cb.item = item_b cross join n
-  where n_ab >= 5 and n_ab * 1000 >= 4 * n.n)
+),
+pairs as (select * from every where n_ab >= 5 and n_ab * 1000 >= 4 * n)
 """
 
 P1_FOUND = f"with {ITEMS} select item_a, item_b from pairs where n_ab * n >= 3 * n_a * n_b"
@@ -26,6 +27,8 @@ select item_a, item_b, n_ab, n_a, n_b, n,
   floor(ln(n_ab::double * n / (n_a::double * n_b)) * 1e6 + 0.5) / 1e6 as pmi
 from pairs"""
 
+P1_PAIRS = f"""with {ITEMS} select item_a, item_b, n_ab, n_a, n_b, floor((n_ab::double * n / (n_a::double * n_b)) * 1e6 + 0.5) / 1e6 as lift from every"""
+
 P4_FOUND = r"""
 with al as (
   select distinct facet, term, unnest(case facet
@@ -59,4 +62,4 @@ select a.model as model_a, b.model as model_b from vals a join vals b on a.comp
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_association": P1_ASSOCIATION, "p4_found": P4_FOUND, "p7_found": P7_FOUND}
+    return {"p1_found": P1_FOUND, "p1_association": P1_ASSOCIATION, "p1_pairs": P1_PAIRS, "p4_found": P4_FOUND, "p7_found": P7_FOUND}

@@ -17,15 +17,15 @@ from corpusmill.sources.tables import table
 WORDS, SIMILARITY = 3, 0.6
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
+def _pairs(spark: SparkSession, d: str, min_pairs: int = 5, min_share: float = 0.004) -> DataFrame:
     shelf = table(spark, d, "shelf_features")
     n = shelf.where("id is not null").select("id").distinct().count()
     items = cooccurrence.record_items(shelf, "id", ["topics", "geographic"])
-    return cooccurrence.cooccurrence(items, n, min_pairs=5, min_share=0.004)
+    return cooccurrence.cooccurrence(items, n, min_pairs=min_pairs, min_share=min_share)
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return _pairs(spark, d).where("n_ab * n >= 3 * n_a * n_b").select("item_a", "item_b")
+    return _pairs(spark, d).where("double(n_ab) * n >= 3d * n_a * n_b").select("item_a", "item_b")  # products of counts may pass 2^63
 
 
 def p1_association(spark: SparkSession, d: str) -> DataFrame:
@@ -33,6 +33,12 @@ def p1_association(spark: SparkSession, d: str) -> DataFrame:
     return _pairs(spark, d).select("item_a", "item_b", "n_ab", "n_a", "n_b", "n", r("lift"), r("pmi"))
 
 
+def p1_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of items that any record holds, with its count and lift."""
+    lift = (F.floor(F.col("lift") * 1e6 + 0.5) / 1e6).alias("lift")
+    return _pairs(spark, d, 1, 0.0).select("item_a", "item_b", "n_ab", "n_a", "n_b", lift)
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return truncation.truncation(table(spark, d, "shelf_features"))[0].where("is_cut").select("rec_no")
 
@@ -95,10 +101,20 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return grouped_split.tied_models(table(spark, d, "shelf_features"))
 
 
-def p7_split(spark: SparkSession, d: str) -> DataFrame:
+SPLITS = {"train": 0.8, "validation": 0.1, "test": 0.1}
+
+
+def _split(spark: SparkSession, d: str) -> DataFrame:
     shelf = table(spark, d, "shelf_features")
-    groups = grouped_split.related_groups(shelf, "rec_no", grouped_split.model_ties(shelf))
-    return grouped_split.grouped_split(groups, {"train": 0.8, "validation": 0.1, "test": 0.1}).select(F.col("row").alias("rec_no"), "split")
+    return grouped_split.grouped_split(grouped_split.related_groups(shelf, "rec_no", grouped_split.model_ties(shelf)), SPLITS)
+
+
+def p7_split(spark: SparkSession, d: str) -> DataFrame:
+    return _split(spark, d).select(F.col("row").alias("rec_no"), "split")
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return grouped_split.split_shares(_split(spark, d), SPLITS)
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
@@ -115,15 +131,24 @@ def p8_pack(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    """How full the containers of each kind are, and how many texts were divided because they are larger than one."""
+    packed = p8_pack(spark, d)
+    per = packed.groupBy("container_kind", "container").agg(F.sum("n_tokens").alias("used"), F.sum(F.when(F.col("piece") > 0, 1).otherwise(0)).alias("cuts"))
+    sums = per.groupBy("container_kind").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.max("used").alias("fullest"), F.sum("cuts").alias("cuts"))
+    return sums.join(table(spark, d, "pack_capacities"), "container_kind").withColumn("share_used", F.col("tokens") / (F.col("containers").cast("double") * F.col("capacity_tokens")))
+
+
+def _mix(spark: SparkSession, d: str):
+    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"), ramps=mixing.fade_in_repeated)
+
+
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "mix_targets")
-    order = {r["source"]: i for i, r in enumerate(targets.select("source").distinct().orderBy("source").collect())}
-    ramps = {s: (i % 3 - 1) * 0.5 for s, i in order.items()}  # a third each fades out, stays, fades in
-    return mixing.mix(_sized(spark, d), targets, ramps=ramps)[0]
+    return _mix(spark, d)[0]
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mix(_sized(spark, d), table(spark, d, "mix_targets"))[1]
+    return _mix(spark, d)[1]
 
 
 def _pii(spark: SparkSession, d: str):

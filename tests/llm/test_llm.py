@@ -340,3 +340,50 @@ def test_target_sample_gaps_are_near_the_raked_optimum(spark):
         assert met["gap"].abs().sum() <= best + 0.02 * 2400
     again = target_sample.target_sample(df.repartition(7), space, targets)[0].toPandas()
     assert set(again["id"]) == set(s["id"])
+
+
+def test_cooccurrence_of_a_huge_basket(spark):
+    """Baskets of 3,000 items in blocks of production size: every pair once, those of two baskets twice."""
+    items = spark.range(3000).selectExpr("1 as record", "concat('i', id) as item").union(spark.range(2000, 5000).selectExpr("2 as record", "concat('i', id) as item"))
+    got = cooccurrence.cooccurrence(items, 2).groupBy("n_ab").agg(F.count("*").alias("n"), F.count_if(F.col("item_a") >= F.col("item_b")).alias("bad"))
+    assert {r.n_ab: (r.n, r.bad) for r in got.collect()} == {1: (2 * 3000 * 2999 // 2 - 2 * 1000 * 999 // 2, 0), 2: (1000 * 999 // 2, 0)}
+
+
+def test_mix_positions_hold_equal_tokens(spark):
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(i, "abc"[i % 3], rng.randint(1, 40)) for i in range(9000)], "doc_id int, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.6, 4), ("b", 0.3, 1), ("c", 0.1, 1)], "source string, target_share double, max_repeats int")
+    u = mixing.mix(docs, targets, ramps={"a": 0.8, "b": -0.6})[0].toPandas()
+    tenth = u.groupby((u["position"] * 10).clip(upper=9.999).astype(int))["n_tokens"].sum()
+    assert len(tenth) == 10 and tenth.max() / tenth.min() < 1.05
+    late, early = u[u["position"] > 0.9], u[u["position"] < 0.1]
+    share = lambda x, s: x[x.source == s]["n_tokens"].sum() / x["n_tokens"].sum()
+    assert share(late, "a") > share(early, "a") + 0.2
+    u = mixing.mix(docs, targets, ramps=mixing.fade_in_repeated)[0].toPandas()
+    assert u[u.source == "a"]["position"].mean() > u[u.source == "b"]["position"].mean()
+
+
+def test_pack_fills_containers(spark):
+    """At most one hundredth of the capacity is left unused, whatever the block of ranks."""
+    rng = random.Random(4)
+    rows = [(i, min(900, int(rng.lognormvariate(4, 1)))) for i in range(6000)]
+    got = packing.pack(spark.createDataFrame(rows, "doc_id int, n_tokens long"), 1000, ["doc_id"]).toPandas()
+    assert len(got) == 6000 and got.groupby("container")["n_tokens"].sum().max() <= 1000
+    assert got["n_tokens"].sum() / (1000 * got["container"].nunique()) > 0.99
+
+
+def test_split_shares(spark):
+    a = spark.createDataFrame([(1, 5, "train"), (2, 5, "train"), (3, 6, "test")], "row int, group long, split string")
+    got = {r.split: (r.n_rows, r.n_groups, round(r.share_reached, 3)) for r in grouped_split.split_shares(a, {"train": 0.7, "test": 0.2, "dev": 0.1}).collect()}
+    assert got == {"train": (2, 1, 0.667), "test": (1, 1, 0.333), "dev": (0, 0, 0.0)}
+
+
+def test_beginnings_of_any_length_are_counted():
+    """A word of 5,000 letters and a sentence of 300 parts count for each of their beginnings."""
+    longer, further = Counter(), Counter()
+    w = "ab" * 2500
+    truncation._starts(w, longer, 3, "", "p")
+    assert len(longer) == len(w) - 1 and longer[truncation._h("p", w[:4321])] == 3
+    s = " ".join(f"x{i}" for i in range(300))
+    truncation._starts(s.split(" "), further, 1, " ", "q")
+    assert further[truncation._h("q", " ".join(s.split(" ")[:250]))] == 1 and len(further) == 299
