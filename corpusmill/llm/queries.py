@@ -94,7 +94,7 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p6_statistics(spark: SparkSession, d: str) -> DataFrame:
     q = text_quality.text_quality(table(spark, d, "shelf_features"))
-    return q.withColumn("reasons", F.array_join("reasons", ","))
+    return q.withColumn("reasons", F.array_join("reasons", ",")).withColumn("published", F.array_join("published", ","))
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
