@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 
 import ahocorasick
@@ -20,7 +21,7 @@ NONE, EMAIL, PHONE, IDENTITY, ADDRESS, NAME = range(6)
 #: Labels that a candidate of each type may take.
 ALLOWED = {"E": (NONE, EMAIL), "N": (NONE, PHONE, IDENTITY), "I": (NONE, IDENTITY), "A": (NONE, ADDRESS), "P": (NONE, NAME)}
 SAMPLE_DOCS = 4000  # documents, chosen by hash, that the weights are fitted on
-ROUNDS, SWEEPS = 80, 4  # of gradient steps; of message passing
+ROUNDS, JOINT_ROUNDS, SWEEPS = 80, 12, 4  # gradient steps of the features alone, and of features and potentials together; sweeps of message passing
 
 # Words of streets, cues and particles in English, French, German and Spanish.
 STREET_EN = "Row|Street|St\\.?|Quay|Crescent|Lane|Ln\\.?|Road|Rd\\.?|Place|Terrace|Close|Hill|Walk|Avenue|Ave\\.?|Yard|Square|Sq\\.?|Way|Gate|Court|Ct\\.?|Drive|Dr\\.?|Boulevard|Blvd\\.?"
@@ -52,16 +53,40 @@ EMAIL_AT = re.compile(r"(?<![\w.+%-])[\w.+%'-]*[\w+%'-]@[\w-]+(?:\.[\w-]+)+", re
 EMAIL_SPELT = re.compile(r"(?<![\w.+%-])[\w.+%-]*\w(?:\s?[\[({]\s?at\s?[\])}]\s?|\sat\s)[\w-]+(?:(?:\s?[\[({]\s?dot\s?[\])}]\s?|\sdot\s|\.)[\w-]+)+", re.IGNORECASE)
 NUMBER = re.compile(r"(?<![\w@./+-])(?:[A-Z]{1,2}-?)?[(]?[+]?\d+(?:(?:\)[ \n]?|[ \n]\(|[ .\-/\n])\d+)*(?:-?[A-Za-z](?!\w))?(?![\w@])")
 WORDISH = re.compile(r"[^\s,;:\"“”()\[\]{}<>=]+")
+#: Forms of address, and words before a year.
+ADDRESSED = frozenset("mr mrs ms miss dr prof sir lady dame rev mme mlle monsieur madame mademoiselle maître herr frau fräulein señor señora señorita don doña sra srta".split())
+BEFORE_YEAR = frozenset("in since by after before until during en depuis dès vers avant après im jahr seit bis ab nach vor desde hasta hacia".split())
+
+
+#: Lines of contacts, where texts have such: they tell a first name from a surname even if hardly anyone else bears it.
 SLOTS = (
     re.compile(r"(?:Contact|Kontakt|Contacto)\s?:\s([^,\n@]{3,50})(?:,\s([^,\n@]{2,40}))?,\s\S*(?:@|\(at\)|\[at\]|\sat\s)"),
     re.compile(r"\"reader\":\s\"([^\",]{3,50})(?:,\s([^\"]{2,40}))?\""),
     re.compile(r"\bname=([^;,\n]{3,50})(?:,\s([^;\n]{2,40}))?;mail="),
 )
-
-
 ORDINARY = re.compile(r"(?<=[a-z,] )[a-zß-ÿ]{4,}")
 CAPITAL = re.compile(r"(?<![\w.])[A-ZÀ-ÖØ-Þ][^\W\d_]{2,}")
-BEFORE_SURNAME = re.compile(r"(?<![\w.-])([A-ZÀ-ÖØ-Þ][^\W\d_]{2,})\s([A-ZÀ-ÖØ-Þ][^\W\d_]{4,})(?![\w])")
+NAMED = re.compile(rf"(?<![\w.'’-])([{UP}][^\W\d_]{{2,}})(?:-[{UP}][^\W\d_]+)?(?:\s[{UP}]\.)*(?:\s(?:{PARTICLES}))?\s(?:[dO]['’])?([{UP}][^\W\d_]{{4,}})(?!['’]?\w)")
+
+
+def lower(t: str) -> str:
+    """Lower case, character by character where the whole would have another length: offsets stay those of the text."""
+    low = t.lower()
+    return low if len(low) == len(t) else "".join(x if len(x := c.lower()) == 1 else c for c in t)
+
+
+class Taken:
+    """Intervals that don't overlap, in order: whether another one is free of them takes a search, not a walk."""
+
+    def __init__(self):
+        self.held: list[tuple[int, int]] = []
+
+    def add(self, a: int, b: int) -> None:
+        insort(self.held, (a, b))
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.held, (b,))
+        return not i or self.held[i - 1][1] <= a
 
 
 def fold(s: str) -> str:
@@ -104,8 +129,10 @@ class Finder:
             out += [(m.start(), m.end(), "E") for m in EMAIL_AT.finditer(t)]
         if "dot" in t or "DOT" in t or "[at]" in t or "(at)" in t:
             out += [(m.start(), m.end(), "E") for m in EMAIL_SPELT.finditer(t)]
-        taken = [(a, b) for a, b, _ in out]
-        free = lambda a, b: all(b <= x or a >= y for x, y in taken)
+        taken = Taken()
+        for a, b, _ in out:
+            taken.add(a, b)
+        free = taken.free
         numbers = [m.span() for m in NUMBER.finditer(t)]
         for a, b in numbers:
             got = None
@@ -135,7 +162,7 @@ class Finder:
             if got and free(*got):
                 # a room or box may stand before: "Flat 12, 23b ..." begins with another number
                 out.append((*got, "A"))
-                taken.append(got)
+                taken.add(*got)
         for a, b in numbers:
             s = t[a:b]
             pieces = [(a, b)]
@@ -148,36 +175,37 @@ class Finder:
                 digits = sum(c.isdigit() for c in t[x:y])
                 if digits >= 6 and free(x, y):
                     out.append((x, y, "N"))
-        taken += [(a, b) for a, b, k in out if k == "N"]
-        seen: list[tuple[int, int]] = []
+        for a, b, k in out:
+            if k == "N":
+                taken.add(a, b)
         if self.first:
-            low = t.lower()
-            if len(low) == len(t):
-                for end, n in self.first_words.iter(low):
-                    a, b = end + 1 - n, end + 1
-                    if (a and (low[a - 1].isalpha() or low[a - 1] == "@")) or (b < len(low) and low[b].isalpha()):
-                        continue
-                    if a and low[a - 1] == "-" and a > 1 and low[a - 2].isalpha():
-                        continue
-                    if any(x <= a < y for x, y in seen):
-                        continue
-                    m = self.forward.match(t, a)
-                    got = None
-                    if m and self.surname(m["s"]):
-                        got = m.span()
-                    elif m and "-" in m["s"] and self.surname(m["s"].split("-")[0]):
-                        got = (a, m.start("s") + m["s"].index("-"))
-                    else:
-                        r = self.backward.search(t, max(0, a - 45), a)
-                        if r and self.surname(r["s"]):
-                            g = self.given.match(t, a)
-                            got = (r.start("s"), g.end() if g else b)
-                    if got and free(*got):
-                        seen.append(got)
+            low = lower(t)
+            for end, n in self.first_words.iter(low):
+                a, b = end + 1 - n, end + 1
+                if (a and (low[a - 1].isalpha() or low[a - 1] == "@")) or (b < len(low) and low[b].isalpha()):
+                    continue
+                if a and low[a - 1] == "-" and a > 1 and low[a - 2].isalpha():
+                    continue
+                if not free(a, a + 1):
+                    continue
+                m = self.forward.match(t, a)
+                got = None
+                if m and self.surname(m["s"]):
+                    got = m.span()
+                elif m and "-" in m["s"] and self.surname(m["s"].split("-")[0]):
+                    got = (a, m.start("s") + m["s"].index("-"))
+                else:
+                    r = self.backward.search(t, max(0, a - 45), a)
+                    if r and self.surname(r["s"]):
+                        g = self.given.match(t, a)
+                        got = (r.start("s"), g.end() if g else b)
+                if got and free(*got):
+                    out.append((*got, "P"))
+                    taken.add(*got)
         for m in self.initials.finditer(t):
-            if self.surname(m["s"]) and free(*m.span()) and not any(x < m.end() and m.start() < y for x, y in seen):
-                seen.append(m.span())
-        out += [(a, b, "P") for a, b in seen]
+            if self.surname(m["s"]) and free(*m.span()):
+                out.append((*m.span(), "P"))
+                taken.add(*m.span())
         out.sort()
         return out
 
@@ -217,16 +245,20 @@ def features(t: str, a: int, b: int, kind: str, finder: Finder) -> list[str]:
     return out
 
 
-def silver(t: str, a: int, b: int, kind: str, slots: set) -> int | None:
-    """A label where the words around a candidate leave no doubt, else None."""
+def silver(t: str, a: int, b: int, kind: str, mails: list[tuple[int, int]]) -> int | None:
+    """A label where the words around a candidate leave no doubt, else None; `mails` are the addresses with @ in the text."""
     left = WORDISH.findall(t[max(0, a - 40) : a].lower())[-3:]
     if kind == "E":
         end = t[a:b].lower().rpartition(".")[2]
         return NONE if end in FILE_ENDS or t[a:b].partition("@")[2][:1].isdigit() else EMAIL
     if kind == "A":
-        return ADDRESS
+        year = re.match(r"(1[5-9]|20)\d\d\s", t[a:b])
+        return NONE if year and left and left[-1] in BEFORE_YEAR else ADDRESS
     if kind == "P":
-        return NAME if any(x < b and a < y for x, y in slots) else None
+        after = CAPITAL.match(t, b + 1) if t[b : b + 1] == " " else None
+        if left and left[-1].strip(".") in ADDRESSED or any(x - 200 < b and a < y + 200 and set(re.findall(r"[^\W\d_]{4,}", fold(t[x:y]))) & set(re.findall(r"[^\W\d_]{4,}", fold(t[a:b]))) for x, y in mails):
+            return NAME
+        return NONE if after else NAME if "," not in t[a:b] and t[a:b][:1].isupper() else None
     if re.fullmatch(r"\d{1,2}[./-]\d{1,2}[./-]\d{4}|\d{4}[./-]\d{1,2}[./-]\d{1,2}", t[a:b]):
         return NONE
     cue = cue_of(left)
@@ -234,8 +266,8 @@ def silver(t: str, a: int, b: int, kind: str, slots: set) -> int | None:
         return cue
     if t[a:b][:1].isalpha() or t[a:b][-1:].isalpha():
         return IDENTITY
-    # the number that ends a contact line: directly after the mail address
-    return PHONE if t[:a].rstrip()[-1:] in (",", "=") and any(y <= a < y + 80 and ". " not in t[y:a] for x, y in slots) else None
+    # the number right after a mail address, as in a line of contacts
+    return PHONE if t[:a].rstrip()[-1:] in (",", "=", ";") and any(y <= a < y + 12 for x, y in mails) else None
 
 
 def similar_keys(t: str, a: int, b: int, kind: str) -> list[str]:
@@ -262,13 +294,13 @@ def edges_of(t: str, spans: list[tuple[int, int, str]]) -> list[tuple[int, int,
     return out
 
 
-def propagate(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, sweeps: int = SWEEPS) -> np.ndarray:
-    """Beliefs (log, unnormalised) of all nodes of many documents' graphs by loopy sum-product message passing.
+def propagate(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, sweeps: int = SWEEPS, joint: bool = False):
+    """Beliefs (log, unnormalised) of all nodes of many documents' graphs by loopy sum-product message passing; with `joint` also the probabilities of each edge's pairs of labels.
 
     edges: (i, j, type); pair[type]: log potentials. Messages are damped by half and updated all at once.
     """
     if not len(edges):
-        return unary
+        return (unary, np.zeros((0, unary.shape[1], unary.shape[1]))) if joint else unary
     i, j, w = edges[:, 0], edges[:, 1], pair[edges[:, 2]]
     fwd, bwd = np.zeros((len(edges), unary.shape[1])), np.zeros((len(edges), unary.shape[1]))
     norm = lambda x: x - x.max(1, keepdims=True)
@@ -285,7 +317,12 @@ def propagate(unary: np.ndarray, edges: np.ndarray, pair: np.ndarray, sweeps: in
         new_f = norm(np.log(np.exp(out_i[:, :, None] + w).sum(1) + 1e-300))
         new_b = norm(np.log(np.exp(out_j[:, None, :] + w).sum(2) + 1e-300))
         fwd, bwd = 0.5 * fwd + 0.5 * new_f, 0.5 * bwd + 0.5 * new_b
-    return beliefs()
+    b = beliefs()
+    if not joint:
+        return b
+    e = norm(b[i] - bwd)[:, :, None] + w + norm(b[j] - fwd)[:, None, :]
+    e = np.exp(e - e.max((1, 2), keepdims=True))
+    return b, e / e.sum((1, 2), keepdims=True)
 
 
 def mask_of(s: str, kind: str) -> np.ndarray:
@@ -301,11 +338,11 @@ HELD = 200_000  # counts that a task holds before it hands them on
 
 
 def count_words(texts, seen: Counter) -> None:
-    """Adds to `seen`, by (kind, word, other): o ordinary words, f first names and e surname endings of the slots, c capitalised words, b those before what may be a surname."""
+    """Adds to `seen`, by (kind, word, other): o words in lower case, c capitalised words, b capitalised words before another, initials and particles between them aside, f first names and e surname endings of lines of contacts."""
     for t in texts:
         seen.update(("o", w, "") for w in ORDINARY.findall(t))
         seen.update(("c", w, "") for w in CAPITAL.findall(t))
-        seen.update(("b", *m) for m in BEFORE_SURNAME.findall(t))
+        seen.update(("b", *m) for m in NAMED.findall(t))
         for slot in SLOTS:
             for m in slot.finditer(t):
                 given, rest = (m[2], m[1]) if m[2] else ((m[1].split() or [""])[0], " ".join(m[1].split()[1:]))
@@ -313,11 +350,18 @@ def count_words(texts, seen: Counter) -> None:
                 seen.update(("e", s[-3:], "") for s in re.findall(r"[^\W\d_]{4,}", fold(rest)))
 
 
+#: What makes names: different partners of a first name and different surnames of an ending, the share of the most frequent one, how much a word is written in lower case, the share of a first name's uses.
+PARTNERS, TOP_SHARE, LOWER_SHARE, AS_FIRST, OF_ALL = 4, 0.34, 0.5, 0.5, 0.2
+
+
 def lexicons(df: DataFrame, text: str = "text") -> dict:
-    """First names, surname endings and ordinary words from all rows' texts, counted in one pass over them.
+    """First names, surname endings and ordinary words from all rows' texts, counted in one pass over them; no form of text is presupposed.
 
-    First names: at least 2 in slots, or 5 sightings before a surname and those 0.4 of all; endings: 4 in slots; ordinary
-    words: 20 and one for each 100 texts. Only what reaches these bounds comes to the driver.
+    Names show in how words combine: a first name stands before many different capitalised words, none of which is most of them, and
+    surnames come in many different forms with few endings, after different first names, while the parts of other proper names have fixed
+    partners, or are words that are mostly written in lower case. So endings are those of PARTNERS different words at least that follow
+    such words, and first names the words that stand before surnames so ending, in at least AS_FIRST of their pairs and
+    OF_ALL of their uses. Lines of contacts, where there are any, name both too, and 5 sightings before a surname are enough if they are 0.4 of a word's. Forms of address are none. Ordinary words: 20 and one for each 100 texts. Only what reaches these bounds comes to the driver.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -338,39 +382,51 @@ def lexicons(df: DataFrame, text: str = "text") -> dict:
     n = some.count()
     counts = stage(spread(some).mapInPandas(run, COUNTED).groupBy("kind", "word", "other").agg(F.sum("n").alias("n")), "names")
     words = lambda kind, least: frozenset(r[0] for r in counts.where((F.col("kind") == kind) & (F.col("n") >= least)).select("word").collect())
-    ends, common, slots = words("e", 4), words("o", max(20, n // 100)), words("f", 2)
-    # words before surnames that the slots don't show are first names too, particles aside
-    pairs = counts.where((F.col("kind") == "b") & F.substring("other", -3, 3).isin(*ends) & ~F.col("other").isin(*common) & ~F.col("word").isin(*common, *PARTICLES.split("|")))
-    before = pairs.groupBy("word").agg(F.sum("n").alias("before")).where("before >= 5")
-    capital = counts.where("kind = 'c'").select("word", "n")
-    more = before.join(capital, "word").where("before >= 0.4 * n").select("word").collect()
-    return {"first": slots | frozenset(r[0] for r in more), "ends": ends, "ordinary": common}
+    common = words("o", max(20, n // 100))
+    none = [*PARTICLES.split("|"), *ADDRESSED]
+    low = counts.where("kind = 'o'").select("word", F.col("n").alias("low"))
+    capital = counts.where("kind = 'c'").select("word", F.col("n").alias("cap")).join(low, "word", "left")
+    proper = capital.where((F.coalesce("low", F.lit(0)) <= F.lit(LOWER_SHARE) * F.col("cap")) & ~F.col("word").isin(none)).select("word", "cap")
+    pairs = counts.where("kind = 'b'").join(proper, "word").join(proper.select(F.col("word").alias("other")), "other").select("word", "cap", "other", F.substring("other", -3, 3).alias("end"), "n")
+    pairs = stage(pairs, "name-pairs")
+    many = pairs.groupBy("word").agg(F.count("*").alias("d"), F.max("n").alias("top"), F.sum("n").alias("total")).where((F.col("d") >= PARTNERS) & (F.col("top") <= F.lit(TOP_SHARE) * F.col("total")))
+    after = pairs.join(many.select("word"), "word", "left_semi")
+    shapes = after.select("end", "other").distinct().groupBy("end").agg(F.count("*").alias("d"))
+    partners = after.select("end", "word").distinct().groupBy("end").agg(F.count("*").alias("words"))
+    ends = shapes.join(partners, "end").where((F.col("d") >= PARTNERS) & (F.col("words") >= 2))
+    ends = words("e", 4) | frozenset(r[0] for r in ends.select("end").collect())  # at most the endings of three letters that are common enough
+    of = F.when(F.col("end").isin(*ends), F.col("n")).otherwise(0) if ends else F.lit(0)
+    first = pairs.groupBy("word").agg(F.sum(of).alias("before"), F.count_if(of > 0).alias("d"), F.sum("n").alias("total"), F.max("cap").alias("cap"))
+    varied = (F.col("before") >= 3) & (F.col("d") >= 2) & (F.col("before") >= F.lit(AS_FIRST) * F.col("total")) & (F.col("before") >= F.lit(OF_ALL) * F.col("cap"))
+    first = first.where(varied | ((F.col("before") >= 5) & (F.col("before") >= F.lit(0.4) * F.col("cap"))))
+    return {"first": words("f", 2) | frozenset(r[0] for r in first.select("word").collect()), "ends": ends, "ordinary": common}
 
 
 def fit(texts: list[str], lexicon: dict, places: tuple[str, ...]) -> dict:
     """The model: `lexicon`, the lexicons of all texts, and from a sample of texts the weights of features and the potentials of neighbours and of similar candidates.
 
-    Nothing is labelled by hand: candidates whose surroundings leave no doubt are the labelled rows; a multinomial
-    logistic regression of the features is fitted on them, then once more with the candidates it is sure of.
+    Nothing is labelled by hand: candidates whose surroundings leave no doubt are the labelled nodes. A multinomial
+    logistic regression of the features on them is the start; then features and pair potentials are fitted together as one field, by the
+    difference of what message passing expects with the labels given and without.
     """
     first, ends_, common = lexicon["first"], lexicon["ends"], lexicon["ordinary"]
     finder = Finder(first, ends_, common, places)
-    docs, feats, masks, labels, edges = [], [], [], [], []
+    feats, masks, labels, edges = [], [], [], []
     for t in texts:
         spans = finder.spans(t)
-        slots = {m.span() for s in SLOTS for m in s.finditer(t)}
+        mails = [(a, b) for a, b, k in spans if k == "E" and "@" in t[a:b]]
         base = len(feats)
         for a, b, k in spans:
             feats.append(features(t, a, b, k, finder))
             masks.append(mask_of(t[a:b], k))
-            labels.append(silver(t, a, b, k, slots))
+            labels.append(silver(t, a, b, k, mails))
         edges += [(base + i, base + j, e) for i, j, e in edges_of(t, spans)]
-        docs.append((base, len(feats)))
     names: dict[str, int] = {}
     ids = [[names.setdefault(f, len(names)) for f in fs] for fs in feats]
     n, L = len(ids), len(KINDS)
     w = np.zeros((max(len(names), 1), L))
-    pair = np.zeros((2, L, L))
+    prior = np.stack([np.zeros((L, L)), 0.5 * np.eye(L)])  # similar candidates tend to one label, unless the texts say otherwise
+    pair = prior.copy()
     if n:
         row = np.repeat(np.arange(n), [len(x) for x in ids])
         col = np.array([i for x in ids for i in x])
@@ -382,36 +438,32 @@ def fit(texts: list[str], lexicon: dict, places: tuple[str, ...]) -> dict:
             np.add.at(s, row, w[col])
             return s
 
-        for again in range(2):
-            use = y >= 0
-            weight = use.astype(float)
-            onehot = np.zeros((n, L))
-            onehot[use, y[use]] = 1
-            g2 = np.full_like(w, 1e-6)
-            for _ in range(ROUNDS):
-                s = scores()
-                p = np.exp(s - s.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                d = (onehot - p) * weight[:, None]
-                g = np.zeros_like(w)
-                np.add.at(g, col, d[row])
-                g = g / max(use.sum(), 1) - 1e-5 * w
-                g2 += g * g
-                w += 0.3 * g / np.sqrt(g2)
-            if not again:
-                s = scores()
-                p = np.exp(s - s.max(1, keepdims=True))
-                p /= p.sum(1, keepdims=True)
-                sure = (y < 0) & (p.max(1) > 0.9)
-                y = np.where(sure, p.argmax(1), y)
         known = y >= 0
-        for e in (0, 1):
-            c = np.full((L, L), 1.0)
-            for i, j, kind in edges:
-                if kind == e and known[i] and known[j]:
-                    c[y[i], y[j]] += 1
-            pair[e] = np.clip(np.log(c * c.sum() / (c.sum(1, keepdims=True) * c.sum(0, keepdims=True))), -1.0, 1.5)
-        pair[1] = np.maximum(pair[1], np.eye(L) * 0.5)
+        onehot = np.zeros((n, L))
+        onehot[known, y[known]] = 1
+        soft = lambda s: (p := np.exp(s - s.max(1, keepdims=True))) / p.sum(1, keepdims=True)
+        g2, g2_pair = np.full_like(w, 1e-6), np.full_like(pair, 1e-6)
+
+        def step(d: np.ndarray) -> None:
+            g = np.zeros_like(w)
+            np.add.at(g, col, d[row])
+            g = g / max(known.sum(), 1) - 1e-5 * w
+            g2[:] += g * g
+            w[:] += 0.3 * g / np.sqrt(g2)
+
+        for _ in range(ROUNDS):
+            step((onehot - soft(scores())) * known[:, None])
+        links = np.array(edges, np.int64).reshape(-1, 3)
+        for _ in range(JOINT_ROUNDS if known.any() else 0):
+            s = scores()
+            free, free_edges = propagate(s, links, pair, 2, joint=True)
+            given, given_edges = propagate(s + np.where(known[:, None], (onehot - 1) * 1e4, 0.0), links, pair, 2, joint=True)
+            step(soft(given) - soft(free))
+            g = np.zeros_like(pair)
+            np.add.at(g, links[:, 2], given_edges - free_edges)
+            g = g / max(len(links), 1) - 1e-3 * (pair - prior)
+            g2_pair += g * g
+            pair += 0.1 * g / np.sqrt(g2_pair)
     return {"first": first, "ends": ends_, "ordinary": common, "places": places, "weights": {f: w[i] for f, i in names.items() if np.abs(w[i]).max() > 0.02}, "pair": pair}
 
 

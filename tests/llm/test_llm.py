@@ -403,3 +403,41 @@ def test_quality_statistics_by_hand_and_in_slices(spark, monkeypatch):
     assert got[5].mean_word_len == 5000 and "word_length" in got[5].reasons
     assert text_quality.quality_stats(pa.array([], pa.string()))["n_words"].tolist() == []
     assert text_quality.text_quality(spark.createDataFrame([], "rec_no int, body string, word_count int")).count() == 0
+
+
+def test_pii_names_without_lines_of_contacts(spark):
+    """Names are learned from running text: other proper names, towns and houses are none, and no form of line is needed."""
+    rng = random.Random(17)
+    first = ["Oriane", "Tobrin", "Ulrika", "Dashel", "Zofka", "Kwabeno", "Imke", "Søndra"]
+    stems, tails = ["Bran", "Kel", "Mor", "Dral", "Quish", "Lun", "Fast", "Gri", "Hack"], ["lotte", "skov", "stein", "wick", "zalde"]
+    towns, houses = ["Lomara", "Okwanta", "Fennimore", "Quillby"], ["Museum", "Institute", "Harbour Office", "Lending Library", "Land Registry"]
+    verbs = ["wrote to the harbour", "came late", "asked for the museum", "left the library", "saw the institute", "read about land"]
+    docs, want = [], set()
+    for i in range(500):
+        n, town, house = f"{rng.choice(first)} {rng.choice(stems)}{rng.choice(tails)}", rng.choice(towns), rng.choice(houses)
+        docs.append((i, f"In spring the {town} {house} was closed. {n} {rng.choice(verbs)}, and {n} signed. They met at Upper Tessel near Candle Row, said {rng.choice(['he', 'she'])} in {town}."))
+        want.add((i, n))
+    docs += [(900, "İzmir. Oriane Branlotte wrote."), (901, "STRASSE ẞ İ Dashel Kelskov read."), (902, None), (903, " ")]
+    want |= {(900, "Oriane Branlotte"), (901, "Dashel Kelskov")}
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    model = pii.fit_pii(df, "doc_id")
+    got = {(r.doc_id, r.pii) for r in pii.find_pii(df, model).where("kind = 'name'").collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)
+    assert {(900, "Oriane Branlotte"), (901, "Dashel Kelskov")} <= got
+
+
+def test_pii_learns_a_false_address():
+    assert pii.silver("It was lost in 1885 Candle Row was paved", 15, 30, "A", []) == pii.NONE
+    assert pii.silver("Send it to 18 Candle Row now", 11, 24, "A", []) == pii.ADDRESS
+
+
+def test_taken_intervals():
+    rng = random.Random(5)
+    taken, held = pii.Taken(), []
+    for _ in range(400):
+        a = rng.randint(0, 2000)
+        b = a + rng.randint(1, 12)
+        assert taken.free(a, b) == all(b <= x or a >= y for x, y in held)
+        if taken.free(a, b):
+            taken.add(a, b)
+            held.append((a, b))
