@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm.shingles import WordIds, least_overlap, shingle_batch, shingles_at, token_batch
-from corpusmill.runtime import shared_dir, stage
+from corpusmill.runtime import new_path, stage
 
 #: Words an index is sorted by, so the longest match that one search finds; longer matches are merged from overlapping ones.
 DEPTH = 8
@@ -161,31 +161,47 @@ def merged_spans(tokens: np.ndarray, other: np.ndarray, k: int) -> tuple[int, in
 
 
 def _build(path: str, k: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+    """One shard: the texts of a group become an index of its own."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens, offsets = token_batch(pdf["text"], WordIds())
+        sets = shingle_batch(tokens, offsets, k)
+        sizes = np.array([len(s) for s in sets], np.int64)
+        keep = sizes > 0  # a text without words has no tokens either: offsets stay right
+        if not keep.any():
+            return pd.DataFrame({"shard": [], "least": [], "most": [], "texts": [], "words": []})
+        name = str(pdf["shard"].iloc[0])
+        lens = np.diff(offsets)[keep]
+        _write(path, name, WordIndex.build(tokens, np.concatenate([[0], np.cumsum(lens)]), pdf["key"].to_numpy()[keep], sizes[keep], sketch([s for s in sets if len(s)])))
+        return pd.DataFrame({"shard": [name], "least": [int(sizes[keep].min())], "most": [int(sizes.max())], "texts": [int(keep.sum())], "words": [len(tokens)]})
 
-        ids = WordIds()
-        shard = TaskContext.get().partitionId()
-        held, no = [], 0
+    return run
 
-        def close():
-            tokens, keys, sizes, lens, sketches = (np.concatenate([h[i] for h in held]) for i in range(5))
-            _write(path, f"{shard}-{no}", WordIndex.build(tokens, np.concatenate([[0], np.cumsum(lens)]), keys, sizes, sketches))
-            return pd.DataFrame({"shard": [f"{shard}-{no}"], "least": [int(sizes.min())], "most": [int(sizes.max())], "texts": [len(keys)], "words": [len(tokens)]})
 
-        for pdf in batches:
-            tokens, offsets = token_batch(pdf["text"], ids)
-            sets = shingle_batch(tokens, offsets, k)
-            sizes = np.array([len(s) for s in sets], np.int64)
-            keep = sizes > 0  # a text without words has no tokens either: offsets stay right
-            held.append((tokens, pdf["key"].to_numpy()[keep], sizes[keep], np.diff(offsets)[keep], sketch([s for s in sets if len(s)])))
-            if sum(len(h[0]) for h in held) >= SHARD_WORDS:
-                yield close()
-                held, no = [], no + 1
-        if held and sum(len(h[1]) for h in held):
-            yield close()
+#: Lengths of texts are told apart by this ratio when shards are cut; characters that a word takes on the average at least.
+LENGTH_STEP, WORD_CHARS = 1.05, 5
 
-    return run
+
+def cut_shards(texts: DataFrame) -> tuple[DataFrame, int]:
+    """texts(key, text) with `shard`, and the number of shards: consecutive lengths together, about SHARD_WORDS words in each.
+
+    The cut is made on sums by length class, of which there are some hundreds whatever the texts; a class that fills several shards is
+    spread over them by a hash of the key.
+    """
+    spark = texts.sparkSession
+    step = F.floor(F.ln(F.length("text") + 1) / F.lit(float(np.log(LENGTH_STEP)))).cast("int").alias("step")
+    room = SHARD_WORDS * WORD_CHARS
+    rows, shard, used = [], 0, 0
+    for r in texts.groupBy(step).agg(F.sum(F.length("text")).alias("n")).orderBy("step").collect():
+        parts = -(-r["n"] // room) if r["n"] else 1
+        if used and used + r["n"] > room:
+            shard, used = shard + 1, 0
+        rows.append((r["step"], shard, parts))
+        shard, used = (shard + parts, 0) if parts > 1 else (shard, used + r["n"])
+    n = shard + (1 if used or not rows else 0)
+    plan = spark.createDataFrame(rows, "step int, base int, parts int")
+    spot = F.col("base") + F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    return texts.withColumn("step", step).join(F.broadcast(plan), "step").select("key", "text", spot.alias("shard")), n  # a row for each class
 
 
 def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: float):
@@ -254,6 +270,7 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
         open_: dict[str, tuple[WordIndex, dict]] = {}
+        tiny_of: dict[str, dict[bytes, list[int]]] = {}
         for pdf in batches:
             tokens, offsets = token_batch(pdf["text"], ids)
             sets = shingle_batch(tokens, offsets, k)
@@ -275,10 +292,12 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
                 for d, y, *rest in one(ix, sets_of, tokens, offsets, sets, sketches, docs) if docs else []:
                     rows.append((keys[d], int(ix.key[y]), *rest))
                 if short:  # texts shorter than a shingle are similar to equal ones only
-                    starts, ends = np.asarray(ix.start[:-1]), np.asarray(ix.start[1:]) - 1
-                    tiny: dict[bytes, list[int]] = {}  # equal words may stand in several raw texts, each with a key of its own
-                    for y in np.flatnonzero(ends - starts < k):
-                        tiny.setdefault(ix.words_of(int(y)).tobytes(), []).append(int(ix.key[y]))
+                    if name not in tiny_of:  # equal words may stand in several raw texts, each with a key of its own
+                        starts, ends = np.asarray(ix.start[:-1]), np.asarray(ix.start[1:]) - 1
+                        tiny_of[name] = {}
+                        for y in np.flatnonzero(ends - starts < k):
+                            tiny_of[name].setdefault(ix.words_of(int(y)).tobytes(), []).append(int(ix.key[y]))
+                    tiny = tiny_of[name]
                     for d in short:
                         rows += [(keys[d], y, 1, 1, int(width[d]), int(width[d])) for y in tiny.get(tokens[offsets[d] : offsets[d + 1]].tobytes(), ())]
             yield pd.DataFrame(rows, columns=["train_key", "eval_key", "shared", "total", "longest", "matched"])
@@ -292,27 +311,27 @@ def split_overlap(df: DataFrame, row: str = "rec_no", text: str = "text", split:
     similarity = shared / total in shingles; longest and matched: words of the longest match, and within all matches, merged to spans.
 
     Similar: Jaccard similarity of the sets of `words`-word shingles at least `similarity` (a text of fewer words is one
-    shingle). Distinct evaluation texts, in order of length, become shards of a word-level FM-index, at most SHARD_WORDS words and one
-    batch each, in the shared folder. Distinct training texts stream through the shards of fitting lengths: backward
+    shingle). Distinct evaluation texts, in order of length, become shards of a word-level FM-index, about SHARD_WORDS words each
+    however long the texts, in the shared folder. Distinct training texts stream through the shards of fitting lengths: backward
     search gives every shingle's number of occurrences; a text with less than the needed share of shingles present is
     dropped, of the others the rarest shingles are located, and the texts found are compared in full. Nothing is capped. Copies are
     searched once and joined back at the end. Null texts, texts without words and other splits take no part; empty sides give no rows.
     """
     spark = df.sparkSession
-    src = df.where(F.col(text).isNotNull() & F.col(split).isin(train, *evals)).select(F.col(row).cast("long").alias("row"), F.col(split).alias("split"), F.col(text).alias("text"), F.xxhash64(text).alias("key"))
-    side = F.when(F.col("split") == train, "train").otherwise("eval")
-    texts = src.select("key", "text", side.alias("side"))
-    one = lambda s: texts.where(F.col("side") == s).select("key", "text").dropDuplicates(["key"])
-    path = f"{shared_dir(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
-    size = src.where(F.col("split") != train).agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = max(1, int(size / 6 / SHARD_WORDS) + 1)
-    sized = one("eval").withColumn("len", F.length("text")).repartitionByRange(parts, "len", "key").select("key", "text")
-    shards = sized.mapInPandas(_build(path, words), "shard string, least long, most long, texts long, words long").collect()  # a row for each shard
+    src = df.where(F.col(text).isNotNull() & F.col(split).isin(train, *evals))
+    src = src.select(F.col(row).cast("long").alias("row"), F.col(split).alias("split"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit("second"), text).alias("g"))
+    side = (F.col("split") == train).alias("trains")
+    # a text is told by 128 bits and named by the least row that has it on its side
+    texts = lambda trains: src.where(F.col("split") == train if trains else F.col("split") != train).groupBy("h", "g").agg(F.min("row").alias("key"), F.first("text").alias("text")).select("key", "text")
+    path = new_path(spark, "index")
+    sized, parts = cut_shards(texts(False))
+    shards = sized.repartition(parts, "shard").groupBy("shard").applyInPandas(_build(path, words), "shard string, least long, most long, texts long, words long").collect()  # a row for each shard
     plan = [(r["shard"], r["least"], r["most"]) for r in shards]
-    found = stage(one("train").mapInPandas(_probe(path, plan, words, similarity), "train_key long, eval_key long, shared long, total long, longest long, matched long"), "overlaps")
-    rows = src.select("row", "split", "key")
-    left = rows.where(F.col("split") == train).select(F.col("key").alias("train_key"), F.col("row").alias("train_row"))
-    right = rows.where(F.col("split") != train).select(F.col("key").alias("eval_key"), F.col("row").alias("eval_row"), F.col("split").alias("eval_split"))
+    found = stage(texts(True).mapInPandas(_probe(path, plan, words, similarity), "train_key long, eval_key long, shared long, total long, longest long, matched long"), "overlaps")
+    rows = src.select("row", "split", side, "h", "g")
+    named = stage(rows.join(rows.groupBy("trains", "h", "g").agg(F.min("row").alias("key")), ["trains", "h", "g"]).select("trains", "row", "split", "key"), "overlap-rows")
+    left = named.where("trains").select(F.col("key").alias("train_key"), F.col("row").alias("train_row"))
+    right = named.where("not trains").select(F.col("key").alias("eval_key"), F.col("row").alias("eval_row"), F.col("split").alias("eval_split"))
     return found.join(left, "train_key").join(right, "eval_key").select("train_row", "eval_row", "eval_split", "shared", "total", "longest", "matched")
 
 

@@ -441,3 +441,15 @@ def test_taken_intervals():
         if taken.free(a, b):
             taken.add(a, b)
             held.append((a, b))
+
+
+def test_shards_are_cut_by_words(spark, monkeypatch):
+    """Few long texts and many short ones: no shard has much more than its words, and each holds neighbouring lengths."""
+    monkeypatch.setattr(split_overlap, "SHARD_WORDS", 400)
+    rows = [(i, "word " * (3 if i % 4 else 300)) for i in range(200)] + [(900, ""), (901, "x")]
+    df, n = split_overlap.cut_shards(spark.createDataFrame(rows, "key long, text string"))
+    got = df.toPandas()
+    assert len(got) == len(rows) and n / 2 < got["shard"].nunique() <= n
+    words = got.assign(w=got["text"].str.split().str.len()).groupby("shard")["w"]
+    assert words.sum().median() <= 800 and words.sum().max() <= 2400
+    assert split_overlap.cut_shards(df.select("key", "text").limit(0))[1] == 1
