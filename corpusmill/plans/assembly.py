@@ -2,71 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import or_
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.expr import hash60, r6, shingles, tokens, word_count
+from corpusmill.functions.expr import hash60, shingles, tokens
 from corpusmill.operators.lexical import postings
+from corpusmill.plans.gates import gate_language, gate_refusal_self_label  # noqa: F401
 from corpusmill.plans.registry import query
-from corpusmill.plans.reports import WORDS
-from corpusmill.plans.retrieval import R6, TOK
+from corpusmill.plans.retrieval import TOK
 from corpusmill.runtime import spread
 from corpusmill.sources.tables import table
 
-#: Patterns of refusals and of self-labelling.
-REFUSAL = r"(?i)\b(i can(?:not|'t) (?:help|assist|comply|fulfill|provide)|i'?m sorry,? but|as an ai|as a large language model|i do not have the ability to|i am not able to|i won'?t be able to|i must decline)\b"
-SELF_LABEL = r"(?i)\b(lcgft|lcsh|lcdgt|lcc)\s*[)\]]?\s*:|\bin the field of\b"
-FUNCTION_WORDS = "the of and a an in to is was that by for with as it they not but from on at be are were which who when than their this".split()
-#: The whole list of SURVEY A.9; the shorter one above is that of the SQL.
-ENGLISH_WORDS = "the a an and or but if of to in on for with as by at from is are was were be been being this that these those it its he she they we you i his her their our your not no so than then which who whom whose what when where why how all any some most more less can could will would shall should may might must do does did has have had into through about between among over under after before during without within against up down out off also only just there here such other same each both few many much".split()
-#: The whole lists of SURVEY A.7 and A.8; the shorter ones above are those of the SQL.
-REFUSALS = r"(?iU)\b(?:i can(?:not|'t) (?:help|assist|comply|fulfill|provide)|i'?m sorry,? but|as an ai|as a large language model|i do not have the ability to|i am not able to|i won'?t be able to|unable to (?:fulfill|complete|assist with) (?:this|that) request|i must decline|against (?:my|the) content policy|i'?m (?:just )?an ai)\b"
-CUT_MARKS = r"(?iU)\[(?:content )?truncated\]|<\|[^|]*\|>|\.\.\.\s*\z"
-SELF_LABELS = (
-    r"(?iU)\b(?:lcgft|lcsh|lcdgt|lcc)\s*[)\]]?\s*:|\bin the field of\b",
-    r"(?iUm)^\s*(?:document\s+type|subject\s+area|category|genre)\s*:",
-    r"(?iU)\bthis (?:satire|lecture|poem|essay|report|guide|article|document)\b[^.]{0,40}\b(?:explores|covers|examines|presents)\b",
-    r"(?iUm)^\s*(?:in|within)\s+(?:political science|medicine|law|philosophy|economics|sociology)\s*,",
-)
 H60 = "('0x' || substr(md5({}), 1, 15))::bigint"
 
 
-def _lit(s):
-    return "'" + s.replace("'", "''") + "'"
-
-
-@query(f"""with w as (select rec_no, {WORDS.format('body')} as wc, target_word_range[1] as lo, target_word_range[2] as hi from shelf_features),
-x as (select rec_no, case when lo is null or (lo = 0 and hi = 0) then 0 when wc < lo then wc - lo when wc > hi then wc - hi else 0 end as delta, greatest(5.0, 0.25 * greatest(hi - lo, 1)) as slack from w)
-select rec_no, delta::bigint as delta, abs(delta) <= coalesce(slack, 5.0) as passed from x""")
-def gate_length(spark, d):
-    w = table(spark, d, "shelf_features").select("rec_no", word_count(F.col("body")).alias("wc"), F.get("target_word_range", F.lit(0)).alias("lo"), F.get("target_word_range", F.lit(1)).alias("hi"))
-    delta = F.when(F.col("lo").isNull() | ((F.col("lo") == 0) & (F.col("hi") == 0)), 0).when(F.col("wc") < F.col("lo"), F.col("wc") - F.col("lo")).when(F.col("wc") > F.col("hi"), F.col("wc") - F.col("hi")).otherwise(0)
-    slack = F.greatest(F.lit(5.0), 0.25 * F.greatest(F.col("hi") - F.col("lo"), F.lit(1)))
-    return w.select("rec_no", delta.cast("long").alias("delta"), (F.abs(delta) <= F.coalesce(slack, F.lit(5.0))).alias("passed"))
-
-
-@query(f"select rec_no, regexp_matches(coalesce(body, ''), {_lit(REFUSAL)}) as refusal, regexp_matches(coalesce(body, ''), {_lit(SELF_LABEL)}) as self_label from shelf_features")
-def gate_refusal_self_label(spark, d):
-    """refusal: a refusing phrase, a mark of truncation, or no text; self_label: a phrase that names the text's own category."""
-    b = F.coalesce("body", F.lit(""))
-    refusal = b.rlike(REFUSALS) | b.rlike(CUT_MARKS) | ~b.rlike(r"(?U)\S")
-    return table(spark, d, "shelf_features").select("rec_no", refusal.alias("refusal"), reduce(or_, [b.rlike(p) for p in SELF_LABELS]).alias("self_label"))
-
-
-@query(f"""with t as (select doc_id, {TOK.replace('{}', 'text')} as ts from documents), s as (select doc_id, len(ts) as n, len(list_filter(ts, lambda x: x in ({', '.join(map(_lit, FUNCTION_WORDS))}))) as k from t)
-select doc_id, case when n > 0 then {R6.format('k / n')} end as share, coalesce(k / nullif(n, 0) >= 0.12, false) as passed from s""")
-def gate_language(spark, d):
-    """Share of English function words among the words, at least 0.12, where at least half of the letters are ASCII."""
-    letters = lambda p: F.length(F.regexp_replace("text", p, ""))
-    s = table(spark, d, "documents").select("doc_id", tokens(F.col("text")).alias("ts"), letters(r"[^A-Za-z]").alias("ascii"), letters(r"\P{L}").alias("letters"))
-    k, n = F.size(F.filter("ts", lambda x: x.isin(*ENGLISH_WORDS))), F.size("ts")
-    passed = (F.when(n > 0, k / n) >= 0.12) & (F.when(F.col("letters") > 0, F.col("ascii") / F.col("letters")) >= 0.5)
-    return s.select("doc_id", F.when(n > 0, r6(k / n)).alias("share"), F.coalesce(passed, F.lit(False)).alias("passed"))
-
-
 KEY = r"sha256(lower(regexp_replace(trim(text), '\s+', ' ', 'g')))"
 
 

@@ -9,10 +9,10 @@ from corpusmill.functions.expr import cosine, facet_set, r6
 from corpusmill.operators import metrics
 from corpusmill.operators.labels import class_truth
 from corpusmill.plans.registry import query
-from corpusmill.plans.retrieval import R6
+from corpusmill.plans.retrieval import R6, TRUTH
 from corpusmill.sources.tables import table
 
-PRED = """gt as (select id, min(upper(trim(lcc_code))) as truth from shelf_features where length(trim(lcc_code)) = 1 group by id),
+PRED = f"""{TRUTH},
 pr as (select run_name, id, prediction as pred, confidence from (select *, row_number() over (partition by run_name, id order by prediction, confidence desc) as r from class_predictions) where r = 1),
 ev as (select run_name, id, truth, pred, confidence from pr join gt using (id)),
 labels as (select term as label from label_space where facet = 'lcc_code')"""

@@ -116,10 +116,13 @@ def embedding_norm_stats(spark, d):
     return table(spark, d, "embeddings").groupBy("label").agg(F.count("*").alias("n"), r6(F.avg(norm)).alias("mean_norm"))
 
 
-RUNS = """first_runs as (select query_id, ranked_doc_ids from (select *, row_number() over (partition by query_id order by len(ranked_doc_ids) desc, array_to_string(ranked_doc_ids, ',')) as r from retrieval_runs where query_id is not null) where r = 1),
+#: The class of an id: the least of its rows', as code, with prefix or point, or by name; one-letter codes outside the label space stand for themselves.
+TRUTH = r"""alias as (select key, min(term) as term from (select term, unnest([t, 'lcc' || t, t || 'lcc', b, t || b, b || t]) as key from (select term, regexp_replace(lower(term), '[^\p{L}\p{N}]+', '', 'g') as t, regexp_replace(lower(broader), '[^\p{L}\p{N}]+', '', 'g') as b from label_space where facet = 'lcc_code')) group by key),
+gt as (select id, min(truth) as truth from (select id, coalesce(term, case when length(trim(lcc_code)) = 1 then upper(trim(lcc_code)) end) as truth from shelf_features left join alias on key = nullif(regexp_replace(lower(lcc_code), '[^\p{L}\p{N}]+', '', 'g'), '')) where truth is not null group by id)"""
+RUNS = f"""{TRUTH}, first_runs as (select query_id, ranked_doc_ids from (select *, row_number() over (partition by query_id order by len(ranked_doc_ids) desc, array_to_string(ranked_doc_ids, ',')) as r from retrieval_runs where query_id is not null) where r = 1),
 flat as (select query_id, unnest(ranked_doc_ids) as doc, generate_subscripts(ranked_doc_ids, 1) as pos from first_runs),
 runs as (select query_id as query, doc, row_number() over (partition by query_id order by min(pos)) as rank from flat group by query_id, doc),
-cls as (select id, min(upper(trim(lcc_code))) as c from shelf_features where length(trim(lcc_code)) = 1 group by id)"""
+cls as (select id, truth as c from gt)"""
 
 
 @query(f"""with {RUNS}, j as (select r.query, r.rank, case when a.c = b.c then 1 else 0 end as hit from runs r join cls a on a.id = r.query left join cls b on b.id = r.doc)

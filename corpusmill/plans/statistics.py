@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.functions.expr import hash60, r6
 from corpusmill.operators.labels import class_truth
 from corpusmill.plans.registry import query
-from corpusmill.plans.retrieval import R6
+from corpusmill.plans.retrieval import R6, TRUTH
 from corpusmill.sources.tables import table
 
 SCORES = "sc as (select source as model, lang as task, avg(n_chars) as score from documents where lang is not null and source is not null group by 1, 2)"
@@ -75,7 +75,7 @@ def bootstrap_mean_ci(spark, d):
     return m.agg(r6(F.percentile("m", 0.025)).alias("lo"), r6(F.percentile("m", 0.975)).alias("hi")).crossJoin(v.agg(r6(F.avg("x")).alias("mean")))
 
 
-@query(f"""with g as (select id, min(upper(trim(lcc_code))) as truth from shelf_features where length(trim(lcc_code)) = 1 group by id), p as (select id, run_name, min(prediction) as pred from class_predictions group by 1, 2),
+@query(f"""with {TRUTH}, g as (select * from gt), p as (select id, run_name, min(prediction) as pred from class_predictions group by 1, 2),
 e as (select p.id, max(case when run_name = (select min(run_name) from class_predictions) then (pred = truth)::int end) as x, max(case when run_name = (select max(run_name) from class_predictions) then (pred = truth)::int end) as y from p join g using (id) group by p.id),
 c as (select sum(case when x = 1 and y = 0 then 1 else 0 end) as b, sum(case when x = 0 and y = 1 then 1 else 0 end) as c from e where x is not null and y is not null)
 select b::bigint as b, c::bigint as c, {R6.format('(abs(b - c) - 1) * (abs(b - c) - 1) / (b + c)')} as statistic from c""")
