@@ -21,7 +21,7 @@ NONE, EMAIL, PHONE, IDENTITY, ADDRESS, NAME = range(6)
 #: Labels that a candidate of each type may take.
 ALLOWED = {"E": (NONE, EMAIL), "N": (NONE, PHONE, IDENTITY), "I": (NONE, IDENTITY), "A": (NONE, ADDRESS), "P": (NONE, NAME)}
 SAMPLE_DOCS = 4000  # documents, chosen by hash, that the weights are fitted on
-ROUNDS, JOINT_ROUNDS, SWEEPS = 80, 12, 4  # gradient steps of the features alone, and of features and potentials together; sweeps of message passing
+ROUNDS, JOINT_ROUNDS, SWEEPS = 80, 8, 4  # gradient steps of the features alone, and of features and potentials together; sweeps of message passing
 
 # Words of streets, cues and particles in English, French, German and Spanish.
 STREET_EN = "Row|Street|St\\.?|Quay|Crescent|Lane|Ln\\.?|Road|Rd\\.?|Place|Terrace|Close|Hill|Walk|Avenue|Ave\\.?|Yard|Square|Sq\\.?|Way|Gate|Court|Ct\\.?|Drive|Dr\\.?|Boulevard|Blvd\\.?"
@@ -337,17 +337,17 @@ COUNTED = "kind string, word string, other string, n long"
 HELD = 200_000  # counts that a task holds before it hands them on
 
 
-def count_words(texts, seen: Counter) -> None:
-    """Adds to `seen`, by (kind, word, other): o words in lower case, c capitalised words, b capitalised words before another, initials and particles between them aside, f first names and e surname endings of lines of contacts."""
+def count_words(texts, seen: dict[str, Counter]) -> None:
+    """Counts by kind: o words in lower case, c capitalised words, b capitalised words before another, initials and particles between them aside, f first names and e surname endings of lines of contacts."""
     for t in texts:
-        seen.update(("o", w, "") for w in ORDINARY.findall(t))
-        seen.update(("c", w, "") for w in CAPITAL.findall(t))
-        seen.update(("b", *m) for m in NAMED.findall(t))
+        seen["o"].update(ORDINARY.findall(t))
+        seen["c"].update(CAPITAL.findall(t))
+        seen["b"].update(NAMED.findall(t))
         for slot in SLOTS:
             for m in slot.finditer(t):
                 given, rest = (m[2], m[1]) if m[2] else ((m[1].split() or [""])[0], " ".join(m[1].split()[1:]))
-                seen.update(("f", f, "") for f in re.findall(r"[^\W\d_]{3,}", fold(given)))
-                seen.update(("e", s[-3:], "") for s in re.findall(r"[^\W\d_]{4,}", fold(rest)))
+                seen["f"].update(re.findall(r"[^\W\d_]{3,}", fold(given)))
+                seen["e"].update(s[-3:] for s in re.findall(r"[^\W\d_]{4,}", fold(rest)))
 
 
 #: What makes names: different partners of a first name and different surnames of an ending, the share of the most frequent one, how much a word is written in lower case, the share of a first name's uses.
@@ -365,16 +365,17 @@ def lexicons(df: DataFrame, text: str = "text") -> dict:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: Counter = Counter()
+        seen = {k: Counter() for k in "ocbfe"}
 
         def held():
-            rows = [(k, w if k in "ofe" else fold(w), fold(o), n) for (k, w, o), n in seen.items()]
-            seen.clear()
+            rows = [(k, fold(w[0]), fold(w[1]), n) if k == "b" else (k, fold(w) if k == "c" else w, "", n) for k, c in seen.items() for w, n in c.items()]
+            for c in seen.values():
+                c.clear()
             return pd.DataFrame(rows, columns=["kind", "word", "other", "n"])
 
         for pdf in batches:
             count_words(pdf[text], seen)
-            if len(seen) > HELD:
+            if sum(map(len, seen.values())) > HELD:
                 yield held()
         yield held()
 
