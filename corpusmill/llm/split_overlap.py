@@ -102,13 +102,12 @@ class WordIndex:
         first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(vocab) + 1))])
         return {"vocab": vocab, "last": np.sort(last * (n + 1) + np.arange(n)), "doc": doc, "first": first, "text": text, "start": np.append(start, n), "key": keys, "size": sizes, "sketch": sketches}
 
-    def symbols(self, tokens: np.ndarray) -> np.ndarray:
+    def symbols(self, words: np.ndarray) -> np.ndarray:
         """The symbol of each word, -1 for words that no text has."""
-        u, inv = np.unique(tokens, return_inverse=True)
-        at = np.searchsorted(self.vocab, u)
+        at = np.searchsorted(self.vocab, words)
         known = at < len(self.vocab)
-        known[known] = np.asarray(self.vocab)[at[known]] == u[known]
-        return np.where(known, at + 1, -1)[inv]
+        known[known] = np.asarray(self.vocab)[at[known]] == words[known]
+        return np.where(known, at + 1, -1)
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the interval of suffixes that begin with symbol and go on with those of [lo, hi)."""
@@ -178,8 +177,8 @@ def _build(path: str, k: int):
     return run
 
 
-#: Lengths of texts are told apart by this ratio when shards are cut; characters that a word takes on the average at least.
-LENGTH_STEP, WORD_CHARS = 1.05, 5
+#: Lengths of texts are told apart by this ratio when shards are cut; characters that a word takes on the average.
+LENGTH_STEP, WORD_CHARS = 1.05, 6
 
 
 def cut_shards(texts: DataFrame) -> tuple[DataFrame, int]:
@@ -207,64 +206,68 @@ def cut_shards(texts: DataFrame) -> tuple[DataFrame, int]:
 def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: float):
     """Streams training texts through the shards whose texts can be similar by size."""
 
-    def one(ix: WordIndex, sets_of: dict, tokens, offsets, sets, sketches, docs) -> list[tuple[int, ...]]:
-        """(training text, indexed text, shared shingles, union, longest match, matched words) of similar pairs, for the texts `docs` of a batch."""
-        pieces = np.concatenate([np.arange(offsets[d], offsets[d + 1]) for d in docs])
-        sym = ix.symbols(tokens[pieces])
-        lens = np.array([offsets[d + 1] - offsets[d] for d in docs])
-        begin = np.concatenate([[0], np.cumsum(lens)])
-        owner = np.repeat(np.arange(len(docs)), lens)
-        at = np.arange(len(sym))
-        inside = at + k <= begin[owner + 1]
-        at, own = at[inside], owner[inside]
-        runs = np.stack([sym[at + j] for j in range(k)], 1) if len(at) else np.empty((0, k), np.int64)
-        ok = (runs > 0).all(1)
-        # equal runs of a text count once; of a batch they are searched once
-        code = np.zeros(len(runs), np.uint64)
-        with np.errstate(over="ignore"):
-            for j in range(k):
-                code = code * np.uint64(0x9E3779B97F4A7C15) + runs[:, j].astype(np.uint64) + np.uint64(1)
-            code ^= code >> np.uint64(29)
-            code *= np.uint64(0xBF58476D1CE4E5B9)
-        u, first, inv = np.unique(code[ok], return_index=True, return_inverse=True)
-        lo, hi = ix.search(runs[ok][first]) if len(u) else (np.empty(0, np.int64),) * 2
-        count = (hi - lo)[inv]
-        by = pd.DataFrame({"own": own[ok], "run": inv, "count": count}).drop_duplicates(["own", "run"])
-        by = by[by["count"] > 0]
-        n = np.array([len(sets[d]) for d in docs])
-        present = np.bincount(by["own"], minlength=len(docs))
+    def prepare(tokens, offsets):
+        """What all shards need of a batch: its different words, its different runs of k words as places among them, and (text, run), each once, in order of texts."""
+        words, spelt = np.unique(tokens, return_inverse=True)
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+        at = np.arange(len(tokens))
+        at = at[at + k <= offsets[owner + 1]]
+        _, first, run = np.unique(shingles_at(tokens, k)[at] if len(at) else np.empty(0, np.uint64), return_index=True, return_inverse=True)
+        runs = np.stack([spelt[at[first] + j] for j in range(k)], 1) if len(at) else np.empty((0, k), np.int64)
+        once = np.unique(owner[at].astype(np.int64) * max(len(first), 1) + run)
+        return words, runs, once // max(len(first), 1), once % max(len(first), 1)
+
+    def one(ix: WordIndex, sets_of: dict, batch, tokens, offsets, sets, sketches, fits) -> list[tuple[int, ...]]:
+        """(training text, indexed text, shared shingles, union, longest match, matched words) of similar pairs, for the texts of a batch that `fits` marks."""
+        words, runs, own, run = batch
+        mine = fits[own]
+        own, run = own[mine], run[mine]
+        needed = np.zeros(len(runs), bool)
+        needed[run] = True
+        symbols = ix.symbols(words)[runs[needed]]
+        known = (symbols > 0).all(1)
+        spot = np.flatnonzero(needed)[known]
+        lo, hi = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+        if len(spot):
+            lo[spot], hi[spot] = ix.search(symbols[known])
+        there = hi[run] > lo[run]
+        n = np.array([len(s) for s in sets])
+        present = np.bincount(own[there], minlength=len(sets))
         enough = present >= np.ceil(similarity * n - 1e-9)
         # the prefix of the rarest shingles: those that no indexed text has come first, for nothing
         quota = n - np.ceil(similarity * n - 1e-9) + 1 - (n - present)
-        by = by[enough[by["own"]]].sort_values(["own", "count", "run"], kind="stable")
-        rank = by.groupby("own").cumcount().to_numpy()
-        own_before = by["own"].to_numpy()
-        by = by[rank < quota[own_before]]
+        keep = there & enough[own]
+        own, run = own[keep], run[keep]
+        count = (hi - lo)[run]
+        order = np.lexsort((run, count, own))
+        own, run, count = own[order], run[order], count[order]
+        begin = np.searchsorted(own, own)
+        rank = np.arange(len(own)) - begin
+        rare = rank < quota[own]
+        by, rank, c, run = own[rare], rank[rare], count[rare], run[rare]
         if not len(by):
             return []
-        c = by["count"].to_numpy()
-        spot = np.repeat(lo[by["run"]], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        a, b = np.repeat(by["own"].to_numpy(), c).astype(np.int64), np.asarray(ix.doc)[spot].astype(np.int64)
+        spot = np.repeat(lo[run], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        a, b = np.repeat(by, c).astype(np.int64), np.asarray(ix.doc)[spot].astype(np.int64)
         # so many of the text's shingles come before this one in the order, absent ones among them: the rest must still be enough
-        before = np.repeat(rank[rank < quota[own_before]] + (n - present)[by["own"]], c)
+        before = np.repeat(rank + (n - present)[by], c)
         nb = np.asarray(ix.size)[b]
         need = least_overlap(n[a], nb, similarity)
-        fits = (np.minimum(n[a], nb) >= similarity * np.maximum(n[a], nb) - 1e-9) & (n[a] - before >= need)
-        pair = np.unique(a[fits] << np.int64(32) | b[fits])
+        may = (np.minimum(n[a], nb) >= similarity * np.maximum(n[a], nb) - 1e-9) & (n[a] - before >= need)
+        pair = np.unique(a[may] << np.int64(32) | b[may])
         a, b = pair >> 32, pair & 0xFFFFFFFF
-        mine, theirs = sketches[docs], np.asarray(ix.sketch)
-        far = np.concatenate([np.bitwise_count(mine[a[i : i + 65536]] ^ theirs[b[i : i + 65536]]).sum(1, dtype=np.int64) for i in range(0, len(a), 65536)]) if len(a) else np.empty(0, np.int64)
+        theirs = np.asarray(ix.sketch)
+        far = np.concatenate([np.bitwise_count(sketches[a[i : i + 65536]] ^ theirs[b[i : i + 65536]]).sum(1, dtype=np.int64) for i in range(0, len(a), 65536)]) if len(a) else np.empty(0, np.int64)
         near = far <= np.floor((1 - similarity) / (1 + similarity) * (n[a] + np.asarray(ix.size)[b]) + 1e-9)
         out = []
-        for x, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+        for d, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
             other = sets_of.get(y)
             if other is None:
                 w = ix.words_of(y)
                 other = sets_of[y] = shingle_batch(w, np.array([0, len(w)]), k)[0]
-            d = docs[x]
             both = len(np.intersect1d(sets[d], other, assume_unique=True))
-            if both >= least_overlap(n[x], len(other), similarity):
-                out.append((d, y, both, int(n[x]) + len(other) - both, *merged_spans(tokens[offsets[d] : offsets[d + 1]], other, k)))
+            if both >= least_overlap(n[d], len(other), similarity):
+                out.append((d, y, both, int(n[d]) + len(other) - both, *merged_spans(tokens[offsets[d] : offsets[d + 1]], other, k)))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -279,17 +282,18 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
             sketches = sketch(sets)
             keys = pdf["key"].to_numpy()
             rows = []
+            batch = prepare(tokens, offsets)
             for name, least, most in shards:
-                docs = np.flatnonzero((n >= similarity * least - 1e-9) & (n * similarity <= most + 1e-9) & (width >= k)).tolist()
+                docs = (n >= similarity * least - 1e-9) & (n * similarity <= most + 1e-9) & (width >= k)
                 short = np.flatnonzero((width > 0) & (width < k) & (n >= similarity * least - 1e-9) & (n * similarity <= most + 1e-9)).tolist()
-                if not docs and not short:
+                if not docs.any() and not short:
                     continue
                 if name not in open_:
                     open_[name] = WordIndex(lambda x, name=name: _read(path, name, x)), {}
                 ix, sets_of = open_[name]
                 if len(sets_of) > 100_000:
                     sets_of.clear()
-                for d, y, *rest in one(ix, sets_of, tokens, offsets, sets, sketches, docs) if docs else []:
+                for d, y, *rest in one(ix, sets_of, batch, tokens, offsets, sets, sketches, docs) if docs.any() else []:
                     rows.append((keys[d], int(ix.key[y]), *rest))
                 if short:  # texts shorter than a shingle are similar to equal ones only
                     if name not in tiny_of:  # equal words may stand in several raw texts, each with a key of its own
