@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import assembly, evaluation, gates, ranks, reports, retrieval, statistics  # noqa: F401
+from corpusmill.plans import assembly, evaluation, gates, pairing, ranks, reports, retrieval, statistics  # noqa: F401
 from corpusmill.plans.registry import QUERIES, SQL
 
 
