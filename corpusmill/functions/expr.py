@@ -63,3 +63,8 @@ def length_bucket(chars: Column) -> Column:
 def cosine(u: Column, v: Column) -> Column:
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
     return dot(u, v) / (F.sqrt(dot(u, u)) * F.sqrt(dot(v, v)))
+
+
+def correlation(x, y) -> Column:
+    """Pearson correlation as an aggregate; null where either side does not vary."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))

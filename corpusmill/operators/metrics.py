@@ -49,7 +49,7 @@ def auc(scored: DataFrame) -> DataFrame:
     below = F.sum("neg").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, -1))
     u = by.withColumn("below", F.coalesce(below, F.lit(0)))
     s = u.agg(F.sum(F.col("pos") * (F.col("below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    return s.select(F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos") * F.col("n_neg"))).otherwise(F.lit(0.5)).alias("auc"), "n_pos", "n_neg")
+    return s.select(F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("u") / (F.col("n_pos").cast("double") * F.col("n_neg"))).otherwise(F.lit(0.5)).alias("auc"), "n_pos", "n_neg")
 
 
 def average_precision(scored: DataFrame) -> DataFrame:
@@ -66,9 +66,9 @@ def clustering_metrics(pairs: DataFrame) -> DataFrame:
     cell = pairs.groupBy("truth", "pred").agg(F.count("*").alias("n"))
     n = cell.agg(F.sum("n").alias("total"))
     t, p = cell.groupBy("truth").agg(F.sum("n").alias("nt")), cell.groupBy("pred").agg(F.sum("n").alias("np"))
-    c2 = lambda x: x * (x - 1) / 2.0
+    c2 = lambda x: x.cast("double") * (x - 1) / 2.0
     ent = lambda d, c: d.crossJoin(n).agg(F.sum(-(F.col(c) / F.col("total")) * F.ln(F.col(c) / F.col("total"))).alias(f"h_{c}"), F.sum(c2(F.col(c))).alias(f"s_{c}"))
-    mi = cell.join(t, "truth").join(p, "pred").crossJoin(n).agg(F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / (F.col("nt") * F.col("np")))).alias("mi"), F.sum(c2(F.col("n"))).alias("s_n"), F.max("total").alias("total"))
+    mi = cell.join(t, "truth").join(p, "pred").crossJoin(n).agg(F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / (F.col("nt").cast("double") * F.col("np")))).alias("mi"), F.sum(c2(F.col("n"))).alias("s_n"), F.max("total").alias("total"))
     x = mi.crossJoin(ent(t, "nt")).crossJoin(ent(p, "np"))  # rows of one
     h = F.when(F.col("h_nt") <= 0, 1.0).otherwise(F.col("mi") / F.col("h_nt"))
     c = F.when(F.col("h_np") <= 0, 1.0).otherwise(F.col("mi") / F.col("h_np"))
@@ -78,3 +78,25 @@ def clustering_metrics(pairs: DataFrame) -> DataFrame:
     nmi = F.when(F.col("h_nt") + F.col("h_np") > 0, 2 * F.col("mi") / (F.col("h_nt") + F.col("h_np"))).otherwise(F.lit(1.0))
     ari = (F.col("s_n") - expected) / ((F.col("s_nt") + F.col("s_np")) / 2 - expected)
     return x.select("homogeneity", "completeness", v.alias("v_measure"), nmi.alias("nmi"), ari.alias("ari"), F.col("total").alias("n"))
+
+
+def clustering_by(rows: DataFrame, group: str) -> DataFrame:
+    """(group, homogeneity, completeness, nmi, n) for rows(group, truth, pred): the contingency tables of all groups in one aggregation."""
+    cell = rows.groupBy(group, "truth", "pred").agg(F.count("*").alias("n"))
+    n = cell.groupBy(group).agg(F.sum("n").alias("total"))
+    side = lambda c, out: cell.groupBy(group, c).agg(F.sum("n").alias(out))
+    part = lambda c: F.sum(-(F.col(c) / F.col("total")) * F.ln(F.col(c) / F.col("total")))
+    t, p = side("truth", "nt"), side("pred", "np")
+    h = t.join(n, group).groupBy(group).agg(part("nt").alias("ht")).join(p.join(n, group).groupBy(group).agg(part("np").alias("hp")), group)
+    mi = cell.join(t, [group, "truth"]).join(p, [group, "pred"]).join(n, group).groupBy(group).agg(F.sum(F.col("n") / F.col("total") * F.ln(F.col("n") * F.col("total") / (F.col("nt").cast("double") * F.col("np")))).alias("mi"), F.max("total").alias("n"))
+    one = lambda e: F.when(e <= 0, 1.0).otherwise(F.col("mi") / e)
+    nmi = F.when(F.col("ht") + F.col("hp") > 0, 2 * F.col("mi") / (F.col("ht") + F.col("hp"))).otherwise(F.lit(1.0))
+    return h.join(mi, group).select(group, one(F.col("ht")).alias("homogeneity"), one(F.col("hp")).alias("completeness"), nmi.alias("nmi"), "n")
+
+
+def discovery(rows: DataFrame, noise: int = -1) -> DataFrame:
+    """clustering_metrics() of rows(truth, pred) without noise, and noise, noise_ratio, clusters_pred, clusters_true, k_error. Where all rows are noise, they are one cluster."""
+    s = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("pred") == noise).alias("noise"), F.countDistinct(F.when(F.col("pred") != noise, F.col("pred"))).alias("clusters_pred"), F.countDistinct("truth").alias("clusters_true"))
+    kept = rows.crossJoin(F.broadcast(s.select("rows", F.col("noise").alias("_n")))).where((F.col("pred") != noise) | (F.col("_n") == F.col("rows"))).select("truth", "pred")  # one row on the right
+    k_error = F.abs(F.col("clusters_pred") - F.col("clusters_true")) / F.col("clusters_true")
+    return clustering_metrics(kept).crossJoin(s).withColumn("noise_ratio", F.col("noise") / F.col("rows")).withColumn("k_error", k_error)

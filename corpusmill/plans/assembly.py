@@ -62,8 +62,8 @@ select stratum, sum(n)::bigint as pairs from p group by 1""")
 def relation_strata(spark, d):
     """Pairs of documents by relation, counted from facet cells: the pairs themselves are never made."""
     c = table(spark, d, "documents").groupBy("lcc_code", "lcgft_form").agg(F.count("*").alias("n"))
-    t = c.agg(F.sum("n").alias("t")).select((F.col("t") * (F.col("t") - 1) / 2).cast("long").alias("all"))
-    two = lambda x: (x * (x - 1) / 2).cast("long")
+    t = c.agg(F.sum("n").alias("t")).select((F.col("t").cast("decimal(38,0)") * (F.col("t") - 1) / 2).cast("long").alias("all"))
+    two = lambda x: (x.cast("decimal(20,0)") * (x - 1) / 2).cast("long")
     both = c.agg(F.sum(F.when(F.col("lcc_code").isNotNull() & F.col("lcgft_form").isNotNull(), two(F.col("n")))).alias("v"))
     by = lambda f: c.where(F.col(f).isNotNull()).groupBy(f).agg(F.sum("n").alias("m")).agg(F.sum(two(F.col("m"))).alias("v"))
     x = both.select(F.col("v").alias("s0")).crossJoin(by("lcc_code").select(F.col("v").alias("c"))).crossJoin(by("lcgft_form").select(F.col("v").alias("f"))).crossJoin(t)  # rows of one

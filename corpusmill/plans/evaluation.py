@@ -121,16 +121,22 @@ def cohen_kappa(spark, d):
     b = one.groupBy("id").agg(F.min(F.when(F.col("run_name") == F.col("lo"), F.col("prediction"))).alias("x"), F.min(F.when(F.col("run_name") == F.col("hi"), F.col("prediction"))).alias("y")).where("x is not null and y is not null")
     po = b.agg(F.count("*").alias("n"), F.avg(F.when(F.col("x") == F.col("y"), 1.0).otherwise(0.0)).alias("po"))
     e = b.groupBy(F.col("x").alias("l")).agg(F.count("*").alias("a")).join(b.groupBy(F.col("y").alias("l")).agg(F.count("*").alias("c")), "l").agg(F.coalesce(F.sum(F.col("a") * F.col("c")), F.lit(0)).alias("s"))
-    pe = F.col("s") / (F.col("n") * F.col("n"))
+    pe = F.col("s") / (F.col("n").cast("double") * F.col("n"))
     return po.crossJoin(e).select("n", r6(F.col("po")).alias("observed"), r6((F.col("po") - pe) / (1 - pe)).alias("kappa"))
 
 
-CLUSTERS = "c as (select label as truth, list_position(embedding[1:10], list_max(embedding[1:10])) - 1 as pred from embeddings)"
+#: Vectors by nearest of ten seeds drawn by hash, by cosine over all dimensions.
+CLUSTERS = f"""sd as (select vec_id as seed, embedding as u from embeddings order by md5('seed|' || vec_id), vec_id limit 10), sm as (select vec_id, label, seed, {R6.format('list_cosine_similarity(u::double[], embedding::double[])')} as sim from embeddings cross join sd),
+nr as (select * from (select *, row_number() over (partition by vec_id order by sim desc, seed) as r from sm) where r = 1), c as (select label as truth, seed as pred from nr)"""
 
 
-def _clusters(spark, d):
-    first = F.slice("embedding", 1, 10)
-    return table(spark, d, "embeddings").select(F.col("label").alias("truth"), (F.array_position(first, F.array_max(first)) - 1).alias("pred"))
+def nearest_seeds(spark, d):
+    """(truth, pred, sim): each vector's nearest of ten seeds over all dimensions; the seeds are one row."""
+    e = table(spark, d, "embeddings")
+    seeds = e.orderBy(F.md5(F.concat(F.lit("seed|"), F.col("vec_id"))), "vec_id").limit(10).agg(F.collect_list(F.struct(F.col("vec_id").alias("seed"), F.col("embedding").alias("u"))).alias("seeds"))
+    near = lambda s: F.struct((-r6(cosine(s["u"], F.col("embedding")))).alias("far"), s["seed"].alias("seed"))
+    best = F.array_min(F.transform("seeds", near))
+    return e.crossJoin(F.broadcast(seeds)).select(F.col("label").alias("truth"), best.alias("b")).select("truth", F.col("b.seed").alias("pred"), (-F.col("b.far")).alias("sim"))
 
 
 @query(f"""with {CLUSTERS}, k as (select truth, pred, count(*) as n from c group by 1, 2), t as (select truth, sum(n) as nt from k group by 1), p as (select pred, sum(n) as np from k group by 1), tot as (select sum(n) as total from k),
@@ -138,7 +144,7 @@ h as (select (select sum(-(nt / total) * ln(nt / total)) from t, tot) as ht, (se
  (select sum(n * (n - 1) / 2.0) from k) as sn, (select sum(nt * (nt - 1) / 2.0) from t) as st, (select sum(np * (np - 1) / 2.0) from p) as sp, total from tot)
 select {R6.format('mi / ht')} as homogeneity, {R6.format('mi / hp')} as completeness, {R6.format('2 * (mi / ht) * (mi / hp) / (mi / ht + mi / hp)')} as v_measure, {R6.format('2 * mi / (ht + hp)')} as nmi, {R6.format('(sn - st * sp / (total * (total - 1) / 2.0)) / ((st + sp) / 2 - st * sp / (total * (total - 1) / 2.0))')} as ari, total::bigint as n from h""")
 def clustering_metrics(spark, d):
-    m = metrics.clustering_metrics(_clusters(spark, d))
+    m = metrics.clustering_metrics(nearest_seeds(spark, d))
     return m.select(*[r6(F.col(c)).alias(c) for c in ("homogeneity", "completeness", "v_measure", "nmi", "ari")], "n")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.expr import facet_set, hash60, r6, tokens
+from corpusmill.functions.expr import correlation, facet_set, hash60, r6, tokens
 from corpusmill.plans.assembly import H60
 from corpusmill.plans.evaluation import SETS
 from corpusmill.plans.registry import query
@@ -22,12 +22,12 @@ def average_ranks(df, by: list[str], value: str):
 
 @query(f"""with {SCORES}, j as (select a.task as ta, b.task as tb, a.model, a.score as x, b.score as y from sc a join sc b on a.model = b.model and a.task < b.task),
 r as (select ta, tb, rank() over (partition by ta, tb order by x) + (count(*) over (partition by ta, tb, x) - 1) / 2.0 as rx, rank() over (partition by ta, tb order by y) + (count(*) over (partition by ta, tb, y) - 1) / 2.0 as ry from j)
-select ta as task_a, tb as task_b, {R6.format('corr(rx, ry)')} as spearman from r group by 1, 2""")
+select ta as task_a, tb as task_b, {R6.format('case when stddev_pop(rx) * stddev_pop(ry) > 0 then corr(rx, ry) end')} as spearman from r group by 1, 2""")
 def spearman(spark, d):
     s = _scores(spark, d)
     j = s.alias("a").join(s.alias("b"), (F.col("a.model") == F.col("b.model")) & (F.col("a.task") < F.col("b.task"))).select(F.col("a.task").alias("task_a"), F.col("b.task").alias("task_b"), F.col("a.score").alias("x"), F.col("b.score").alias("y"))
     r = average_ranks(average_ranks(j, ["task_a", "task_b"], "x").withColumnRenamed("r", "rx"), ["task_a", "task_b"], "y")
-    return r.groupBy("task_a", "task_b").agg(r6(F.corr("rx", "r")).alias("spearman"))
+    return r.groupBy("task_a", "task_b").agg(r6(correlation("rx", "r")).alias("spearman"))
 
 
 @query(f"""with v as (select source as g, n_chars as x from documents where source is not null and n_chars is not null), r as (select g, x, rank() over (order by x) + (count(*) over (partition by x) - 1) / 2.0 as r from v),

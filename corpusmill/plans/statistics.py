@@ -5,17 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.expr import hash60, r6
+from corpusmill.functions.expr import correlation, hash60, r6
 from corpusmill.operators.labels import class_truth
+from corpusmill.plans.evaluation import PRED, _evaluated
 from corpusmill.plans.registry import query
 from corpusmill.plans.retrieval import R6, TRUTH
 from corpusmill.sources.tables import table
 
-SCORES = "sc as (select source as model, lang as task, avg(n_chars) as score from documents where lang is not null and source is not null group by 1, 2)"
+#: Runs as models, classes as tasks, accuracy over the class's documents as score.
+SCORES = f"""{PRED}, sc as (select run_name as model, truth as task, avg((truth = pred)::int) as score, count(*) as cost from ev group by 1, 2)"""
 
 
 def _scores(spark, d):
-    return table(spark, d, "documents").where("lang is not null and source is not null").groupBy(F.col("source").alias("model"), F.col("lang").alias("task")).agg(F.avg("n_chars").alias("score"))
+    ok = (F.col("truth") == F.col("pred")).cast("int")
+    return _evaluated(spark, d).groupBy(F.col("run_name").alias("model"), F.col("truth").alias("task")).agg(F.avg(ok).alias("score"), F.count("*").alias("cost"))
 
 
 @query(f"with {SCORES}, r as (select *, row_number() over (partition by task order by score desc, model) as r from sc) select model, {R6.format('avg(r)')} as mean_rank, {R6.format('stddev_pop(r)')} as sd_rank, min(r) as best, max(r) as worst, sum(case when r <= 3 then 1 else 0 end)::bigint as top3 from r group by model")
@@ -31,21 +34,21 @@ def champions(spark, d):
     return r.select("task", F.col("model").alias("champion"), r6(F.col("score") - F.col("next")).alias("gap"))
 
 
-@query(f"with {SCORES}, m as (select model, avg(score) as score, count(*) as cost from sc group by model) select a.model from m a where not exists (select 1 from m b where b.cost <= a.cost and b.score >= a.score and (b.cost < a.cost or b.score > a.score))")
+@query(f"with {SCORES}, m as (select model, avg(score) as score, sum(cost) as cost from sc group by model) select a.model from m a where not exists (select 1 from m b where b.cost <= a.cost and b.score >= a.score and (b.cost < a.cost or b.score > a.score))")
 def pareto_frontier(spark, d):
     """By a running maximum over cheaper models and the best of the own cost: no pairwise join."""
-    m = _scores(spark, d).groupBy("model").agg(F.avg("score").alias("score"), F.count("*").alias("cost"))
+    m = _scores(spark, d).groupBy("model").agg(F.avg("score").alias("score"), F.sum("cost").alias("cost"))
     by = m.groupBy("cost").agg(F.max("score").alias("top"))
     cheaper = F.max("top").over(Window.orderBy("cost").rowsBetween(Window.unboundedPreceding, -1))
     b = by.withColumn("cheaper", cheaper)
     return m.join(b, "cost").where((F.col("score") == F.col("top")) & (F.col("cheaper").isNull() | (F.col("score") > F.col("cheaper")))).select("model")
 
 
-@query(f"with {SCORES} select a.task as task_a, b.task as task_b, {R6.format('corr(a.score, b.score)')} as r, count(*) as n from sc a join sc b on a.model = b.model and a.task < b.task group by 1, 2 having count(*) >= 3")
+@query(f"with {SCORES} select a.task as task_a, b.task as task_b, {R6.format('case when stddev_pop(a.score) * stddev_pop(b.score) > 0 then corr(a.score, b.score) end')} as r, count(*) as n from sc a join sc b on a.model = b.model and a.task < b.task group by 1, 2 having count(*) >= 3")
 def task_correlation(spark, d):
     s = _scores(spark, d)
     j = s.alias("a").join(s.alias("b"), (F.col("a.model") == F.col("b.model")) & (F.col("a.task") < F.col("b.task")))
-    return j.groupBy(F.col("a.task").alias("task_a"), F.col("b.task").alias("task_b")).agg(r6(F.corr("a.score", "b.score")).alias("r"), F.count("*").alias("n")).where("n >= 3")
+    return j.groupBy(F.col("a.task").alias("task_a"), F.col("b.task").alias("task_b")).agg(r6(correlation("a.score", "b.score")).alias("r"), F.count("*").alias("n")).where("n >= 3")
 
 
 @query(f"""with d as (select id, max(case when run_name = (select min(run_name) from class_predictions) then confidence end) as x, max(case when run_name = (select max(run_name) from class_predictions) then confidence end) as y from class_predictions group by id), p as (select x - y as d from d where x is not null and y is not null)
@@ -90,10 +93,10 @@ def mcnemar(spark, d):
     return c.select("b", "c", r6(diff * diff / (F.col("b") + F.col("c"))).alias("statistic"))
 
 
-@query(f"with {SCORES}, r as (select model, task, rank() over (partition by task order by score) + (count(*) over (partition by task, score) - 1) / 2.0 as r from sc), k as (select count(distinct model) as k, count(distinct task) as n from sc), full_models as (select model from sc group by model having count(*) = (select n from k)), q as (select model, row_number() over (order by model) as i from full_models) select model, {R6.format('avg(r)')} as average_rank from r where model in (select model from q) group by model")
+@query(f"with {SCORES}, r as (select model, task, rank() over (partition by task order by score desc) + (count(*) over (partition by task, score) - 1) / 2.0 as r from sc), k as (select count(distinct model) as k, count(distinct task) as n from sc), full_models as (select model from sc group by model having count(*) = (select n from k)), q as (select model, row_number() over (order by model) as i from full_models) select model, {R6.format('avg(r)')} as average_rank from r where model in (select model from q) group by model")
 def friedman_ranks(spark, d):
     s = _scores(spark, d)
-    w = Window.partitionBy("task").orderBy("score")
+    w = Window.partitionBy("task").orderBy(F.desc("score"))  # the best has the first rank
     r = s.withColumn("r", F.rank().over(w) + (F.count("*").over(Window.partitionBy("task", "score")) - 1) / 2.0)
     n = s.select("task").distinct().count()
     whole = s.groupBy("model").agg(F.count("*").alias("n")).where(F.col("n") == n).select("model")
