@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.expr import correlation, hash60, r6
+from corpusmill.functions.expr import correlation, r6
 from corpusmill.operators.labels import class_truth
 from corpusmill.plans.evaluation import PRED, _evaluated
 from corpusmill.plans.registry import query
@@ -65,19 +65,6 @@ def _paired(spark, d):
     return j.groupBy("id").agg(F.max(F.when(F.col("run_name") == F.col("lo"), F.col("confidence"))).alias("x"), F.max(F.when(F.col("run_name") == F.col("hi"), F.col("confidence"))).alias("y")).where("x is not null and y is not null")
 
 
-@query(f"""with v as (select id, avg(confidence) as x from class_predictions where confidence is not null group by id), b as (select unnest(range(1, 201)) as b),
-w as (select b, x, ('0x' || substr(md5(b || '|' || id), 1, 15))::bigint % 1000000 / 1e6 as u from v cross join b), k as (select b, x, case when u < 0.367879 then 0 when u < 0.735759 then 1 when u < 0.919699 then 2 when u < 0.981012 then 3 when u < 0.99634 then 4 else 5 end as k from w),
-m as (select b, sum(k * x) / sum(k) as m from k group by b) select {R6.format('(select avg(x) from v)')} as mean, {R6.format('quantile_cont(m, 0.025)')} as lo, {R6.format('quantile_cont(m, 0.975)')} as hi from m""")
-def bootstrap_mean_ci(spark, d):
-    """Percentile interval of a mean by Poisson bootstrap: each row's weight in each of 200 replicates is drawn from a hash, so rows need no join with draws."""
-    v = table(spark, d, "class_predictions").where("confidence is not null").groupBy("id").agg(F.avg("confidence").alias("x"))
-    w = v.select("x", "id", F.explode(F.sequence(F.lit(1), F.lit(200))).alias("b"))
-    u = F.pmod(hash60(F.concat_ws("|", "b", "id")), F.lit(1000000)) / F.lit(1e6)
-    k = F.when(u < 0.367879, 0).when(u < 0.735759, 1).when(u < 0.919699, 2).when(u < 0.981012, 3).when(u < 0.99634, 4).otherwise(5)
-    m = w.withColumn("k", k).groupBy("b").agg((F.sum(F.col("k") * F.col("x")) / F.sum("k")).alias("m"))
-    return m.agg(r6(F.percentile("m", 0.025)).alias("lo"), r6(F.percentile("m", 0.975)).alias("hi")).crossJoin(v.agg(r6(F.avg("x")).alias("mean")))
-
-
 @query(f"""with {TRUTH}, g as (select * from gt), p as (select id, run_name, min(prediction) as pred from class_predictions group by 1, 2),
 e as (select p.id, max(case when run_name = (select min(run_name) from class_predictions) then (pred = truth)::int end) as x, max(case when run_name = (select max(run_name) from class_predictions) then (pred = truth)::int end) as y from p join g using (id) group by p.id),
 c as (select sum(case when x = 1 and y = 0 then 1 else 0 end) as b, sum(case when x = 0 and y = 1 then 1 else 0 end) as c from e where x is not null and y is not null)
@@ -103,16 +90,10 @@ def friedman_ranks(spark, d):
     return r.join(whole, "model", "left_semi").groupBy("model").agg(r6(F.avg("r")).alias("average_rank"))
 
 
-@query("""with p(name, p) as (values ('a', 0.001), ('b', 0.008), ('c', 0.039), ('d', 0.041), ('e', 0.042), ('f', 0.06), ('g', 0.074), ('h', 0.205)), r as (select name, p, row_number() over (order by p, name) as i, count(*) over () as m from p)
-select name, floor(least(1.0, max(p * (m - i + 1)) over (order by i)) * 1e6 + 0.5) / 1e6 as holm, floor(least(1.0, min(p * m / i) over (order by i desc)) * 1e6 + 0.5) / 1e6 as bh, floor(least(1.0, p * m) * 1e6 + 0.5) / 1e6 as bonferroni from r""")
-def multiple_tests(spark, d):
-    p = spark.createDataFrame([("a", 0.001), ("b", 0.008), ("c", 0.039), ("d", 0.041), ("e", 0.042), ("f", 0.06), ("g", 0.074), ("h", 0.205)], "name string, p double")
-    return adjust(p)
-
-
 def adjust(p):
-    """Holm, Benjamini-Hochberg and Bonferroni for (name, p), a row for each test."""
+    """Holm, Benjamini-Hochberg, Benjamini-Yekutieli and Bonferroni for (name, p), a row for each test."""
     i = Window.orderBy("p", "name")
     r = p.withColumn("i", F.row_number().over(i)).withColumn("m", F.count("*").over(Window.partitionBy()))
     one = lambda c: r6(F.least(F.lit(1.0), c))
-    return r.select("name", one(F.max(F.col("p") * (F.col("m") - F.col("i") + 1)).over(Window.orderBy("i"))).alias("holm"), one(F.min(F.col("p") * F.col("m") / F.col("i")).over(Window.orderBy(F.desc("i")))).alias("bh"), one(F.col("p") * F.col("m")).alias("bonferroni"))
+    harmonic = F.aggregate(F.sequence(F.lit(1), F.col("m").cast("int")), F.lit(0.0), lambda s, x: s + F.lit(1.0) / x)
+    return r.select("name", one(F.max(F.col("p") * (F.col("m") - F.col("i") + 1)).over(Window.orderBy("i"))).alias("holm"), one(F.min(F.col("p") * F.col("m") / F.col("i")).over(Window.orderBy(F.desc("i")))).alias("bh"), one(F.col("p") * F.col("m")).alias("bonferroni"), one(F.min(F.col("p") * F.col("m") * harmonic / F.col("i")).over(Window.orderBy(F.desc("i")))).alias("by_"))
