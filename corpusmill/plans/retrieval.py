@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from corpusmill.functions.expr import ACCENTED, PLAIN, cosine, r6, tokens
+from corpusmill.functions.expr import ACCENTED, PLAIN, r6, tokens
 from corpusmill.operators import lexical, metrics
 from corpusmill.operators.labels import class_truth
 from corpusmill.plans.registry import query
-from corpusmill.runtime import spread
 from corpusmill.sources.tables import table
 
 R6 = "floor(({}) * 1e6 + 0.5) / 1e6"
@@ -35,9 +34,8 @@ def _queries(spark, d):
 
 def _ranked(spark, d, k):
     docs = table(spark, d, "documents")
-    post = lexical.postings(docs, "doc_id", "text")
     terms = _queries(spark, d).select("query", F.explode(tokens(F.col("qtext"))).alias("term"))
-    return lexical.top_k(lexical.bm25(terms, post), k, order=[r6(F.col("score")).desc(), F.col("doc")])
+    return lexical.top_k(lexical.bm25_of_texts(terms, docs, "doc_id", "text"), k, order=[r6(F.col("score")).desc(), F.col("doc")])
 
 
 def _qrels(spark, d):
@@ -76,14 +74,14 @@ def bm25_per_query(spark, d):
 
 @query(f"with {POST} select term, count(*) as df, sum(tf)::bigint as cf from post group by term having count(*) >= 2")
 def vocab_df(spark, d):
-    return lexical.postings(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf")).where("df >= 2")
+    return lexical.document_frequencies(lexical.token_table(table(spark, d, "documents"), "doc_id", "text")).where("df >= 2")
 
 
 @query(f"""with {POST}, v as (select term, count(*) as df from post group by term), n as (select count(distinct doc) as n from post)
 select term, df, {R6.format('ln((n + 1.0) / (df + 1)) + 1')} as smooth, {R6.format('ln(n * 1.0 / df) + 1')} as standard, {R6.format('ln((n - df + 0.5) / (df + 0.5))')} as bm25, case when n > df then {R6.format('ln((n - df) * 1.0 / df)')} end as probabilistic from v cross join n""")
 def idf_variants(spark, d):
-    post = lexical.postings(table(spark, d, "documents"), "doc_id", "text")
-    v = lexical.vocabulary(post).crossJoin(F.broadcast(post.agg(F.countDistinct("doc").alias("n"))))  # one row on the right
+    t = lexical.token_table(table(spark, d, "documents"), "doc_id", "text")
+    v = lexical.document_frequencies(t).crossJoin(F.broadcast(t.where(F.size("ts") > 0).agg(F.count("*").alias("n"))))  # one row on the right
     return v.select("term", "df", *[r6(lexical.idf(F.col("df"), F.col("n"), k)).alias(k) for k in ("smooth", "standard", "bm25", "probabilistic")])
 
 
@@ -93,10 +91,7 @@ u as (select doc, term, w / sqrt(sum(w * w) over (partition by doc)) as weight f
 r as (select doc, term, {R6.format('weight')} as weight, row_number() over (partition by doc order by {R6.format('weight')} desc, term) as rank from u)
 select doc, term, weight, rank from r where rank <= 3""")
 def tfidf_top_terms(spark, d):
-    post = lexical.postings(table(spark, d, "documents"), "doc_id", "text")
-    n = post.select("doc").distinct().count()
-    w = lexical.tfidf(post, lexical.vocabulary(post), n).withColumn("weight", r6(F.col("weight")))
-    return lexical.top_k(w, 3, by="doc", order=[F.desc("weight"), F.col("term")]).withColumn("rank", F.col("rank").cast("long"))
+    return lexical.tfidf_top(lexical.token_table(table(spark, d, "documents"), "doc_id", "text"), 3, r6)
 
 
 @query(f"""with q as (select vec_id as query, embedding as u from embeddings where vec_id % 20 = 0),
@@ -104,10 +99,8 @@ s as (select query, vec_id as doc, {R6.format('list_cosine_similarity(u::double[
 r as (select *, row_number() over (partition by query order by score desc, doc) as rank from s) select query, doc, rank from r where rank <= 5""")
 def dense_topk(spark, d):
     """Every vector whose id is divisible by 20 is a query, against all vectors, in blocks of queries."""
-    e = spread(table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v")))
-    q = e.where("doc % 20 = 0").select(F.col("doc").alias("query"), F.col("v").alias("u"))
-    s = e.join(q, F.col("query") != F.col("doc")).select("query", "doc", r6(cosine(F.col("u"), F.col("v"))).alias("score"))
-    return lexical.top_k(s, 5).select("query", "doc", F.col("rank").cast("long").alias("rank"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
+    return lexical.dense_top(e, e.where("doc % 20 = 0"), 5).select("query", "doc", F.col("rank").cast("long").alias("rank"))
 
 
 @query(f"select label, count(*) as n, {R6.format('avg(sqrt(list_dot_product(embedding::double[], embedding::double[])))')} as mean_norm from embeddings group by label")
