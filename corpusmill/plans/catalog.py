@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import assembly, evaluation, gates, judging, pairing, ranks, reports, retrieval, scoring, significance, statistics, texts  # noqa: F401
+from corpusmill.plans import assembly, distributions, evaluation, gates, judging, pairing, projections, ranks, reports, retrieval, scoring, significance, statistics, texts  # noqa: F401
 from corpusmill.plans.registry import QUERIES, SQL
 
 
