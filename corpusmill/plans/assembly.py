@@ -13,6 +13,8 @@ from corpusmill.plans.retrieval import TOK
 from corpusmill.runtime import spread
 from corpusmill.sources.tables import table
 
+#: Pairs that label_pairs draws of each class.
+PAIRS_OF_CLASS = 20
 H60 = "('0x' || substr(md5({}), 1, 15))::bigint"
 
 
@@ -72,11 +74,11 @@ def relation_strata(spark, d):
 
 
 @query(f"""with r as (select doc_id, lcc_code, row_number() over (partition by lcc_code order by {H60.format("'p|' || doc_id")}, doc_id) as r from documents where lcc_code is not null)
-select a.doc_id as doc_a, b.doc_id as doc_b, a.lcc_code as label from r a join r b on a.lcc_code = b.lcc_code and b.r = a.r + 1 where a.r % 2 = 1 and a.r < 40""")
+select a.doc_id as doc_a, b.doc_id as doc_b, a.lcc_code as label from r a join r b on a.lcc_code = b.lcc_code and b.r = a.r + 1 where a.r % 2 = 1 and a.r < {2 * PAIRS_OF_CLASS}""")
 def label_pairs(spark, d):
-    """Up to 20 positive pairs for each class in hash order: neighbours by rank, so no pair is made that isn't kept."""
+    """Up to PAIRS_OF_CLASS positive pairs for each class in hash order: neighbours by rank, so no pair is made that isn't kept. pairing.generate_pairs has no limit."""
     w = Window.partitionBy("lcc_code").orderBy(hash60(F.concat(F.lit("p|"), F.col("doc_id"))), "doc_id")
-    r = table(spark, d, "documents").where("lcc_code is not null").select("doc_id", "lcc_code", F.row_number().over(w).alias("r")).where("r <= 40")
+    r = table(spark, d, "documents").where("lcc_code is not null").select("doc_id", "lcc_code", F.row_number().over(w).alias("r")).where(F.col("r") <= 2 * PAIRS_OF_CLASS)
     p = r.withColumn("g", F.floor((F.col("r") - 1) / 2)).groupBy("lcc_code", "g").agg(F.min_by("doc_id", "r").alias("doc_a"), F.max_by("doc_id", "r").alias("doc_b"), F.count("*").alias("n"))
     return p.where("n = 2").select("doc_a", "doc_b", F.col("lcc_code").alias("label"))
 
@@ -86,33 +88,3 @@ select doc_id, len(ts)::bigint as n_tokens, case when len(ts) <= 512 then '<=512
 def truncation_audit(spark, d):
     n = F.size(tokens(F.col("text"))).cast("long")
     return table(spark, d, "documents").select("doc_id", n.alias("n_tokens"), F.when(n <= 512, "<=512").when(n <= 1024, "<=1024").otherwise(">1024").alias("stratum"))
-
-
-def minhash_signatures(spark, d):
-    """128 minima of universal hashes over five-word shingles of each document, within the row."""
-    p = (1 << 31) - 1
-    a = [(1103515245 * (i + 1) + 12345) % (p - 1) + 1 for i in range(128)]
-    b = [(22695477 * (i + 1) + 1) % p for i in range(128)]
-    h = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.transform(shingles(tokens(F.col("text")), 5), lambda s: F.pmod(F.xxhash64(s), F.lit(p))).alias("h"))
-    coefficients = F.array(*[F.struct(F.lit(x).cast("long").alias("a"), F.lit(y).cast("long").alias("b")) for x, y in zip(a, b, strict=True)])
-    return h.select("doc_id", F.transform(coefficients, lambda c: F.coalesce(F.array_min(F.transform("h", lambda x: (c["a"] * x + c["b"]) % F.lit(p))), F.lit(p - 1).cast("long"))).alias("signature"))
-
-
-@query()
-def near_dup_signatures(spark, d):
-    return minhash_signatures(spark, d)
-
-
-@query()
-def near_dup_verdicts(spark, d):
-    """Each document's most similar earlier one by signature; candidates share one of 32 bands, of documents with equal signatures only the first is a candidate."""
-    sig = minhash_signatures(spark, d)
-    first = sig.groupBy("signature").agg(F.min("doc_id").alias("doc_id"))
-    bands = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", i * 4 + 1, 4)).alias("key")))
-    keyed = first.select("doc_id", "signature", F.explode(bands).alias("x")).select("doc_id", "signature", "x.*")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    same = F.size(F.filter(F.zip_with("a.signature", "b.signature", lambda x, y: x == y), lambda x: x)) / F.lit(128.0)
-    near = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.doc_id") < F.col("b.doc_id"))).select(F.col("a.doc_id").alias("earlier"), F.col("b.doc_id").alias("doc_id"), same.alias("similarity"))
-    copies = sig.join(first.withColumnRenamed("doc_id", "earlier"), "signature").where("doc_id <> earlier").select("earlier", "doc_id", F.lit(1.0).alias("similarity"))
-    best = near.unionByName(copies).groupBy("doc_id").agg(F.max(F.struct("similarity", (-F.col("earlier")).alias("e"))).alias("m"))
-    return best.select("doc_id", (-F.col("m.e")).alias("matched"), F.col("m.similarity").alias("similarity"), (F.col("m.similarity") < 0.9).alias("passed"))
