@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.expr import hash60
+from corpusmill.runtime import stage
 
 #: The ladder of relations, from the closest to none.
 STRATA = ("S0_identical_facets", "S1_same_subclass", "S2_same_class", "S3_same_form", "S4_same_category", "S5_same_topic", "S6_unrelated")
@@ -75,6 +76,7 @@ def mine_pairs(docs: DataFrame, quotas: dict[str, int], seed: str = "mine", per_
     if min(quotas.values(), default=0) < 0:
         raise ValueError("quotas must not be negative")
     found = []
+    docs = stage(docs.select("id", *FACETS), "mine")
     for stratum, quota in quotas.items():
         if not quota:
             continue

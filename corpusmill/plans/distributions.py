@@ -133,7 +133,7 @@ PROFILE = f"{FX}, b as (select cls, spec_id, model, {WORDS.format('body')} as n
 @query(f"with {PROFILE} select (select count(*) from b) as documents, (select count(distinct cls) from b) as classes, (select count(distinct spec_id) from b) as works, (select count(distinct model) from b) as models, (select max(chunks) from s) as most_chunks, {R6.format('(select avg(chunks) from s)')} as mean_chunks, (select min(n)::bigint from b) as least_words, (select max(n)::bigint from b) as most_words, {R6.format('(select avg(w) from (select cls, count(distinct spec_id) as w from b where cls is not null group by 1))')} as works_per_class")
 def slice_profile(spark, d):
     """One row on a slice: documents, classes, works, models, chunks of a work, lengths, works of a class."""
-    b = facets(spark, d).select("cls", "spec_id", "model", word_count(F.col("body")).cast("long").alias("n"))
+    b = facets(spark, d, True).select("cls", "spec_id", "model", word_count(F.col("body")).cast("long").alias("n"))
     a = b.agg(F.count("*").alias("documents"), F.countDistinct("cls").alias("classes"), F.countDistinct("spec_id").alias("works"), F.countDistinct("model").alias("models"), F.min("n").alias("least_words"), F.max("n").alias("most_words"))
     s = b.groupBy("cls", "spec_id").agg(F.count("*").alias("chunks"))
     c = s.agg(F.max("chunks").alias("most_chunks"), r6(F.avg("chunks")).alias("mean_chunks"))

@@ -20,13 +20,13 @@ FX = f"""fx as (select id, rec_no, split, null::varchar as sub, {FACET.format('l
  from (select *, row_number() over (partition by id order by rec_no) as rr from shelf_features where id is not null) where rr = 1)"""
 
 
-def facets(spark, d):
-    """One row for each id, by a minimum: rows of an id are never gathered."""
+def facets(spark, d, body: bool = False):
+    """One row for each id, by a minimum: rows of an id are never gathered; texts move only where they are asked for."""
     f = lambda c: F.nullif(F.lower(F.trim(c)), F.lit(""))
     s = table(spark, d, "shelf_features").where("id is not null")
     row = F.struct(
         "rec_no", "split", F.lit(None).cast("string").alias("sub"), f("lcc_code").alias("cls"), f("lcgft_form").alias("form"), f("lcgft_category").alias("cat"), f("audience").alias("aud"), f("register").alias("reg"),
-        F.array_sort(facet_set(F.col("topics"))).alias("topics"), F.nullif(F.trim("model"), F.lit("")).alias("model"), "spec_id", "block_id", "body",
+        F.array_sort(facet_set(F.col("topics"))).alias("topics"), F.nullif(F.trim("model"), F.lit("")).alias("model"), "spec_id", "block_id", *(["body"] if body else []),
     )
     return s.groupBy("id").agg(F.min_by(row, "rec_no").alias("x")).select("id", "x.*")
 
@@ -172,7 +172,7 @@ PER_CLASS = 5
 @query(f"""with {FX}, w as (select id, cls, {WORDS.format('body')} as n from fx where cls is not null), r as (select *, row_number() over (partition by cls order by {hash_sql('annotate', 'id')}, id) as r from w where n >= 60) select id, cls, n::bigint as n_words from r where r <= {PER_CLASS}""")
 def stratified_annotation_sample(spark, d):
     """Texts of 60 words or more, equally many of each class."""
-    f = facets(spark, d).where("cls is not null").select("id", "cls", word_count(F.col("body")).cast("long").alias("n_words")).where("n_words >= 60")
+    f = facets(spark, d, True).where("cls is not null").select("id", "cls", word_count(F.col("body")).cast("long").alias("n_words")).where("n_words >= 60")
     return pairs.first_of_groups(f, "cls", PER_CLASS, "annotate").select("id", "cls", "n_words")
 
 
