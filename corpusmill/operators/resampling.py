@@ -58,7 +58,7 @@ def replicate_sums(df: DataFrame, values: list[str], by: list[str] | None = None
         for key, sums in held.items():
             rows = pd.DataFrame(sums, columns=[f.name for f in out.fields[len(by) + 1 :]])
             for name, v in zip(by, key, strict=True):
-                rows[name] = v
+                rows[name] = pd.Series([None if v is None or v != v else v] * len(rows), dtype=object)
             rows["b"] = np.arange(1, replicates + 1)
             yield rows[[f.name for f in out.fields]]
 

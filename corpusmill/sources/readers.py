@@ -24,8 +24,8 @@ def jsonl_tolerant(spark: SparkSession, path: str, schema: str | T.StructType) -
 
 def torn_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """(line): what jsonl_tolerant() leaves out."""
-    kept = spark.read.schema(f"{schema}, _torn string").option("columnNameOfCorruptRecord", "_torn").option("mode", "PERMISSIVE").json(path)
-    return kept.select(F.col("_torn").alias("line"), *[c for c in kept.columns if c != "_torn"]).where("line is not null").select("line")
+    parsed = F.from_json("value", f"{schema}, _torn string", {"columnNameOfCorruptRecord": "_torn"})
+    return spark.read.text(path).withColumn("x", parsed).where("x._torn is not null").select(F.col("value").alias("line"))
 
 
 def with_text(df: DataFrame, *names: str) -> DataFrame:
