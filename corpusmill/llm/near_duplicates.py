@@ -409,7 +409,7 @@ def near_duplicate_groups(df: DataFrame, row: str = "rec_no", text: str = "body"
     Similar: Jaccard similarity of the sets of `words`-word shingles (words are runs of letters and digits without case and accents; a text of
     fewer words is one shingle) at least `similarity`. `links` is the number of other
     distinct sets similar to the row's. Null texts and texts without words are in no group. Rows count each, repeated or not; copies share a
-    set and are never compared with each other. group is a set's number, the least of its group; sets are told apart by 128 bits.
+    set and are never compared with each other. group is its least row; sets are told apart by 128 bits.
     """
     src = df.where(F.col(text).isNotNull()).select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
     schema = ", ".join(["row long", "set long", "high long", "n int", *(f"{c} long" for c in SKETCH), "shingles binary"])
@@ -419,7 +419,7 @@ def near_duplicate_groups(df: DataFrame, row: str = "rec_no", text: str = "body"
     links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))
     rows = sets.select("row", "set").join(comp.withColumnRenamed("node", "set"), "set", "left").join(links.withColumnRenamed("node", "set"), "set", "left")
     rows = rows.select("row", F.coalesce("component", "set").alias("group"), F.coalesce("links", F.lit(0)).alias("links"))
-    many = rows.groupBy("group").agg(F.count("*").alias("m")).where("m > 1").select("group")
-    out = stage(rows.join(many, "group").select(F.col("row").alias(row), "group", "links"), "groups")
+    many = rows.groupBy("group").agg(F.count("*").alias("m"), F.min("row").alias("least")).where("m > 1").select("group", "least")
+    out = stage(rows.join(many, "group").select(F.col("row").alias(row), F.col("least").alias("group"), "links"), "groups")
     unstage(pairs, comp)
     return out
