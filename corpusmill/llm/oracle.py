@@ -63,6 +63,23 @@ select a.model as model_a, b.model as model_b from vals a join vals b on a.comp
 """
 
 
+#: Groups of rows by writing model and id, put one by one, largest first, into the split furthest below its target.
+P7_SHARES = r"""
+with recursive k as (
+  select rec_no, nullif(trim(id), '') as id, nullif(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(model, E' \n\t\r')), '^.*/', ''), '[:@](free|paid|latest|beta|preview|community|self|extended)\s*$', ''), '^[^:@]*[:@]', ''), '([0-9])[^\p{L}\p{N}]+([0-9])', '\1~\2', 'g'), '[^\p{L}\p{N}~]+', '', 'g'), '') as key from shelf_features),
+e as (select distinct a.key as u, b.key as v from k a join k b on a.id = b.id and a.key is not null and b.key is not null union select distinct key, key from k where key is not null),
+reach(u, v) as (select distinct key, key from k where key is not null union select r.u, e.v from reach r join e on e.u = r.v),
+comp as (select u as key, min(v) as comp from reach group by u),
+byid as (select id, min(comp) as comp from k left join comp using (key) where id is not null group by id),
+rw as (select rec_no, coalesce('m' || coalesce(comp.comp, byid.comp), 'i' || k.id, 'r' || rec_no) as g from k left join comp using (key) left join byid on byid.id = k.id),
+sz as (select g, count(*) as n from rw group by g), od as (select n, row_number() over (order by n desc, g) as i from sz), tot as (select sum(n)::double as t from sz),
+put(i, a, b, c, na, nb, nc) as (
+  select 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint, 0::bigint
+  union all select od.i, a + case w when 1 then n else 0 end, b + case w when 2 then n else 0 end, c + case w when 3 then n else 0 end, na + (w = 1)::bigint, nb + (w = 2)::bigint, nc + (w = 3)::bigint
+  from (select put.*, case when 0.8 * t - a >= 0.1 * t - b and 0.8 * t - a >= 0.1 * t - c then 1 when 0.1 * t - b >= 0.1 * t - c then 2 else 3 end as w from put cross join tot) p join od on od.i = p.i + 1)
+select split, target_share, n_rows, n_groups, floor(n_rows / t * 1e6 + 0.5) / 1e6 as share_reached from (select * from put order by i desc limit 1) cross join tot cross join lateral (values ('train', 0.8::double, a, na), ('validation', 0.1::double, b, nb), ('test', 0.1::double, c, nc)) x(split, target_share, n_rows, n_groups)
+"""
+
 #: Sets of three-word runs of every row, one head for each set, and all pairs of heads that agree to 0.6: plain comparison of everything that shares a run.
 SIMILAR = r"""
 tk as (select rec_no, split, model, regexp_extract_all(strip_accents(lower(TEXT)), '[\p{L}\p{N}]+') as ts from shelf_features where TEXT is not null),
@@ -96,4 +113,4 @@ P6_FOUND = f"""with {QUALITY.replace('COMMON', ', '.join("'" + w + "'" for w in
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1_FOUND, "p1_association": P1_ASSOCIATION, "p1_pairs": P1_PAIRS, "p3_found": P3_FOUND, "p3_counts": P3_COUNTS, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_groups": P5_GROUPS, "p6_found": P6_FOUND, "p7_found": P7_FOUND}
+    return {"p1_found": P1_FOUND, "p1_association": P1_ASSOCIATION, "p1_pairs": P1_PAIRS, "p3_found": P3_FOUND, "p3_counts": P3_COUNTS, "p4_found": P4_FOUND, "p5_found": P5_FOUND, "p5_groups": P5_GROUPS, "p6_found": P6_FOUND, "p7_found": P7_FOUND, "p7_shares": P7_SHARES}

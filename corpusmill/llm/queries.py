@@ -114,7 +114,8 @@ def p7_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_shares(spark: SparkSession, d: str) -> DataFrame:
-    return grouped_split.split_shares(_split(spark, d), SPLITS)
+    s = grouped_split.split_shares(_split(spark, d), SPLITS)
+    return s.withColumn("share_reached", F.floor(F.col("share_reached") * 1e6 + 0.5) / 1e6)
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
