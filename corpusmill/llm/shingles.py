@@ -61,6 +61,14 @@ def shingles_at(tokens: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values of x in order."""
+    s = np.sort(x)
+    new = np.ones(len(s), bool)
+    np.not_equal(s[1:], s[:-1], out=new[1:])
+    return s[new]
+
+
 def shingle_batch(tokens: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """The sorted set of k-word shingles of each text; a text of fewer words has one shingle, all of it, and a text without words none."""
     with np.errstate(over="ignore"):
@@ -68,7 +76,7 @@ def shingle_batch(tokens: np.ndarray, offsets: np.ndarray, k: int) -> list[np.nd
         out = []
         for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             if b - a >= k:
-                out.append(np.unique(h[a : b - k + 1]))
+                out.append(distinct(h[a : b - k + 1]))
             elif b > a:
                 x = np.full(1, M2, np.uint64)
                 for t in tokens[a:b]:

@@ -10,82 +10,97 @@ from urllib.parse import urlparse
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusmill.llm.shingles import WordIds, least_overlap, shingle_batch, shingles_at, token_batch
+from corpusmill.llm.shingles import WordIds, distinct, least_overlap, shingle_batch, shingles_at, token_batch
 from corpusmill.runtime import new_path, stage
 
-#: Words an index is sorted by, so the longest match that one search finds; longer matches are merged from overlapping ones.
-DEPTH = 8
 SHARD_WORDS = 4_000_000
 SKETCH_BITS = 1024
+#: Words of a stretch that is searched by itself; matches that pass its end are cut there and merged again. Shards that a task keeps open.
+STRETCH, OPEN_SHARDS = 512, 2
 
 
 def _write(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
-    """Each array as a file of its own; complete files only ever appear under their names."""
+    """Each array as a compressed file of its own; complete files only ever appear under their names."""
     url = urlparse(path)
+    packed = {}
+    for k, a in arrays.items():
+        b = io.BytesIO()
+        np.save(b, a)
+        packed[k] = zstandard.ZstdCompressor(level=3).compress(b.getbuffer())
     if url.scheme in ("", "file"):
         folder = url.path
         os.makedirs(folder, exist_ok=True)
-        for k, a in arrays.items():
+        for k, raw in packed.items():
             tmp = f"{folder}/.{name}-{k}-{uuid.uuid4().hex}"
             with open(tmp, "wb") as f:
-                np.save(f, a)
-            os.replace(tmp, f"{folder}/{name}-{k}.npy")
+                f.write(raw)
+            os.replace(tmp, f"{folder}/{name}-{k}.zst")
         return
     from pyarrow import fs
 
     system, base = fs.FileSystem.from_uri(path)
     system.create_dir(base, recursive=True)
-    for k, a in arrays.items():
-        b = io.BytesIO()
-        np.save(b, a)
-        with system.open_output_stream(f"{base}/{name}-{k}.npy") as out:
-            out.write(b.getbuffer())
+    for k, raw in packed.items():
+        with system.open_output_stream(f"{base}/{name}-{k}.zst") as out:
+            out.write(raw)
 
 
 def _read(path: str, name: str, k: str) -> np.ndarray:
     url = urlparse(path)
     if url.scheme in ("", "file"):
-        return np.load(f"{url.path}/{name}-{k}.npy", mmap_mode="r")
-    from pyarrow import fs
+        with open(f"{url.path}/{name}-{k}.zst", "rb") as f:
+            raw = f.read()
+    else:
+        from pyarrow import fs
 
-    system, base = fs.FileSystem.from_uri(path)
-    with system.open_input_stream(f"{base}/{name}-{k}.npy") as f:
-        return np.load(io.BytesIO(f.read()))
+        system, base = fs.FileSystem.from_uri(path)
+        with system.open_input_stream(f"{base}/{name}-{k}.zst") as f:
+            raw = f.read()
+    return np.load(io.BytesIO(zstandard.ZstdDecompressor().decompress(raw)))
 
 
 def _suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of t sorted by the `depth` symbols from each on; prefix doubling."""
+    """Positions of t sorted by the `depth` symbols or more from each on; prefix doubling, which ends early where all suffixes differ."""
     rank = t.astype(np.int64)
     length = 1
     while length < depth:
         nxt = np.zeros(len(t), np.int64)
         nxt[: len(t) - length] = rank[length:] + 1
-        both = rank * (int(rank.max()) + 2) + nxt
+        both = rank * (int(rank.max(initial=0)) + 2) + nxt
         order = np.argsort(both, kind="stable")
         step = np.concatenate([[0], np.cumsum(both[order][1:] != both[order][:-1])])
         rank = np.empty(len(t), np.int64)
         rank[order] = step
         length *= 2
+        if len(t) and step[-1] == len(t) - 1:
+            return order
     return np.argsort(rank, kind="stable")
 
 
+def _least_dtype(a: np.ndarray) -> np.ndarray:
+    return a.astype(np.uint16 if a.max(initial=0) < 1 << 16 else np.int32)
+
+
 class WordIndex:
-    """A word-level FM-index of some texts: counts and finds runs of words by backward search, for arrays of queries at once.
+    """A word-level FM-index of some texts: counts and finds runs of words of any length by backward search, for arrays of queries at once.
 
-    vocab: the words' numbers, sorted; symbol of a word is its place + 1, and 0 ends a text. last: the Burrows-Wheeler transform
-    as one sorted array of symbol * (n + 1) + place, in which a search for a symbol and a place gives the next interval's bound.
-    doc: the text of each suffix. first: where each symbol's suffixes begin. text, start: the texts and where each begins.
+    vocab: the words' numbers, sorted; symbol of a word is its place + 1, and 0 ends a text. spots: the Burrows-Wheeler transform as the
+    places of each symbol, symbol by symbol; in memory they are keys symbol * (n + 1) + place, in which a search for a symbol and a place gives the
+    next interval's bound. doc: the text of each suffix. first: where each symbol's suffixes begin. text, start: the texts and where each
+    begins. Numbers are kept in two or four bytes and compressed: some five bytes a word, less than the text itself.
     """
 
-    PARTS = ("vocab", "last", "doc", "first", "text", "start", "key", "size", "sketch")
+    PARTS = ("vocab", "spots", "doc", "first", "text", "start", "key", "size", "sketch")
 
     def __init__(self, part):
         for k in self.PARTS:
             setattr(self, k, part(k))
         self.n = len(self.text)
+        self.last = np.repeat(np.arange(len(self.first) - 1, dtype=np.int64), np.diff(self.first)) * (self.n + 1) + self.spots
 
     @classmethod
     def build(cls, tokens: np.ndarray, offsets: np.ndarray, keys: np.ndarray, sizes: np.ndarray, sketches: np.ndarray) -> dict[str, np.ndarray]:
@@ -96,11 +111,12 @@ class WordIndex:
         doc_of = np.repeat(np.arange(n_docs), np.diff(offsets))
         text[np.arange(len(tokens)) + doc_of] = symbol + 1
         start = offsets[:-1] + np.arange(n_docs)
-        order = _suffix_order(text, DEPTH)
+        order = _suffix_order(text, int(np.diff(offsets).max(initial=0)) + 1)
         last = text[order - 1].astype(np.int64)
-        doc = (np.searchsorted(start, order, side="right") - 1).astype(np.int32)
+        doc = np.searchsorted(start, order, side="right") - 1
         first = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(vocab) + 1))])
-        return {"vocab": vocab, "last": np.sort(last * (n + 1) + np.arange(n)), "doc": doc, "first": first, "text": text, "start": np.append(start, n), "key": keys, "size": sizes, "sketch": sketches}
+        spots = np.argsort(last, kind="stable").astype(np.int32)
+        return {"vocab": vocab, "spots": spots, "doc": _least_dtype(doc), "first": first, "text": _least_dtype(text), "start": np.append(start, n), "key": keys, "size": sizes, "sketch": sketches}
 
     def symbols(self, words: np.ndarray) -> np.ndarray:
         """The symbol of each word, -1 for words that no text has."""
@@ -109,6 +125,37 @@ class WordIndex:
         known[known] = np.asarray(self.vocab)[at[known]] == words[known]
         return np.where(known, at + 1, -1)
 
+    def maximal(self, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(stretch, begin, end) of matches of k words or more of the stretches [begin, end) of symbols: none can be longer to the left within its stretch, and every run of k words that some text has lies within one.
+
+        All stretches go backward in step. Where a match ends at a word that can't go before it, the next one starts k - 1 words
+        to the right of that word: a run of k words that begins at the word or before it ends there at the latest.
+        """
+        e, s = end - 1, end - 1
+        lo, hi = np.zeros(len(e), np.int64), np.full(len(e), self.n, np.int64)
+        alive = np.flatnonzero(end - begin >= k)
+        found = []
+        while len(alive):
+            c = np.where(s[alive] >= begin[alive], symbols[np.maximum(s[alive], 0)], 0)
+            can = c > 0
+            new_lo, new_hi = np.zeros(len(alive), np.int64), np.zeros(len(alive), np.int64)
+            if can.any():
+                new_lo[can], new_hi[can] = self.extend(c[can], lo[alive[can]], hi[alive[can]])
+            on = new_hi > new_lo
+            go = alive[on]
+            lo[go], hi[go] = new_lo[on], new_hi[on]
+            s[go] -= 1
+            stop, word = alive[~on], c[~on]
+            if len(stop):
+                long = e[stop] - s[stop] >= k
+                found.append((stop[long], s[stop[long]] + 1, e[stop[long]] + 1))
+                # at an unknown word nothing goes on; at the beginning of the stretch nothing is left
+                e[stop] = np.where(word < 0, s[stop] - 1, np.where(word == 0, begin[stop] - 1, np.minimum(e[stop] - 1, s[stop] + k - 1)))
+                s[stop] = e[stop]
+                lo[stop], hi[stop] = 0, self.n
+                alive = alive[e[alive] - begin[alive] >= k - 1]
+        return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
+
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the interval of suffixes that begin with symbol and go on with those of [lo, hi)."""
         base = symbol.astype(np.int64) * (self.n + 1)
@@ -119,7 +166,7 @@ class WordIndex:
         return new_lo, new_hi
 
     def search(self, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """[lo, hi) of each row of `runs` (symbols of k <= DEPTH words); equal rows are best given once."""
+        """[lo, hi) of each row of `runs` (symbols of k words); equal rows are best given once."""
         k = runs.shape[1]
         first = np.asarray(self.first)
         c = runs[:, k - 1]
@@ -136,7 +183,7 @@ class WordIndex:
 
     def words_of(self, d: int) -> np.ndarray:
         """The words' numbers of text d, in order."""
-        return np.asarray(self.vocab)[np.asarray(self.text[self.start[d] : self.start[d + 1] - 1]) - 1]
+        return np.asarray(self.vocab)[np.asarray(self.text[self.start[d] : self.start[d + 1] - 1]).astype(np.int64) - 1]
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -207,30 +254,39 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
     """Streams training texts through the shards whose texts can be similar by size."""
 
     def prepare(tokens, offsets):
-        """What all shards need of a batch: its different words, its different runs of k words as places among them, and (text, run), each once, in order of texts."""
+        """What all shards need of a batch: its different words and each word's place among them, stretches of texts, its different runs of k words, the run that begins at each place, and (text, run), each once, in order of texts."""
         words, spelt = np.unique(tokens, return_inverse=True)
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         at = np.arange(len(tokens))
         at = at[at + k <= offsets[owner + 1]]
         _, first, run = np.unique(shingles_at(tokens, k)[at] if len(at) else np.empty(0, np.uint64), return_index=True, return_inverse=True)
+        run_at = np.full(len(tokens), -1, np.int64)
+        run_at[at] = run
         runs = np.stack([spelt[at[first] + j] for j in range(k)], 1) if len(at) else np.empty((0, k), np.int64)
-        once = np.unique(owner[at].astype(np.int64) * max(len(first), 1) + run)
-        return words, runs, once // max(len(first), 1), once % max(len(first), 1)
+        once = distinct(owner[at].astype(np.int64) * max(len(first), 1) + run)
+        pieces = np.maximum(1, -(-np.diff(offsets) // STRETCH))
+        text = np.repeat(np.arange(len(pieces)), pieces)
+        no = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        end = np.minimum(offsets[text] + (no + 1) * STRETCH, offsets[text + 1])
+        begin = np.maximum(offsets[text], offsets[text] + no * STRETCH - (k - 1))  # runs over the cut belong to the later stretch
+        return words, spelt, (text, begin, end), runs, run_at, once // max(len(first), 1), once % max(len(first), 1)
 
     def one(ix: WordIndex, sets_of: dict, batch, tokens, offsets, sets, sketches, fits) -> list[tuple[int, ...]]:
         """(training text, indexed text, shared shingles, union, longest match, matched words) of similar pairs, for the texts of a batch that `fits` marks."""
-        words, runs, own, run = batch
+        words, spelt, (text, begin, end), runs, run_at, own, run = batch
+        symbol = ix.symbols(words)
+        mine = fits[text]
+        _, b, e = ix.maximal(symbol[spelt], begin[mine], end[mine], k)
+        # overlapping matches merge to spans; a run of k words is there if a span of some text holds it
+        edge = np.zeros(len(tokens) + 1, np.int64)
+        np.add.at(edge, b, 1)
+        np.add.at(edge, e - k + 1, -1)
+        there_at = run_at[:len(tokens)][np.cumsum(edge)[:-1] > 0]
+        is_there = np.zeros(len(runs), bool)
+        is_there[there_at[there_at >= 0]] = True
         mine = fits[own]
         own, run = own[mine], run[mine]
-        needed = np.zeros(len(runs), bool)
-        needed[run] = True
-        symbols = ix.symbols(words)[runs[needed]]
-        known = (symbols > 0).all(1)
-        spot = np.flatnonzero(needed)[known]
-        lo, hi = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
-        if len(spot):
-            lo[spot], hi[spot] = ix.search(symbols[known])
-        there = hi[run] > lo[run]
+        there = is_there[run]
         n = np.array([len(s) for s in sets])
         present = np.bincount(own[there], minlength=len(sets))
         enough = present >= np.ceil(similarity * n - 1e-9)
@@ -238,6 +294,10 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
         quota = n - np.ceil(similarity * n - 1e-9) + 1 - (n - present)
         keep = there & enough[own]
         own, run = own[keep], run[keep]
+        lo, hi = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+        spot = distinct(run)
+        if len(spot):
+            lo[spot], hi[spot] = ix.search(symbol[runs[spot]])
         count = (hi - lo)[run]
         order = np.lexsort((run, count, own))
         own, run, count = own[order], run[order], count[order]
@@ -254,7 +314,7 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
         nb = np.asarray(ix.size)[b]
         need = least_overlap(n[a], nb, similarity)
         may = (np.minimum(n[a], nb) >= similarity * np.maximum(n[a], nb) - 1e-9) & (n[a] - before >= need)
-        pair = np.unique(a[may] << np.int64(32) | b[may])
+        pair = distinct(a[may] << np.int64(32) | b[may])
         a, b = pair >> 32, pair & 0xFFFFFFFF
         theirs = np.asarray(ix.sketch)
         far = np.concatenate([np.bitwise_count(sketches[a[i : i + 65536]] ^ theirs[b[i : i + 65536]]).sum(1, dtype=np.int64) for i in range(0, len(a), 65536)]) if len(a) else np.empty(0, np.int64)
@@ -289,6 +349,8 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
                 if not docs.any() and not short:
                     continue
                 if name not in open_:
+                    while len(open_) >= OPEN_SHARDS:
+                        open_.pop(next(iter(open_)))
                     open_[name] = WordIndex(lambda x, name=name: _read(path, name, x)), {}
                 ix, sets_of = open_[name]
                 if len(sets_of) > 100_000:
@@ -317,8 +379,8 @@ def split_overlap(df: DataFrame, row: str = "rec_no", text: str = "text", split:
     Similar: Jaccard similarity of the sets of `words`-word shingles at least `similarity` (a text of fewer words is one
     shingle). Distinct evaluation texts, in order of length, become shards of a word-level FM-index, about SHARD_WORDS words each
     however long the texts, in the shared folder. Distinct training texts stream through the shards of fitting lengths: backward
-    search gives every shingle's number of occurrences; a text with less than the needed share of shingles present is
-    dropped, of the others the rarest shingles are located, and the texts found are compared in full. Nothing is capped. Copies are
+    search gives their maximal matches, which merge to spans; a text whose spans hold less than the needed share of its shingles is
+    dropped, of the others the rarest shingles are counted and located, and the texts found are compared in full. Nothing is capped. Copies are
     searched once and joined back at the end. Null texts, texts without words and other splits take no part; empty sides give no rows.
     """
     spark = df.sparkSession

@@ -453,3 +453,34 @@ def test_shards_are_cut_by_words(spark, monkeypatch):
     words = got.assign(w=got["text"].str.split().str.len()).groupby("shard")["w"]
     assert words.sum().median() <= 800 and words.sum().max() <= 2400
     assert split_overlap.cut_shards(df.select("key", "text").limit(0))[1] == 1
+
+
+@pytest.mark.parametrize(("stretch", "k"), [(512, 3), (10, 3), (7, 5)])
+def test_maximal_matches_equal_brute_force(monkeypatch, stretch, k):
+    """Backward search finds matches far longer than eight words, none that could be longer to the left, and every run of k words that is there."""
+    monkeypatch.setattr(split_overlap, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    texts = [[rng.randint(1, 6) for _ in range(rng.randint(1, 60))] for _ in range(12)]
+    texts += [list(texts[0]), list(texts[1])]
+    toks, offs = np.array([w for t in texts for w in t], np.uint64), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    z = np.zeros(len(texts), np.int64)
+    ix = split_overlap.WordIndex(split_overlap.WordIndex.build(toks, offs, z, z, np.zeros((len(texts), 16), np.uint64)).__getitem__)
+    has = lambda r: any(t[i : i + len(r)] == r for t in texts for i in range(len(t)))
+    queries = [texts[0][5:] + [99] + texts[1], [rng.randint(1, 7) for _ in range(80)], [1], [99] * 5, texts[2]]
+    q = np.array([w for t in queries for w in t], np.uint64)
+    qo = np.concatenate([[0], np.cumsum([len(t) for t in queries])])
+    begin, end = [], []
+    for a, b in zip(qo[:-1], qo[1:], strict=True):
+        for at in range(a, b, stretch):
+            begin.append(max(a, at - k + 1))
+            end.append(min(b, at + stretch))
+    begin, end = np.array(begin), np.array(end)
+    which, b, e = ix.maximal(ix.symbols(q), begin, end, k)
+    flat = q.tolist()
+    covered = set()
+    for s, x, y in zip(which, b, e, strict=True):
+        assert y - x >= k and has(flat[x:y]) and (x == begin[s] or not has(flat[x - 1 : y]))
+        covered |= set(range(x, y - k + 1))
+    owner = np.repeat(np.arange(len(queries)), np.diff(qo))
+    assert covered == {i for i in range(len(flat) - k + 1) if owner[i] == owner[i + k - 1] and has(flat[i : i + k])}
+    assert stretch < 512 or max(e - b) > 8
