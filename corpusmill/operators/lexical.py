@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.expr import tokens
-from corpusmill.runtime import spread, stage
+from corpusmill.runtime import running_total, spread, stage
 
 
 #: Terms of queries up to which token arrays are cut by a set held in the plan; more are cut by a join.
@@ -44,6 +44,15 @@ def document_frequencies(table: DataFrame) -> DataFrame:
     return table.select(F.explode(both).alias("x")).groupBy("x.term").agg(F.sum("x.d").alias("df"), F.sum("x.c").alias("cf"))
 
 
+def fit_vocabulary(table: DataFrame, min_df: float = 1, max_df: float = 1.0, max_features: int | None = None) -> DataFrame:
+    """(term, df, id) of token_table(): terms of min_df to max_df documents (a whole number counts, a fraction is a share cut to one), the max_features of highest df, ties by term, numbered by name."""
+    n = table.count()
+    bound = lambda x: int(x * n) if isinstance(x, float) else x
+    v = document_frequencies(table).select("term", "df").where((F.col("df") >= bound(min_df)) & (F.col("df") <= bound(max_df)))
+    v = v if max_features is None else v.orderBy(F.desc("df"), "term").limit(max_features)
+    return running_total(v, ["term"], "id")
+
+
 def vocabulary(post: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:
     """(term, df), the terms of at least min_df documents; the max_features of highest df, ties by term."""
     v = post.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusmill.plans import assembly, dedup, distributions, embedding, evaluation, gates, judging, ledgers, movement, pairing, projections, ranks, reports, retrieval, scoring, significance, statistics, texts  # noqa: F401
+from corpusmill.plans import assembly, dedup, distributions, embedding, evaluation, extras, gates, judging, ledgers, movement, pairing, projections, ranks, reports, retrieval, scoring, significance, statistics, texts  # noqa: F401
 from corpusmill.plans.registry import QUERIES, SQL
 
 
