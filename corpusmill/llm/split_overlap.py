@@ -125,8 +125,8 @@ class WordIndex:
         known[known] = np.asarray(self.vocab)[at[known]] == words[known]
         return np.where(known, at + 1, -1)
 
-    def maximal(self, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(stretch, begin, end) of matches of k words or more of the stretches [begin, end) of symbols: none can be longer to the left within its stretch, and every run of k words that some text has lies within one.
+    def maximal(self, symbols: np.ndarray, begin: np.ndarray, end: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """(stretch, begin, end, lo, hi) of matches of k words or more of the stretches [begin, end) of symbols: none can be longer to the left within its stretch, and every run of k words that some text has lies within one. [lo, hi) are the suffixes that begin with the match.
 
         All stretches go backward in step. Where a match ends at a word that can't go before it, the next one starts k - 1 words
         to the right of that word: a run of k words that begins at the word or before it ends there at the latest.
@@ -148,13 +148,13 @@ class WordIndex:
             stop, word = alive[~on], c[~on]
             if len(stop):
                 long = e[stop] - s[stop] >= k
-                found.append((stop[long], s[stop[long]] + 1, e[stop[long]] + 1))
+                found.append((stop[long], s[stop[long]] + 1, e[stop[long]] + 1, lo[stop[long]], hi[stop[long]]))
                 # at an unknown word nothing goes on; at the beginning of the stretch nothing is left
                 e[stop] = np.where(word < 0, s[stop] - 1, np.where(word == 0, begin[stop] - 1, np.minimum(e[stop] - 1, s[stop] + k - 1)))
                 s[stop] = e[stop]
                 lo[stop], hi[stop] = 0, self.n
                 alive = alive[e[alive] - begin[alive] >= k - 1]
-        return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found, strict=True) if found else ((), (), ())))
+        return tuple(np.concatenate(x) if found else np.empty(0, np.int64) for x in (zip(*found, strict=True) if found else ((),) * 5))
 
     def extend(self, symbol: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One backward step: the interval of suffixes that begin with symbol and go on with those of [lo, hi)."""
@@ -195,15 +195,26 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def merged_spans(tokens: np.ndarray, other: np.ndarray, k: int) -> tuple[int, int]:
-    """(words of the longest match, words within matches) of a text against a set of shingles: overlapping matches are merged to spans."""
-    hit = np.isin(shingles_at(tokens, k), other)
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], hit.view(np.int8), [0]])))
-    begin, end = edge[::2], edge[1::2] + k - 1
+def merged_words(tokens: np.ndarray, other: np.ndarray, k: int) -> int:
+    """Words of a text within matches with a set of shingles: overlapping matches are merged to spans."""
+    at = np.flatnonzero(np.isin(shingles_at(tokens, k), other))
     covered = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(covered, begin, 1)
-    np.add.at(covered, end, -1)
-    return int((end - begin).max(initial=0)), int((np.cumsum(covered) > 0).sum())
+    np.add.at(covered, at, 1)
+    np.add.at(covered, at + k, -1)
+    return int((np.cumsum(covered) > 0).sum())
+
+
+def longest_match(a: np.ndarray, b: np.ndarray, k: int) -> int:
+    """Words of the longest run that two texts share; 0 if it is shorter than k."""
+    places: dict[int, list[int]] = {}
+    for j, h in enumerate(shingles_at(b, k).tolist()):
+        places.setdefault(h, []).append(j)
+    best, before = 0, {}
+    for h in shingles_at(a, k).tolist():
+        now = {j: before.get(j - 1, 0) + 1 for j in places.get(h, ())}
+        best = max(best, max(now.values(), default=0))
+        before = now
+    return best + k - 1 if best else 0
 
 
 def _build(path: str, k: int):
@@ -254,39 +265,41 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
     """Streams training texts through the shards whose texts can be similar by size."""
 
     def prepare(tokens, offsets):
-        """What all shards need of a batch: its different words and each word's place among them, stretches of texts, its different runs of k words, the run that begins at each place, and (text, run), each once, in order of texts."""
+        """What all shards need of a batch: its different words and each word's place among them, its different runs of k words, and (text, run), each once, in order of texts."""
         words, spelt = np.unique(tokens, return_inverse=True)
         owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
         at = np.arange(len(tokens))
         at = at[at + k <= offsets[owner + 1]]
         _, first, run = np.unique(shingles_at(tokens, k)[at] if len(at) else np.empty(0, np.uint64), return_index=True, return_inverse=True)
-        run_at = np.full(len(tokens), -1, np.int64)
-        run_at[at] = run
         runs = np.stack([spelt[at[first] + j] for j in range(k)], 1) if len(at) else np.empty((0, k), np.int64)
         once = distinct(owner[at].astype(np.int64) * max(len(first), 1) + run)
-        pieces = np.maximum(1, -(-np.diff(offsets) // STRETCH))
-        text = np.repeat(np.arange(len(pieces)), pieces)
+        return words, spelt, runs, once // max(len(first), 1), once % max(len(first), 1)
+
+    def matches(ix: WordIndex, symbols, offsets, docs) -> tuple[np.ndarray, ...]:
+        """(text, begin, end, lo, hi): the maximal matches of the texts `docs`, in stretches of STRETCH words; runs over a cut belong to the later stretch."""
+        pieces = np.maximum(1, -(-(offsets[docs + 1] - offsets[docs]) // STRETCH))
+        text = np.repeat(docs, pieces)
         no = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         end = np.minimum(offsets[text] + (no + 1) * STRETCH, offsets[text + 1])
-        begin = np.maximum(offsets[text], offsets[text] + no * STRETCH - (k - 1))  # runs over the cut belong to the later stretch
-        return words, spelt, (text, begin, end), runs, run_at, once // max(len(first), 1), once % max(len(first), 1)
+        begin = np.maximum(offsets[text], offsets[text] + no * STRETCH - (k - 1))
+        which, b, e, lo, hi = ix.maximal(symbols, begin, end, k)
+        return text[which], b, e, lo, hi
 
     def one(ix: WordIndex, sets_of: dict, batch, tokens, offsets, sets, sketches, fits) -> list[tuple[int, ...]]:
         """(training text, indexed text, shared shingles, union, longest match, matched words) of similar pairs, for the texts of a batch that `fits` marks."""
-        words, spelt, (text, begin, end), runs, run_at, own, run = batch
-        symbol = ix.symbols(words)
-        mine = fits[text]
-        _, b, e = ix.maximal(symbol[spelt], begin[mine], end[mine], k)
-        # overlapping matches merge to spans; a run of k words is there if a span of some text holds it
-        edge = np.zeros(len(tokens) + 1, np.int64)
-        np.add.at(edge, b, 1)
-        np.add.at(edge, e - k + 1, -1)
-        there_at = run_at[:len(tokens)][np.cumsum(edge)[:-1] > 0]
-        is_there = np.zeros(len(runs), bool)
-        is_there[there_at[there_at >= 0]] = True
+        words, spelt, runs, own, run = batch
         mine = fits[own]
         own, run = own[mine], run[mine]
-        there = is_there[run]
+        needed = np.zeros(len(runs), bool)
+        needed[run] = True
+        symbol = ix.symbols(words)
+        symbols = symbol[runs[needed]]
+        known = (symbols > 0).all(1)
+        spot = np.flatnonzero(needed)[known]
+        lo, hi = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
+        if len(spot):
+            lo[spot], hi[spot] = ix.search(symbols[known])
+        there = hi[run] > lo[run]
         n = np.array([len(s) for s in sets])
         present = np.bincount(own[there], minlength=len(sets))
         enough = present >= np.ceil(similarity * n - 1e-9)
@@ -294,10 +307,6 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
         quota = n - np.ceil(similarity * n - 1e-9) + 1 - (n - present)
         keep = there & enough[own]
         own, run = own[keep], run[keep]
-        lo, hi = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
-        spot = distinct(run)
-        if len(spot):
-            lo[spot], hi[spot] = ix.search(symbol[runs[spot]])
         count = (hi - lo)[run]
         order = np.lexsort((run, count, own))
         own, run, count = own[order], run[order], count[order]
@@ -319,15 +328,27 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
         theirs = np.asarray(ix.sketch)
         far = np.concatenate([np.bitwise_count(sketches[a[i : i + 65536]] ^ theirs[b[i : i + 65536]]).sum(1, dtype=np.int64) for i in range(0, len(a), 65536)]) if len(a) else np.empty(0, np.int64)
         near = far <= np.floor((1 - similarity) / (1 + similarity) * (n[a] + np.asarray(ix.size)[b]) + 1e-9)
+        a, b = a[near], b[near]
+        if not len(a):
+            return []
+        # maximal matches of the texts that are left; overlapping ones merge to spans, and a text whose spans hold too few of its shingles is no match of anything
+        text, begin, end, lo, hi = matches(ix, symbol[spelt], offsets, distinct(a))
+        edge = np.zeros(len(tokens) + 1, np.int64)
+        np.add.at(edge, begin, 1)
+        np.add.at(edge, end, -1)
+        covered = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
+        span = covered[offsets[a + 1]] - covered[offsets[a]]
+        enough = span >= least_overlap(n[a], np.asarray(ix.size)[b], similarity)
         out = []
-        for d, y in zip(a[near].tolist(), b[near].tolist(), strict=True):
+        for d, y in zip(a[enough].tolist(), b[enough].tolist(), strict=True):
             other = sets_of.get(y)
             if other is None:
                 w = ix.words_of(y)
                 other = sets_of[y] = shingle_batch(w, np.array([0, len(w)]), k)[0]
             both = len(np.intersect1d(sets[d], other, assume_unique=True))
             if both >= least_overlap(n[d], len(other), similarity):
-                out.append((d, y, both, int(n[d]) + len(other) - both, *merged_spans(tokens[offsets[d] : offsets[d + 1]], other, k)))
+                mine = tokens[offsets[d] : offsets[d + 1]]
+                out.append((d, y, both, int(n[d]) + len(other) - both, longest_match(mine, ix.words_of(y), k), merged_words(mine, other, k)))
         return out
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -379,8 +400,9 @@ def split_overlap(df: DataFrame, row: str = "rec_no", text: str = "text", split:
     Similar: Jaccard similarity of the sets of `words`-word shingles at least `similarity` (a text of fewer words is one
     shingle). Distinct evaluation texts, in order of length, become shards of a word-level FM-index, about SHARD_WORDS words each
     however long the texts, in the shared folder. Distinct training texts stream through the shards of fitting lengths: backward
-    search gives their maximal matches, which merge to spans; a text whose spans hold less than the needed share of its shingles is
-    dropped, of the others the rarest shingles are counted and located, and the texts found are compared in full. Nothing is capped. Copies are
+    search counts every shingle's occurrences; a text with less than the needed share of shingles present is dropped, of the others the
+    rarest shingles are located. For texts with a candidate left after the bit vectors, backward search goes on word by word to the maximal
+    matches, which merge to spans; pairs whose spans could hold enough shingles are compared in full. Nothing is capped. Copies are
     searched once and joined back at the end. Null texts, texts without words and other splits take no part; empty sides give no rows.
     """
     spark = df.sparkSession

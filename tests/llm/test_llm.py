@@ -475,7 +475,8 @@ def test_maximal_matches_equal_brute_force(monkeypatch, stretch, k):
             begin.append(max(a, at - k + 1))
             end.append(min(b, at + stretch))
     begin, end = np.array(begin), np.array(end)
-    which, b, e = ix.maximal(ix.symbols(q), begin, end, k)
+    which, b, e, lo, hi = ix.maximal(ix.symbols(q), begin, end, k)
+    assert (hi > lo).all()
     flat = q.tolist()
     covered = set()
     for s, x, y in zip(which, b, e, strict=True):
@@ -484,3 +485,13 @@ def test_maximal_matches_equal_brute_force(monkeypatch, stretch, k):
     owner = np.repeat(np.arange(len(queries)), np.diff(qo))
     assert covered == {i for i in range(len(flat) - k + 1) if owner[i] == owner[i + k - 1] and has(flat[i : i + k])}
     assert stretch < 512 or max(e - b) > 8
+
+
+def test_longest_match_of_two_texts():
+    rng = random.Random(4)
+    for _ in range(60):
+        a, b = ([rng.randint(1, 5) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        b = b[:10] + a[5:25] + b[10:]
+        runs = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
+        want = max((n for n in range(3, len(a) + 1) if runs(a, n) & runs(b, n)), default=0)
+        assert split_overlap.longest_match(np.array(a, np.uint64), np.array(b, np.uint64), 3) == want
