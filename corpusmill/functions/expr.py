@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 #: Accented letters and what they become.
 ACCENTED, PLAIN = "àáâãäåçèéêëìíîïñòóôõöøùúûüýÿ", "aaaaaaceeeeiiiinoooooouuuuyy"
-#: Word ranges of the length buckets.
-BUCKETS = {"micro": (10, 25), "tiny": (25, 50), "brief": (50, 100), "short": (100, 250), "medium": (250, 500), "long": (500, 1000), "very_long": (1000, 2000), "extended": (2000, 4000)}
 
 
 def r6(c: Column) -> Column:
@@ -47,10 +45,6 @@ def hash60(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c), 1, 15), 16, 10).cast("long")
 
 
-def blank_to_null(c: Column) -> Column:
-    return F.nullif(F.trim(c), F.lit(""))
-
-
 def facet_set(c: Column) -> Column:
     """Trimmed lower-case values, each once, without blanks; null becomes empty."""
     return F.array_distinct(F.filter(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda x: F.trim(F.lower(x))), lambda x: x.isNotNull() & (x != "")))

@@ -53,12 +53,6 @@ def fit_vocabulary(table: DataFrame, min_df: float = 1, max_df: float = 1.0, max
     return running_total(v, ["term"], "id")
 
 
-def vocabulary(post: DataFrame, min_df: int = 1, max_features: int | None = None) -> DataFrame:
-    """(term, df), the terms of at least min_df documents; the max_features of highest df, ties by term."""
-    v = post.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df)
-    return v if max_features is None else v.orderBy(F.desc("df"), "term").limit(max_features)
-
-
 def idf(df: Column, n: Column, kind: str) -> Column:
     if kind == "smooth":
         return F.ln((n + 1) / (df + 1)) + 1
@@ -71,13 +65,6 @@ def idf(df: Column, n: Column, kind: str) -> Column:
     raise ValueError(kind)
 
 
-def tfidf(post: DataFrame, vocab: DataFrame, n: int) -> DataFrame:
-    """(doc, term, weight): ln(1 + tf) * smooth idf, unit length by document. Terms outside the vocabulary are ignored."""
-    w = post.join(vocab, "term").withColumn("w", F.log1p("tf") * idf(F.col("df"), F.lit(n), "smooth"))
-    norm = w.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norm, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("weight"))
-
-
 def tfidf_top(table: DataFrame, k: int, digits=lambda c: c) -> DataFrame:
     """(doc, term, weight, rank): the k terms of highest weight of each row of token_table(), ties by term. Norm and order come from one grouping by document."""
     n = table.where(F.size("ts") > 0).count()

@@ -31,8 +31,8 @@ def length_quantiles(spark, d):
 
 @query("select lang, source, grouping(lang) as g_lang, grouping(source) as g_source, count(*) as n from documents group by grouping sets ((lang), (source), (lang, source), ())")
 def lang_source_grouping_sets(spark, d):
-    table(spark, d, "documents").createOrReplaceTempView("cm_documents")
-    return spark.sql("select lang, source, cast(grouping(lang) as bigint) as g_lang, cast(grouping(source) as bigint) as g_source, count(*) as n from cm_documents group by grouping sets ((lang), (source), (lang, source), ())")
+    docs = table(spark, d, "documents").select("lang", "source")
+    return spark.sql("select lang, source, cast(grouping(lang) as bigint) as g_lang, cast(grouping(source) as bigint) as g_source, count(*) as n from {docs} group by grouping sets ((lang), (source), (lang, source), ())", docs=docs)
 
 
 @query(f"with c as (select source, coalesce(lang, '(none)') as lang, count(*) as n from documents group by 1, 2), s as (select *, n / sum(n) over (partition by source) as p from c) select source, {R6.format('-sum(p * ln(p))')} as entropy, count(*) as support from s group by source")
@@ -70,8 +70,7 @@ def spend_rollup(spark, d):
     """Spend by model and run over distinct requests (the first received of each)."""
     l = table(spark, d, "cost_ledger")  # noqa: E741
     first = l.withColumn("r", F.row_number().over(Window.partitionBy("request_id").orderBy("received_at"))).where("r = 1")
-    first.createOrReplaceTempView("cm_ledger")
-    return spark.sql("select model, run_id, cast(grouping(model) as bigint) as g_model, cast(grouping(run_id) as bigint) as g_run, count(*) as requests, floor(sum(coalesce(cost_usd, 0)) * 1e6 + 0.5) / 1e6 as cost from cm_ledger group by rollup (model, run_id)")
+    return spark.sql("select model, run_id, cast(grouping(model) as bigint) as g_model, cast(grouping(run_id) as bigint) as g_run, count(*) as requests, floor(sum(coalesce(cost_usd, 0)) * 1e6 + 0.5) / 1e6 as cost from {first} group by rollup (model, run_id)", first=first)
 
 
 @query("select date_trunc('day', received_at) as day, count(*) as n, sum(case when lower(status) = 'ok' then 1 else 0 end)::bigint as ok from cost_ledger group by 1")

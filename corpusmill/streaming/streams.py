@@ -73,7 +73,7 @@ def near_duplicates(stream: DataFrame, doc: str, text: str, threshold: float = n
             old = earlier.groupBy("signature").agg(F.min("doc").alias("doc"))
             keys = neardup.band_keys(new.dropDuplicates(["signature"])).withColumn("fresh", F.lit(True))
             both = neardup.band_keys(old).join(keys.select("band", "key").distinct(), ["band", "key"], "left_semi").withColumn("fresh", F.lit(False))
-            tagged = keys.unionByName(both).withColumn("member", F.struct("fresh", "doc"))
+            tagged = keys.unionByName(both)
             met = pairs_within(tagged.withColumn("m", F.concat_ws("|", "fresh", "doc")), ["band", "key"], "m", keep=["fresh", "doc"]).where("fresh_a <> fresh_b")
             met = met.select(F.when(F.col("fresh_a"), F.col("doc_a")).otherwise(F.col("doc_b")).alias("head"), F.when(F.col("fresh_a"), F.col("doc_b")).otherwise(F.col("doc_a")).alias("earlier")).distinct()
             heads = new.dropDuplicates(["signature"]).select(F.col("doc").alias("head"), F.col("signature").alias("s"))
