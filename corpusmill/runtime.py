@@ -78,6 +78,21 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def _leave() -> None:
+    """At the end of the driver nothing staged is left: through the session where it still runs, else as local folders."""
+    import shutil
+
+    for spark, path in _STAGED:
+        try:
+            _delete(spark, [path])
+        except Exception:  # noqa: BLE001 - the session has ended
+            if path.startswith(("/", "file:")):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
+
+
+atexit.register(_leave)
+
+
 def _delete(spark: SparkSession, paths: list[str]) -> None:
     conf = spark.sparkContext._jsc.hadoopConfiguration()
     for path in paths:
