@@ -127,7 +127,7 @@ def topic_coverage(text: Column, topics: Column) -> Column:
     covered = lambda ws, t: F.when(F.size(t) == 0, True).otherwise(F.size(F.filter(t, lambda w: has(ws, w))) / F.size(t) >= TOPIC_COVERED)
     parts = F.transform(F.filter(topics, lambda t: t.isNotNull()), topic_words)
     bound = F.array(F.struct(seen.alias("seen"), parts.alias("parts")))
-    share = F.transform(bound, lambda s: F.size(F.filter(s["parts"], lambda t: covered(s["seen"], t))) / F.size(s["parts"]))[0]
+    share = F.transform(bound, lambda s: F.try_divide(F.size(F.filter(s["parts"], lambda t: covered(s["seen"], t))), F.size(s["parts"])))[0]
     return F.when(topics.isNull() | (F.size(topics) == 0), F.lit(1.0)).otherwise(F.coalesce(share, F.lit(1.0)))
 
 

@@ -73,10 +73,10 @@ def clustering_metrics(pairs: DataFrame) -> DataFrame:
     h = F.when(F.col("h_nt") <= 0, 1.0).otherwise(F.col("mi") / F.col("h_nt"))
     c = F.when(F.col("h_np") <= 0, 1.0).otherwise(F.col("mi") / F.col("h_np"))
     x = x.withColumn("homogeneity", h).withColumn("completeness", c)
-    expected = F.col("s_nt") * F.col("s_np") / c2(F.col("total"))
+    expected = F.try_divide(F.col("s_nt") * F.col("s_np"), c2(F.col("total")))
     v = F.when(F.col("homogeneity") + F.col("completeness") > 0, 2 * F.col("homogeneity") * F.col("completeness") / (F.col("homogeneity") + F.col("completeness"))).otherwise(F.lit(0.0))
     nmi = F.when(F.col("h_nt") + F.col("h_np") > 0, 2 * F.col("mi") / (F.col("h_nt") + F.col("h_np"))).otherwise(F.lit(1.0))
-    ari = (F.col("s_n") - expected) / ((F.col("s_nt") + F.col("s_np")) / 2 - expected)
+    ari = F.try_divide(F.col("s_n") - expected, (F.col("s_nt") + F.col("s_np")) / 2 - expected)
     return x.select("homogeneity", "completeness", v.alias("v_measure"), nmi.alias("nmi"), ari.alias("ari"), F.col("total").alias("n"))
 
 
@@ -98,5 +98,5 @@ def discovery(rows: DataFrame, noise: int = -1) -> DataFrame:
     """clustering_metrics() of rows(truth, pred) without noise, and noise, noise_ratio, clusters_pred, clusters_true, k_error. Where all rows are noise, they are one cluster."""
     s = rows.agg(F.count("*").alias("rows"), F.count_if(F.col("pred") == noise).alias("noise"), F.countDistinct(F.when(F.col("pred") != noise, F.col("pred"))).alias("clusters_pred"), F.countDistinct("truth").alias("clusters_true"))
     kept = rows.crossJoin(F.broadcast(s.select("rows", F.col("noise").alias("_n")))).where((F.col("pred") != noise) | (F.col("_n") == F.col("rows"))).select("truth", "pred")  # one row on the right
-    k_error = F.abs(F.col("clusters_pred") - F.col("clusters_true")) / F.col("clusters_true")
-    return clustering_metrics(kept).crossJoin(s).withColumn("noise_ratio", F.col("noise") / F.col("rows")).withColumn("k_error", k_error)
+    k_error = F.try_divide(F.abs(F.col("clusters_pred") - F.col("clusters_true")), "clusters_true")
+    return clustering_metrics(kept).crossJoin(s).withColumn("noise_ratio", F.try_divide("noise", "rows")).withColumn("k_error", k_error)

@@ -47,6 +47,8 @@ def svd_basis(vectors: DataFrame, k: int) -> np.ndarray:
     rows = vectors.select("v").mapInPandas(gram, "row long, g array<double>")
     flat = rows.select("row", F.posexplode("g").alias("col", "x")).groupBy("row", "col").agg(F.sum("x").alias("x")).collect()  # width squared
     n = max((r["row"] for r in flat), default=-1) + 1
+    if not n:
+        return np.zeros((0, 0))
     g = np.zeros((n, n))
     for r in flat:
         g[r["row"], r["col"]] = r["x"]
@@ -85,7 +87,7 @@ def embed_texts(docs: DataFrame, doc: str, text: str, features: int = 512, dim:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            x = np.stack(pdf["v"].to_numpy()) @ basis if len(pdf) else np.empty((0, basis.shape[1]))
+            x = np.stack(pdf["v"].to_numpy()) @ basis if len(pdf) and basis.size else np.zeros((len(pdf), basis.shape[1]))
             size = np.sqrt((x * x).sum(1, keepdims=True))
             yield pd.DataFrame({"doc": pdf["doc"], "v": list(np.divide(x, size, out=np.zeros_like(x), where=size > 0))})
 
@@ -105,6 +107,8 @@ def kmeans(vectors: DataFrame, k: int, seed: int = 7) -> DataFrame:
     from pyspark.ml.functions import array_to_vector
 
     x = vectors.select("doc", array_to_vector(unit(F.col("v"))).alias("features"))
+    if vectors.isEmpty():
+        return vectors.select("doc", F.lit(0).alias("cluster"))
     return KMeans(k=k, seed=seed, maxIter=20).fit(x).transform(x).select("doc", F.col("prediction").alias("cluster"))
 
 
@@ -122,6 +126,8 @@ def head(train: DataFrame, test: DataFrame, kind: str = "linear", seed: int = 7)
     from pyspark.ml.functions import array_to_vector
 
     as_rows = lambda df: df.select("doc", "label", array_to_vector(unit(F.col("v"))).alias("features"))
+    if train.isEmpty() or test.isEmpty():
+        return test.limit(0).select("doc", F.col("label").alias("truth"), F.lit(0).alias("pred"))
     model = LogisticRegression(weightCol="weight", maxIter=50, regParam=0.01) if kind == "linear" else RandomForestClassifier(weightCol="weight", numTrees=40, maxDepth=8, seed=seed)
     fitted = model.setLabelCol("label").fit(balanced(as_rows(train)))
     return fitted.transform(as_rows(test)).select("doc", F.col("label").alias("truth"), F.col("prediction").cast("int").alias("pred"))

@@ -84,7 +84,7 @@ def near_dup_report(spark, d):
     cross = near.join(na, "a").join(nb, "b").agg(F.coalesce(F.sum(F.when(F.col("sa") == F.col("sb"), F.col("na") * F.col("nb"))), F.lit(0)).alias("same2"), F.coalesce(F.sum(F.when(F.col("sa") != F.col("sb"), F.col("na") * F.col("nb"))), F.lit(0)).alias("other2"))
     flagged = size.where("m > 1").select("head").unionByName(near.select(F.explode(F.array("a", "b")).alias("head"))).distinct().join(size, "head").agg(F.coalesce(F.sum("m"), F.lit(0)).alias("flagged"))
     j = sig.agg(F.count("*").alias("documents")).crossJoin(flagged).crossJoin(inside).crossJoin(cross)  # rows of one
-    return j.select("documents", "flagged", r6(F.col("flagged") / F.col("documents")).alias("duplicate_rate"), (F.col("same") + F.col("same2")).cast("long").alias("within_source"), (F.col("all") - F.col("same") + F.col("other2")).cast("long").alias("across_sources"))
+    return j.select("documents", "flagged", r6(F.try_divide("flagged", "documents")).alias("duplicate_rate"), (F.col("same") + F.col("same2")).cast("long").alias("within_source"), (F.col("all") - F.col("same") + F.col("other2")).cast("long").alias("across_sources"))
 
 
 # Hashes of contents

@@ -67,7 +67,7 @@ def cooccurrence_sparsity(spark, d):
     m = _matrix(spark, d)
     t = top_cells(m, "topic", "reg", 10)
     size = m.agg(F.least(F.countDistinct("topic"), F.lit(10)).alias("r"), F.least(F.countDistinct("reg"), F.lit(10)).alias("c"))
-    return t.agg(F.count("*").alias("observed")).crossJoin(size).select("observed", (F.col("r") * F.col("c")).alias("possible"), r6(F.col("observed") / (F.col("r") * F.col("c"))).alias("density"))  # rows of one
+    return t.agg(F.count("*").alias("observed")).crossJoin(size).select("observed", (F.col("r") * F.col("c")).alias("possible"), r6(F.try_divide("observed", F.col("r") * F.col("c"))).alias("density"))  # rows of one
 
 
 @query(f"with {FX} select len(topics)::bigint as topics, count(*) as n from fx group by 1")

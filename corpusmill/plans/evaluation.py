@@ -53,7 +53,7 @@ def classification_f1(spark, d):
     ev = _evaluated(spark, d)
     m = metrics.class_metrics(metrics.confusion(ev), _labels(spark, d))
     acc = ev.agg(r6(F.avg(F.when(F.col("truth") == F.col("pred"), 1.0).otherwise(0.0))).alias("accuracy"))
-    return m.agg(r6(F.avg("f1")).alias("macro_f1"), r6(F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1")).crossJoin(acc)
+    return m.agg(r6(F.avg("f1")).alias("macro_f1"), r6(F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support"))).alias("weighted_f1")).crossJoin(acc)
 
 
 @query(f"with {PRED}, c as (select truth, pred, count(*) as n from ev where truth <> pred group by 1, 2), s as (select *, sum(n) over () as errors, sum(n) over (partition by truth) as of_class from c) select truth, pred, n, {R6.format('n / errors')} as error_share, {R6.format('n / of_class')} as class_share from s order by n desc, truth, pred limit 10")
@@ -121,8 +121,8 @@ def cohen_kappa(spark, d):
     b = one.groupBy("id").agg(F.min(F.when(F.col("run_name") == F.col("lo"), F.col("prediction"))).alias("x"), F.min(F.when(F.col("run_name") == F.col("hi"), F.col("prediction"))).alias("y")).where("x is not null and y is not null")
     po = b.agg(F.count("*").alias("n"), F.avg(F.when(F.col("x") == F.col("y"), 1.0).otherwise(0.0)).alias("po"))
     e = b.groupBy(F.col("x").alias("l")).agg(F.count("*").alias("a")).join(b.groupBy(F.col("y").alias("l")).agg(F.count("*").alias("c")), "l").agg(F.coalesce(F.sum(F.col("a") * F.col("c")), F.lit(0)).alias("s"))
-    pe = F.col("s") / (F.col("n").cast("double") * F.col("n"))
-    return po.crossJoin(e).select("n", r6(F.col("po")).alias("observed"), r6((F.col("po") - pe) / (1 - pe)).alias("kappa"))
+    pe = F.try_divide("s", F.col("n").cast("double") * F.col("n"))
+    return po.crossJoin(e).select("n", r6(F.col("po")).alias("observed"), r6(F.try_divide(F.col("po") - pe, 1 - pe)).alias("kappa"))
 
 
 #: Vectors by nearest of ten seeds drawn by hash, by cosine over all dimensions.

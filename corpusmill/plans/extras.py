@@ -77,9 +77,9 @@ def classification_bundle(spark, d):
     inside = _labels(spark, d)
     tp = conf.where("truth = pred").join(inside, F.col("truth") == F.col("label"), "left_semi").agg(F.sum("n").alias("tp"))
     sums = conf.select(F.col("truth").alias("label"), "n").unionByName(conf.select(F.col("pred").alias("label"), "n")).join(inside, "label", "left_semi").agg(F.sum("n").alias("m"))
-    acc = conf.agg((F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")).alias("accuracy"))
-    j = c.agg(F.avg("f1").alias("macro_f1"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("weighted_f1")).crossJoin(acc).crossJoin(tp).crossJoin(sums)  # rows of one
-    j = j.withColumn("micro_f1", 2 * F.col("tp") / F.col("m"))
+    acc = conf.agg(F.try_divide(F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)), F.sum("n")).alias("accuracy"))
+    j = c.agg(F.avg("f1").alias("macro_f1"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"), F.try_divide(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("weighted_f1")).crossJoin(acc).crossJoin(tp).crossJoin(sums)  # rows of one
+    j = j.withColumn("micro_f1", F.try_divide(2 * F.col("tp"), "m"))
     rows = F.array(*[F.struct(F.lit(n).alias("metric"), r6(F.col(n)).alias("value")) for n in ("accuracy", "macro_f1", "macro_precision", "macro_recall", "micro_f1", "weighted_f1")])
     return j.select(F.explode(rows).alias("x")).select("x.*")
 

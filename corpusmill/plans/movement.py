@@ -79,8 +79,9 @@ def ledger_as_jsonl(spark, d):
 def dataset_written_and_scanned(spark, d):
     """A dataset saved by split and scanned again split by split, with the text's fallback."""
     path = new_path(spark, "dataset")
-    writers.save_dataset(table(spark, d, "shelf_features"), path)
-    parts = [readers.split_scan(spark, f"{path}/data", s) for s in ("train", "dev", "test")]
+    shelf = table(spark, d, "shelf_features")
+    writers.save_dataset(shelf, path)
+    parts = [readers.split_scan(spark, f"{path}/data", s, schema=shelf.schema) for s in ("train", "dev", "test")]
     return readers.union_of(*parts).groupBy("split").agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("chars"))
 
 

@@ -77,7 +77,7 @@ def mcnemar(spark, d):
     e = j.groupBy("id").agg(F.max(F.when(F.col("run_name") == F.col("lo"), F.col("ok"))).alias("x"), F.max(F.when(F.col("run_name") == F.col("hi"), F.col("ok"))).alias("y"))
     c = e.agg(F.count_if((F.col("x") == 1) & (F.col("y") == 0)).alias("b"), F.count_if((F.col("x") == 0) & (F.col("y") == 1)).alias("c"))
     diff = F.abs(F.col("b") - F.col("c")) - 1
-    return c.select("b", "c", r6(diff * diff / (F.col("b") + F.col("c"))).alias("statistic"))
+    return c.select("b", "c", r6(F.try_divide(diff.cast("double") * diff, F.col("b") + F.col("c"))).alias("statistic"))
 
 
 @query(f"with {SCORES}, r as (select model, task, rank() over (partition by task order by score desc) + (count(*) over (partition by task, score) - 1) / 2.0 as r from sc), k as (select count(distinct model) as k, count(distinct task) as n from sc), full_models as (select model from sc group by model having count(*) = (select n from k)), q as (select model, row_number() over (order by model) as i from full_models) select model, {R6.format('avg(r)')} as average_rank from r where model in (select model from q) group by model")

@@ -35,11 +35,11 @@ def with_text(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumn("text", text_or(df, *names)).where(F.trim("text") != "")
 
 
-def split_scan(spark: SparkSession, root: str, split: str | None = None, wanted: dict | None = None) -> DataFrame:
-    """Parquet rows of a split with their text (text, else body, else title), filtered by fields; blank texts are dropped."""
+def split_scan(spark: SparkSession, root: str, split: str | None = None, wanted: dict | None = None, schema: T.StructType | None = None) -> DataFrame:
+    """Parquet rows of a split with their text (text, else body, else title), filtered by fields; blank texts are dropped. A folder without files needs a schema."""
     from corpusmill.functions.fields import filter_by
 
-    df = spark.read.parquet(root)
+    df = (spark.read.schema(schema) if schema else spark.read).parquet(root)
     df = df.where(F.col("split") == split) if split is not None and "split" in df.columns else df
     return with_text(filter_by(df, wanted or {}), "text", "body", "title")
 
