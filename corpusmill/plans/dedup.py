@@ -26,14 +26,14 @@ HEADS = f"{NEAR}, hd as (select min(doc) as doc from sg group by s), hp as (sele
 
 
 #: The same over the rows of shelf_features, which hold texts with small edits.
-of_shelf = lambda sql: sql.replace("doc_id as doc", "rec_no as doc").replace("lower(coalesce(text, ''))", "lower(coalesce(body, ''))").replace("from documents where trim(text) <> ''", "from shelf_features where trim(body) <> ''")
+of_records = lambda sql: sql.replace("doc_id as doc", "rec_no as doc").replace("lower(coalesce(text, ''))", "lower(coalesce(body, ''))").replace("from documents where trim(text) <> ''", "from shelf_features where trim(body) <> ''")
 
 
 def _signatures(spark, d) -> DataFrame:
     return stage(neardup.signatures(table(spark, d, "documents").where("trim(text) <> ''"), "doc_id", "text"), "signatures")
 
 
-def _shelf_signatures(spark, d) -> DataFrame:
+def _record_signatures(spark, d) -> DataFrame:
     return stage(neardup.signatures(table(spark, d, "shelf_features").where("trim(body) <> ''"), "rec_no", "body"), "signatures")
 
 
@@ -51,18 +51,18 @@ def near_dup_verdicts(spark, d):
     return v.select(F.col("doc").alias("doc_id"), "matched", r6(F.col("similarity")).alias("similarity"), "passed")
 
 
-@query(of_shelf(f"with {HEADS} select a as rec_a, b as rec_b, {R6.format('sim')} as similarity from hp where sim >= 0.9"))
+@query(of_records(f"with {HEADS} select a as rec_a, b as rec_b, {R6.format('sim')} as similarity from hp where sim >= 0.9"))
 def lsh_similar_pairs(spark, d):
     """Pairs of different signatures above the threshold, each by its first document."""
-    _, pairs = neardup.similar_heads(_shelf_signatures(spark, d))
+    _, pairs = neardup.similar_heads(_record_signatures(spark, d))
     return pairs.where("similarity >= 0.9").select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b"), r6(F.col("similarity")).alias("similarity"))
 
 
-@query(of_shelf(f"""with {SIG}, hd as (select min(doc) as doc, any_value(h) as h from sg group by s), e as (select doc, unnest(h) as x from hd), n as (select doc, len(h) as n from hd), i as (select a.doc as a, b.doc as b, count(*) as m from e a join e b on a.x = b.x and a.doc < b.doc group by 1, 2)
+@query(of_records(f"""with {SIG}, hd as (select min(doc) as doc, any_value(h) as h from sg group by s), e as (select doc, unnest(h) as x from hd), n as (select doc, len(h) as n from hd), i as (select a.doc as a, b.doc as b, count(*) as m from e a join e b on a.x = b.x and a.doc < b.doc group by 1, 2)
 select a as rec_a, b as rec_b, {R6.format('m / (p.n + q.n - m)')} as jaccard from i join n p on p.doc = a join n q on q.doc = b where m / (p.n + q.n - m) >= 0.8"""))
 def jaccard_near_dups(spark, d):
     """Pairs of different signatures whose shingles agree to 0.8 exactly; the SQL compares all pairs, so it measures the bands' recall."""
-    j = neardup.exact_jaccard(_shelf_signatures(spark, d), 0.8)
+    j = neardup.exact_jaccard(_record_signatures(spark, d), 0.8)
     return j.select(F.col("a").alias("rec_a"), F.col("b").alias("rec_b"), r6(F.col("jaccard")).alias("jaccard"))
 
 
@@ -164,12 +164,12 @@ def spec_coverage(spark, d):
     return f.agg(F.countDistinct("spec_id").alias("specs"), F.count_if(F.coalesce("spec_id", F.lit("")) == "").alias("missing"), *[F.countDistinct(c).alias(f"n_{c}") for c in COVERED])
 
 
-@query(f"""with p as (select 'shelf' as corpus, rec_no as n, coalesce(text, body, title) as t, model, split from shelf_features union all select 'documents', doc_id, text, null, null from documents), k as (select *, sha256(lower(regexp_replace(trim(t), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) as k from p where trim(t) <> ''),
+@query(f"""with p as (select 'records' as corpus, rec_no as n, coalesce(text, body, title) as t, model, split from shelf_features union all select 'documents', doc_id, text, null, null from documents), k as (select *, sha256(lower(regexp_replace(trim(t), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) as k from p where trim(t) <> ''),
 r as (select *, row_number() over (partition by k order by corpus desc, n) as r from k) select corpus, coalesce(split, 'train') as split, count(*) as n from r where r = 1 group by 1, 2""")
 def pooled_build(spark, d):
     """Two corpora of different columns pooled by name, the first of equal texts kept, rows without a split to train: the keeper is a minimum, no group of copies is sorted."""
     s = table(spark, d, "shelf_features")
-    a = s.select(F.lit("shelf").alias("corpus"), F.lit(0).alias("o"), F.col("rec_no").alias("n"), text_or(s, "text", "body", "title").alias("t"), "model", "split")
+    a = s.select(F.lit("records").alias("corpus"), F.lit(0).alias("o"), F.col("rec_no").alias("n"), text_or(s, "text", "body", "title").alias("t"), "model", "split")
     b = table(spark, d, "documents").select(F.lit("documents").alias("corpus"), F.lit(1).alias("o"), F.col("doc_id").alias("n"), F.col("text").alias("t"))
     p = a.unionByName(b, allowMissingColumns=True).where("trim(t) <> ''")
     k = F.sha2(F.lower(F.regexp_replace(F.trim("t"), r"[ \t\n\x0B\f\r]+", " ")), 256)

@@ -87,10 +87,10 @@ def id_set_ops(spark, d):
     return p.join(s, "id", "full").groupBy(side.alias("side")).agg(F.count("*").alias("n"))
 
 
-@query("select origin, count(*) as n, count(lang) as with_lang, count(model) as with_model from (select 'documents' as origin, lang, null as model from documents union all select 'shelf', null, model from shelf_features) group by origin")
+@query("select origin, count(*) as n, count(lang) as with_lang, count(model) as with_model from (select 'documents' as origin, lang, null as model from documents union all select 'records', null, model from shelf_features) group by origin")
 def union_by_name(spark, d):
     a = table(spark, d, "documents").select(F.lit("documents").alias("origin"), "lang")
-    b = table(spark, d, "shelf_features").select(F.lit("shelf").alias("origin"), "model")
+    b = table(spark, d, "shelf_features").select(F.lit("records").alias("origin"), "model")
     return a.unionByName(b, allowMissingColumns=True).groupBy("origin").agg(F.count("*").alias("n"), F.count("lang").alias("with_lang"), F.count("model").alias("with_model"))
 
 
