@@ -58,11 +58,11 @@ ADDRESSED = frozenset("mr mrs ms miss dr prof sir lady dame rev mme mlle monsieu
 BEFORE_YEAR = frozenset("in since by after before until during en depuis dès vers avant après im jahr seit bis ab nach vor desde hasta hacia".split())
 
 
-#: Lines of contacts, where texts have such: they tell a first name from a surname even if hardly anyone else bears it.
+#: Lines of contacts, each with a sign that it holds, where texts have such: they tell a first name from a surname even if hardly anyone else bears it.
 SLOTS = (
-    re.compile(r"(?:Contact|Kontakt|Contacto)\s?:\s([^,\n@]{3,50})(?:,\s([^,\n@]{2,40}))?,\s\S*(?:@|\(at\)|\[at\]|\sat\s)"),
-    re.compile(r"\"reader\":\s\"([^\",]{3,50})(?:,\s([^\"]{2,40}))?\""),
-    re.compile(r"\bname=([^;,\n]{3,50})(?:,\s([^;\n]{2,40}))?;mail="),
+    ("onta", re.compile(r"(?:Contact|Kontakt|Contacto)\s?:\s([^,\n@]{3,50})(?:,\s([^,\n@]{2,40}))?,\s\S*(?:@|\(at\)|\[at\]|\sat\s)")),
+    ('"reader"', re.compile(r"\"reader\":\s\"([^\",]{3,50})(?:,\s([^\"]{2,40}))?\"")),
+    (";mail=", re.compile(r"\bname=([^;,\n]{3,50})(?:,\s([^;\n]{2,40}))?;mail=")),
 )
 ORDINARY = re.compile(r"(?<=[a-z,] )[a-zß-ÿ]{4,}")
 CAPITAL = re.compile(r"(?<![\w.])[A-ZÀ-ÖØ-Þ][^\W\d_]{2,}")
@@ -202,10 +202,16 @@ class Finder:
                 if got and free(*got):
                     out.append((*got, "P"))
                     taken.add(*got)
-        for m in self.initials.finditer(t):
-            if self.surname(m["s"]) and free(*m.span()):
-                out.append((*m.span(), "P"))
-                taken.add(*m.span())
+        dot, past = t.find("."), 0
+        while dot >= 0:  # an initial ends with a point, and points are few
+            if dot > past and t[dot - 1].isupper():
+                m = self.initials.match(t, dot - 1)
+                if m:
+                    past = m.end()
+                    if self.surname(m["s"]) and free(*m.span()):
+                        out.append((*m.span(), "P"))
+                        taken.add(*m.span())
+            dot = t.find(".", dot + 1)
         out.sort()
         return out
 
@@ -343,8 +349,8 @@ def count_words(texts, seen: dict[str, Counter]) -> None:
         seen["o"].update(ORDINARY.findall(t))
         seen["c"].update(CAPITAL.findall(t))
         seen["b"].update(NAMED.findall(t))
-        for slot in SLOTS:
-            for m in slot.finditer(t):
+        for sign, slot in SLOTS:
+            for m in slot.finditer(t) if sign in t else ():
                 given, rest = (m[2], m[1]) if m[2] else ((m[1].split() or [""])[0], " ".join(m[1].split()[1:]))
                 seen["f"].update(re.findall(r"[^\W\d_]{3,}", fold(given)))
                 seen["e"].update(s[-3:] for s in re.findall(r"[^\W\d_]{4,}", fold(rest)))
