@@ -16,7 +16,7 @@ from corpusmill.streaming import streams
 
 
 def _stream(spark, d, name):
-    return streams.file_stream(spark, d, table(spark, d, name).schema, f"{name}.parquet")
+    return streams.table_stream(spark, d, name, table(spark, d, name).schema)
 
 
 @query(f"with l as (select * from (select *, row_number() over (partition by request_id order by received_at) as r from cost_ledger) where r = 1) select coalesce(nullif(trim(model), ''), 'unknown') as model, count(*) as requests, {R6.format('sum(coalesce(cost_usd, 0))')} as spent from l group by 1")

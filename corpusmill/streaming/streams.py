@@ -18,6 +18,14 @@ def file_stream(spark: SparkSession, folder: str, schema, files: str | None = No
     return (reader.option("maxFilesPerTrigger", each) if each else reader).load(folder)
 
 
+def table_stream(spark: SparkSession, root: str, name: str, schema, each: int | None = None) -> DataFrame:
+    """The Parquet table `name` under `root` as a stream, whether it is a file or a folder of files."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{name}.parquet")
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return file_stream(spark, f"{root}/{name}.parquet", schema, each=each)
+    return file_stream(spark, root, schema, f"{name}.parquet", each=each)  # a stream takes folders only
+
+
 def run_to_end(stream: DataFrame, mode: str = "complete") -> DataFrame:
     """Runs a stream over what is there now; the last state of an aggregation (complete), or all rows (append). State and results lie in the shared folder, so a lost executor costs a batch."""
     spark = stream.sparkSession

@@ -7,6 +7,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpusmill.operators import neardup
+from corpusmill.plans import movement
 from corpusmill.sinks import writers
 from corpusmill.sources import readers
 from corpusmill.streaming import streams
@@ -167,3 +168,9 @@ def test_late_events_and_sessions(spark, tmp_path):
     w = {(r.start.hour, r.event_type): (r.n, r.total) for r in streams.run_to_end(streams.event_windows(s())).collect()}
     assert w == {(0, "a"): (2, 3.0), (2, "b"): (1, 3.0)}
     assert sorted(r.n for r in streams.run_to_end(streams.event_sessions(s())).collect()) == [1, 2]
+
+
+def test_ledger_that_is_a_folder_streams_too(spark, tmp_path):
+    ledger = spark.createDataFrame([("a", "m", 0.25), ("b", None, 0.5), ("a", "m", 0.25), ("c", "m", None)], "request_id string, model string, cost_usd double")
+    ledger.repartition(3).write.parquet(f"{tmp_path}/cost_ledger.parquet")
+    assert {r.model: (r.requests, r.spent) for r in movement.stream_spend(spark, str(tmp_path)).collect()} == {"m": (2, 0.25), "unknown": (1, 0.5)}
