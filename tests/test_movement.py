@@ -174,3 +174,9 @@ def test_ledger_that_is_a_folder_streams_too(spark, tmp_path):
     ledger = spark.createDataFrame([("a", "m", 0.25), ("b", None, 0.5), ("a", "m", 0.25), ("c", "m", None)], "request_id string, model string, cost_usd double")
     ledger.repartition(3).write.parquet(f"{tmp_path}/cost_ledger.parquet")
     assert {r.model: (r.requests, r.spent) for r in movement.stream_spend(spark, str(tmp_path)).collect()} == {"m": (2, 0.25), "unknown": (1, 0.5)}
+
+
+def test_documents_that_are_a_folder_stream_too(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(30))) for i in range(3)] + [(3, "other words"), (4, " ")], "doc_id long, text string")
+    docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: (r.matched, r.similarity) for r in movement.stream_near_dups(spark, str(tmp_path)).collect()} == {0: (None, 0.0), 1: (0, 1.0), 2: (0, 1.0), 3: (None, 0.0)}
