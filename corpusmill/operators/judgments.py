@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.runtime import stage
+
 #: Gains by axis for the closest to the farthest tier.
 GAINS = {"class": (3.0, 2.0, 1.0), "form": (3.0, 1.0), "category": (3.0, 2.0)}
 #: Instructions as (facet that must agree, facet that must not).
@@ -42,14 +44,41 @@ def counts_by(docs: DataFrame, on: list[str]) -> DataFrame:
     return docs.where(cond).groupBy(*on).agg(F.count("*").alias("n"))
 
 
+#: Sets of more topics than this are compared one by one: a set of n has 2^n - 1 subsets.
+FEW = 8
+
+
+def subsets(topics: Column) -> Column:
+    """Every subset of an array but the empty one, each in the array's order."""
+    none = F.array(F.array().cast("array<string>"))
+    return F.filter(F.aggregate(topics, none, lambda acc, x: F.concat(acc, F.transform(acc, lambda s: F.concat(s, F.array(x))))), lambda s: F.size(s) > 0)
+
+
+def sets_that_meet(q: DataFrame, d: DataFrame) -> DataFrame:
+    """Pairs of a row of q (qt, ...) and one of d (topics, ...) that share a topic, where a set of more than FEW topics is among the two, with `overlap`, how many they share."""
+    few_q, few_d = F.size("qt") <= FEW, F.size("topics") <= FEW
+    out = None
+    for left, right in ((q, d.where(~few_d)), (q.where(~few_q), d.where(few_d))):
+        met = left.select("*", F.explode("qt").alias("t")).join(right.select("*", F.explode("topics").alias("t")), "t")
+        # a pair meets at each topic that it shares; only the first of them counts
+        met = met.withColumn("both", F.array_intersect("qt", "topics")).where(F.col("t") == F.col("both")[0]).withColumn("overlap", F.size("both").cast("long")).drop("t", "both")
+        out = met if out is None else out.unionByName(met)
+    return out
+
+
 def topic_counts(docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(topics, cls, shared, shared_same): for each set of topics and class of the queries the documents with a topic of the set, and those of the same class among them.
 
-    Documents count by set of topics and class, so the join is between the sets that occur.
+    topics must be sorted, each once. Documents are counted by subset of their topics, and a query's subsets of one topic add, those of two subtract, and so
+    on: a document that shares k topics with it is counted once in all. So the work is by sets, never by pairs of sets that share a hot topic.
     """
     d = docs.where(F.size("topics") > 0).groupBy("topics", "cls").agg(F.count("*").alias("n"))
     q = queries.where(F.size("topics") > 0).select(F.col("topics").alias("qt"), F.col("cls").alias("qc")).distinct()
-    j = q.select("qt", "qc", F.explode("qt").alias("t")).join(d.select("topics", "cls", "n", F.explode("topics").alias("t")), "t")
-    each = j.groupBy("qt", "qc", "topics", "cls").agg(F.first("n").alias("n"))
-    same = F.coalesce(F.col("cls") == F.col("qc"), F.lit(False))
-    return each.groupBy("qt", "qc").agg(F.sum("n").alias("shared"), F.sum(F.when(same, F.col("n")).otherwise(0)).alias("shared_same")).select(F.col("qt").alias("topics"), F.col("qc").alias("cls"), "shared", "shared_same")
+    by_class = stage(d.where(F.size("topics") <= FEW).select(F.explode(subsets(F.col("topics"))).alias("s"), "cls", "n").groupBy("s", "cls").agg(F.sum("n").alias("n")), "subsets")
+    every = by_class.groupBy("s").agg(F.sum("n").alias("n"))
+    of = q.where(F.size("qt") <= FEW).select("qt", "qc", F.explode(subsets(F.col("qt"))).alias("s"))
+    sign = F.when(F.size("s") % 2 == 1, F.lit(1)).otherwise(F.lit(-1))
+    same = by_class.select("s", F.col("cls").alias("qc"), F.col("n").alias("n_same"))
+    few = of.join(every, "s").join(same, ["s", "qc"], "left").select("qt", "qc", (sign * F.col("n")).alias("n"), (sign * F.coalesce("n_same", F.lit(0))).alias("n_same"))
+    many = sets_that_meet(q, d).select("qt", "qc", "n", F.when(F.coalesce(F.col("cls") == F.col("qc"), F.lit(False)), F.col("n")).otherwise(0).alias("n_same"))
+    return few.unionByName(many).groupBy(F.col("qt").alias("topics"), F.col("qc").alias("cls")).agg(F.sum("n").alias("shared"), F.sum("n_same").alias("shared_same"))

@@ -1,5 +1,6 @@
 import math
 import random
+import time
 from itertools import combinations
 
 import numpy as np
@@ -320,3 +321,33 @@ def test_linked_clusters(spark):
     rows = [(i, [1.0, 0.01 * i]) for i in range(5)] + [(10 + i, [0.01 * i, 1.0]) for i in range(5)] + [(99, [-1.0, -1.0])]
     got = {r.doc: r.cluster for r in vectors.linked_clusters(spark.createDataFrame(rows, "doc long, v array<float>"), 0.9, 3).collect()}
     assert {got[i] for i in range(5)} == {0} and {got[10 + i] for i in range(5)} == {10} and got[99] == 99
+
+
+# Topics that sets share
+
+
+def topic_rows(spark, n, most, seed=4):
+    rng = random.Random(seed)
+    names = [f"t{i:02d}" for i in range(14)]
+    rows = [(f"d{i}", i, sorted(rng.sample(names, min(len(names), rng.randrange(most)))), rng.choice(["a", "b", None])) for i in range(n)]
+    return rows, spark.createDataFrame(rows, "id string, rec_no long, topics array<string>, cls string")
+
+
+@pytest.mark.parametrize("most", [5, 13])
+def test_topic_counts_equal_comparing_all(spark, most):
+    rows, docs = topic_rows(spark, 150, most)
+    got = {(tuple(r.topics), r.cls): (r.shared, r.shared_same) for r in judgments.topic_counts(docs, docs.where("rec_no % 3 = 0")).collect()}
+    want = {}
+    for _, i, ts, c in rows:
+        if i % 3 == 0 and ts:
+            met = [k for _, _, us, k in rows if set(ts) & set(us)]
+            want[tuple(ts), c] = (len(met), sum(k is not None and k == c for k in met))
+    assert got == want
+
+
+def test_sets_that_share_a_hot_topic_are_never_paired(spark):
+    n = 20_000
+    docs = spark.range(n).selectExpr("id as rec_no", "array_sort(array('hot', concat('own', id))) as topics", "'a' as cls")
+    began = time.perf_counter()
+    got = judgments.topic_counts(docs, docs).agg(F.count("*"), F.min("shared"), F.max("shared"), F.min("shared_same")).first()
+    assert tuple(got) == (n, n, n, n) and time.perf_counter() - began < 60  # pairs of sets would be 4e8
