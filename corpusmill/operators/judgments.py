@@ -59,7 +59,7 @@ def sets_that_meet(q: DataFrame, d: DataFrame) -> DataFrame:
     few_q, few_d = F.size("qt") <= FEW, F.size("topics") <= FEW
     out = None
     for left, right in ((q, d.where(~few_d)), (q.where(~few_q), d.where(few_d))):
-        met = left.select("*", F.explode("qt").alias("t")).join(right.select("*", F.explode("topics").alias("t")), "t")
+        met = left.select("*", F.explode("qt").alias("t")).join(right.select("*", F.explode("topics").alias("t")).hint("merge"), "t")  # files of sets say little of their size in memory: never sent to all
         # a pair meets at each topic that it shares; only the first of them counts
         met = met.withColumn("both", F.array_intersect("qt", "topics")).where(F.col("t") == F.col("both")[0]).withColumn("overlap", F.size("both").cast("long")).drop("t", "both")
         out = met if out is None else out.unionByName(met)

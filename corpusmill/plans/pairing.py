@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from math import comb
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from corpusmill.functions.expr import facet_set, r6, word_count
 from corpusmill.operators import pairs
+from corpusmill.operators.judgments import FEW, sets_that_meet, subsets
 from corpusmill.plans.evaluation import SETS
 from corpusmill.plans.registry import query
 from corpusmill.plans.reports import WORDS
 from corpusmill.plans.retrieval import R6
-from corpusmill.runtime import running_total
+from corpusmill.runtime import running_total, stage
 from corpusmill.sources.tables import table
 
 FACET = "nullif(lower(trim({})), '')"
@@ -156,14 +160,20 @@ select len(list_intersect(q.topics, s.topics))::bigint as overlap, sum(q.n * s.n
 def topic_overlap_join(spark, d):
     """Documents that share topics with the queries (every record number divisible by 20), counted by how many they share.
 
-    Documents with equal sets of topics are one row with a count, so hot topics are joined once for each set, not for each document.
+    Both sides are counted by subset of their topics. Over all pairs the products of the counts of subsets of j topics sum to the pairs that share k topics times
+    C(k, j), which gives the pairs by k; pairs of sets are made only where one is of more than FEW topics.
     """
     f = facets(spark, d).where(F.size("topics") > 0).select("topics", "rec_no")
-    s = f.groupBy("topics").agg(F.count("*").alias("n"))
-    q = f.where("rec_no % 20 = 0").groupBy(F.col("topics").alias("qt")).agg(F.count("*").alias("m"))
-    j = q.select("qt", "m", F.explode("qt").alias("t")).join(s.select("topics", "n", F.explode("topics").alias("t")), "t")
-    each = j.groupBy("qt", "topics").agg(F.count("*").alias("overlap"), F.first("m").alias("m"), F.first("n").alias("n"))
-    return each.groupBy("overlap").agg(F.sum(F.col("m") * F.col("n")).alias("pairs"))
+    s = stage(f.groupBy("topics").agg(F.count("*").alias("n"), F.count_if(F.col("rec_no") % 20 == 0).alias("m")), "sets")
+    by = s.where(F.size("topics") <= FEW).select(F.explode(subsets(F.col("topics"))).alias("s"), "n", "m").groupBy("s").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).where("m > 0")
+    exact = lambda c: F.col(c).cast("decimal(38,0)")  # noqa: E731 - the sums of products may pass 2^63 where the pairs don't
+    sums = by.groupBy(F.size("s").alias("j")).agg(F.sum((exact("n") * exact("m")).cast("decimal(38,0)")).alias("x"))
+    k = F.explode(F.sequence(F.lit(1), F.col("j"))).alias("k")
+    chosen = reduce(lambda c, jk: c.when((F.col("j") == jk[0]) & (F.col("k") == jk[1]), (-1) ** (jk[0] - jk[1]) * comb(*jk)), [(j, i) for j in range(1, FEW + 1) for i in range(1, j + 1)], F.when(F.lit(False), 0))
+    few = sums.select("j", "x", k).select(F.col("k").cast("long").alias("overlap"), (chosen.cast("decimal(38,0)") * F.col("x")).cast("decimal(38,0)").alias("pairs"))
+    q = s.where("m > 0").select(F.col("topics").alias("qt"), "m")
+    many = sets_that_meet(q, s.select("topics", "n")).select("overlap", (exact("m") * exact("n")).cast("decimal(38,0)").alias("pairs"))
+    return few.unionByName(many).groupBy("overlap").agg(F.sum("pairs").cast("long").alias("pairs")).where("pairs > 0")
 
 
 PER_CLASS = 5

@@ -89,3 +89,12 @@ def test_every_query_on_tables_without_rows(spark, no_rows):
                 q(spark, no_rows).collect()
         else:
             q(spark, no_rows).collect()
+
+
+def test_topic_overlap_of_few_and_many_topics(spark, tmp_path):
+    names = [f"t{i:02d}" for i in range(14)]
+    topics = [[names[(i * k + i) % 14] for k in range(i % 12)] for i in range(80)] + [names, None, [None, " T01 ", "t01"]]
+    none = [None] * len(topics)
+    text = dict.fromkeys(["split", "lcc_code", "lcgft_form", "lcgft_category", "audience", "register", "model", "spec_id", "block_id", "body"], pa.array(none, pa.string()))
+    put(tmp_path, "shelf_features", rec_no=list(range(len(topics))), id=[f"d{i}" for i in range(len(topics))], topics=pa.array(topics, pa.list_(pa.string())), **text)
+    assert max(both(spark, tmp_path, "topic_overlap_join", "overlap")) > 8
