@@ -351,3 +351,10 @@ def test_sets_that_share_a_hot_topic_are_never_paired(spark):
     began = time.perf_counter()
     got = judgments.topic_counts(docs, docs).agg(F.count("*"), F.min("shared"), F.max("shared"), F.min("shared_same")).first()
     assert tuple(got) == (n, n, n, n) and time.perf_counter() - began < 60  # pairs of sets would be 4e8
+
+
+def test_graded_ideal_from_topic_counts_alone(spark):
+    docs = spark.createDataFrame([("a", ["x", "y"], "Q"), ("b", ["y"], "Q"), ("c", ["x", "y", "z"], "H"), ("d", ["z"], None)], "id string, topics array<string>, cls string")
+    got = {(tuple(r.topics), r.cls): (r.shared, r.shared_same) for r in judgments.topic_counts(docs, docs).collect()}
+    assert got == {(("x", "y"), "Q"): (3, 2), (("y",), "Q"): (3, 2), (("x", "y", "z"), "H"): (4, 1), (("z",), None): (2, 0)}
+    assert sum(len(r.s) for r in docs.where("id = 'c'").select(judgments.subsets(F.col("topics")).alias("s")).collect()) == 7
