@@ -22,6 +22,8 @@ SLICES = 64  # tasks that add up counters or filter bits
 GROUP = 256
 #: A shingle whose counter is above this, and above CROWD times the mean counter, is never gathered: its texts take the second shingle at once.
 HOT, CROWD = 50_000, 16
+#: Pairs are looked for in rounds by the smaller set's size, each over so many shingles, so that what is met by chance never lies on disk all at once.
+ROUND, NO_END = 100_000_000, 1 << 31
 RECORD = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "<u4"), ("at", "<u4")])
 SKETCH = [f"k{i}" for i in range(SEGMENTS)]
 
@@ -94,6 +96,24 @@ def least_shared_of(n: Column) -> Column:
     return F.floor(n / F.lit(32)) + F.lit(1)
 
 
+def size_bands(sets: DataFrame, shingles: int, similarity: float) -> list[tuple[int, int, int, int]]:
+    """(from, to, most, shingles): bands [from, to) of the smaller set's size, about ROUND shingles in each; the largest size that a set similar to one of them has, and the shingles of all sets from `from` to that size."""
+    if shingles <= ROUND:
+        return [(0, NO_END, NO_END, shingles)]
+    rows = [(r["n"], r["s"]) for r in sets.groupBy("n").agg(F.sum("n").alias("s")).orderBy("n").collect()]  # a row for each size
+    edges, held = [0], 0
+    for n, s in rows:
+        if held >= ROUND:
+            edges.append(n)
+            held = 0
+        held += s
+    bands = []
+    for low, end in zip(edges, [*edges[1:], NO_END], strict=True):
+        most = NO_END if end == NO_END else int((end - 1) / similarity + 1e-9)
+        bands.append((low, end, most, sum(s for n, s in rows if low <= n <= most)))
+    return bands
+
+
 def _prefixes(similarity: float, frequency, ranges: int):
     """Each text's rarest shingles, enough that similar texts share one, as records cut by range of the shingle; those of crowded shingles go to range -1."""
 
@@ -139,8 +159,8 @@ def _viable(n_a, at_a, n_b, at_b, similarity: float) -> np.ndarray:
     return (lo >= similarity * hi - 1e-9) & (n_a - at_a >= need) & (n_b - at_b >= need)
 
 
-def _candidates(similarity: float):
-    """Pairs of sets that share a record's key, and how often. A range's records are sorted once; equal offsets within runs of a key are compared as arrays."""
+def _candidates(similarity: float, end: int):
+    """Pairs of sets that share a record's key, and how often, the smaller set of fewer than `end` shingles. A range's records are sorted once; equal offsets within runs of a key are compared as arrays."""
 
     def count(seen: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((seen[:, 1], seen[:, 0]))
@@ -171,7 +191,7 @@ def _candidates(similarity: float):
                 s, k = starts[m], size[m] - d
                 base = np.repeat(s, k) + (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
                 x, y = r[base], r[base + d]
-                ok = _viable(x["n"].astype(np.int64), x["at"], y["n"].astype(np.int64), y["at"], similarity)
+                ok = _viable(x["n"].astype(np.int64), x["at"], y["n"].astype(np.int64), y["at"], similarity) & (np.minimum(x["n"], y["n"]) < end)
                 if ok.any():
                     a, b = x["set"][ok], y["set"][ok]
                     smaller = np.minimum(x["n"][ok], y["n"][ok]).astype(np.int64)
@@ -352,16 +372,28 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
        their sets are sent again by two shingles, which similar sets share too if they share more than one. 3. The ring
        of segments of the sets' bit vectors must hold a start from which all chains stay within their share of the distance; what is left is held
        against longer vectors. 4. The full distance is computed on the shingles. Nothing is capped and no step loses a pair.
+    Above ROUND shingles, 1. goes by rounds, one for each band of the smaller set's size, so that meetings are counted and gone before the next.
     """
     spark = sets.sparkSession
     size = sets.agg(F.sum("n")).first()[0] or 0
     frequency = spark.sparkContext.broadcast(shingle_frequencies(sets, size))  # 4 to 64 MB by construction
-    ranges = max(2 * spark.sparkContext.defaultParallelism, int(size * (1 - similarity) * RECORD.itemsize / 12e6) + 1)
-    records = sets.select("set", "n", "shingles").mapInPandas(_prefixes(similarity, frequency, ranges), "range long, records binary")
-    met = stage(records.repartition(ranges, "range").mapInPandas(_candidates(similarity), "a long, b long, n int, k int"), "candidates")
-    enough = met.where("k > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.sum("k").alias("k")).where(F.col("k") >= least_shared_of(F.col("n")))
-    pairs = enough.select("a", "b")
-    crowded = met.where("k = 0").select(F.col("a").alias("set"), F.col("b").alias("key"))
+    bands = size_bands(sets, size, similarity)
+    pairs, crowded, done = None, None, []
+    for low, end, most, held in bands:
+        ranges = max(2 * spark.sparkContext.defaultParallelism, int(held * (1 - similarity) * RECORD.itemsize / 12e6) + 1)
+        some = sets if len(bands) == 1 else sets.where(F.col("n").between(low, most))
+        records = some.select("set", "n", "shingles").mapInPandas(_prefixes(similarity, frequency, ranges), "range long, records binary")
+        met = stage(records.repartition(ranges, "range").mapInPandas(_candidates(similarity, end), "a long, b long, n int, k int"), "candidates")
+        enough = met.where("k > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.sum("k").alias("k")).where(F.col("k") >= least_shared_of(F.col("n"))).select("a", "b")
+        told = met.where("k = 0").select(F.col("a").alias("set"), F.col("b").alias("key"))
+        if len(bands) > 1:
+            enough, told = stage(enough, "enough"), stage(told, "crowded")
+            unstage(met)
+            done += [enough, told]
+        else:
+            done.append(met)
+        pairs, crowded = (enough, told) if pairs is None else (pairs.unionByName(enough), crowded.unionByName(told))
+    crowded = crowded.distinct() if len(bands) > 1 else crowded  # a set comes up in several rounds
     if not crowded.isEmpty():
         unique = sets.join(crowded.select("set").distinct(), "set", "left_semi").dropDuplicates(["set"]).select("set", "n", "shingles")
         again = stage(crowded.join(unique, "set").mapInPandas(_second_keys(similarity, frequency), "key long, set long").distinct(), "second-keys")
@@ -385,7 +417,7 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     near = stage(held.join(side("a"), "a").join(side("b"), "b").mapInPandas(_near(similarity), "a long, b long"), "near")
     j = near.join(texts.select(F.col("set").alias("a"), F.col("shingles").alias("sa")), "a").join(texts.select(F.col("set").alias("b"), F.col("shingles").alias("sb")), "b")
     out = stage(j.select("a", "b", "sa", "sb").mapInPandas(_verify(similarity), "a long, b long"), "similar")
-    unstage(met, held, involved, texts, near)
+    unstage(*done, held, involved, texts, near)
     return out
 
 

@@ -495,3 +495,25 @@ def test_longest_match_of_two_texts():
         runs = lambda t, n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
         want = max((n for n in range(3, len(a) + 1) if runs(a, n) & runs(b, n)), default=0)
         assert split_overlap.longest_match(np.array(a, np.uint64), np.array(b, np.uint64), 3) == want
+
+
+@pytest.mark.parametrize("group", [256, 3])
+def test_near_duplicates_in_rounds_equal_one_round(spark, monkeypatch, group):
+    rng = random.Random(12)
+    rows = []
+    for i in range(160):
+        w = [rng.choice("abcdefghijkl") + rng.choice("mnop") for _ in range(rng.randrange(4, 90))] if i % 3 == 0 else list(w)
+        if i % 3 and len(w) > 8:
+            w[rng.randrange(len(w))] = "changed"
+            w += ["more"] * rng.randrange(3)
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "rec_no long, body string")
+    monkeypatch.setattr(near_duplicates, "GROUP", group)
+    seen, kept = [], near_duplicates.stage
+    monkeypatch.setattr(near_duplicates, "stage", lambda d, name="t": (seen.append(name), kept(d, name))[1])
+    got = lambda: {(r.rec_no, r.group, r.links) for r in near_duplicates.near_duplicate_groups(df, similarity=0.6, words=3).collect()}
+    once = got()
+    assert seen.count("candidates") == 1
+    seen.clear()
+    monkeypatch.setattr(near_duplicates, "ROUND", 1200)
+    assert got() == once and len(once) > 60 and seen.count("candidates") > 2
