@@ -12,6 +12,7 @@ from corpusmill.operators import judgments as J
 from corpusmill.plans.pairing import FX, facets
 from corpusmill.plans.registry import query
 from corpusmill.plans.retrieval import R6, RUNS
+from corpusmill.runtime import stage
 from corpusmill.sources.tables import table
 
 COLS = ("sub", "cls", "form", "cat", "aud", "reg", "topics")
@@ -122,9 +123,10 @@ c as (select instruction, query, count(*) filter (where anchor and not violates)
 r as (select m.*, row_number() over (partition by m.instruction, m.query order by runs.rank) as rank from m join runs on runs.query = m.query and runs.doc = m.doc) {select}"""
 
 
-def _instructions(spark, d):
+def _instructions(spark, d, rankings: bool = True):
     """For each instruction (queries with n_rel and chance, rankings with anchor and violates), from counts by facet."""
     fx, queries, j = _sides(spark, d, corpus_only=True)
+    fx, queries, j = stage(fx, "facets"), stage(queries, "queries"), stage(j, "rankings") if rankings else j  # each instruction reads them, and plans of all would fill the driver
     size = F.broadcast(fx.agg(F.count("*").alias("size")))  # one row
     out = []
     for name, (a, c) in J.INSTRUCTIONS.items():
@@ -143,7 +145,7 @@ def _instructions(spark, d):
 @query(instruction_sql("select instruction, count(*) filter (where n_rel > 0) as n_queries, count(*) filter (where n_rel = 0) as n_empty, sum(n_rel)::bigint as relevant from c group by instruction"))
 def instruction_qrels(spark, d):
     """Queries with and without documents that satisfy an instruction, and the number of such documents."""
-    q, _ = _instructions(spark, d)
+    q, _ = _instructions(spark, d, rankings=False)
     return q.groupBy("instruction").agg(F.count_if(F.col("n_rel") > 0).alias("n_queries"), F.count_if(F.col("n_rel") == 0).alias("n_empty"), F.sum("n_rel").alias("relevant"))
 
 
