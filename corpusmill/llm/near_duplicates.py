@@ -26,6 +26,9 @@ HOT, CROWD = 50_000, 16
 ROUND, NO_END = 100_000_000, 1 << 31
 RECORD = np.dtype([("key", "<u8"), ("set", "<i8"), ("n", "<u4"), ("at", "<u4")])
 SKETCH = [f"k{i}" for i in range(SEGMENTS)]
+SETS = ", ".join(["row long", "set long", "high long", "n int", *(f"{c} long" for c in SKETCH), "shingles binary"])
+#: Where sets are of two sides, this bit of a set's number tells its side.
+SIDE = 1
 
 
 def odd_sketch(s: np.ndarray) -> np.ndarray:
@@ -34,7 +37,9 @@ def odd_sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view("<i8")
 
 
-def _sets(k: int):
+def sets_of_texts(k: int):
+    """Rows (row, text) to their shingle sets, by a 128-bit number, with bit vectors; texts without words are left out."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
         for pdf in batches:
@@ -159,8 +164,8 @@ def _viable(n_a, at_a, n_b, at_b, similarity: float) -> np.ndarray:
     return (lo >= similarity * hi - 1e-9) & (n_a - at_a >= need) & (n_b - at_b >= need)
 
 
-def _candidates(similarity: float, end: int):
-    """Pairs of sets that share a record's key, and how often, the smaller set of fewer than `end` shingles. A range's records are sorted once; equal offsets within runs of a key are compared as arrays."""
+def _candidates(similarity: float, end: int, across: bool = False):
+    """Pairs of sets that share a record's key, and how often, the smaller set of fewer than `end` shingles; `across`: only those of opposite sides. A range's records are sorted once; equal offsets within runs of a key are compared as arrays."""
 
     def count(seen: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         order = np.lexsort((seen[:, 1], seen[:, 0]))
@@ -192,6 +197,8 @@ def _candidates(similarity: float, end: int):
                 base = np.repeat(s, k) + (np.arange(k.sum()) - np.repeat(np.cumsum(k) - k, k))
                 x, y = r[base], r[base + d]
                 ok = _viable(x["n"].astype(np.int64), x["at"], y["n"].astype(np.int64), y["at"], similarity) & (np.minimum(x["n"], y["n"]) < end)
+                if across:
+                    ok &= (x["set"] ^ y["set"]) & SIDE == SIDE
                 if ok.any():
                     a, b = x["set"][ok], y["set"][ok]
                     smaller = np.minimum(x["n"][ok], y["n"][ok]).astype(np.int64)
@@ -361,19 +368,8 @@ def _verify(similarity: float):
     return run
 
 
-def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (a, b) of different sets, by `set`, whose Jaccard similarity is at least `similarity`; sets(set, n, k0..k7, shingles), repeats allowed.
-
-    Jaccard similarity t means that the indicator vectors' Hamming distance is at most (1 - t) / (1 + t) * (|A| + |B|).
-    1. Each set's shingles are ordered rarest first, by counters filled from all texts, and the first n - ceil(t n) + 1 are sent
-       by range of the shingle to tasks that pair sets with a shingle in common. Any two similar sets meet there; frequent
-       shingles come last in the order and are hardly ever sent. Prefixes are longer by a few shingles, and a pair must share as many
-       more, which leaves few chance meetings. 2. Groups of more than GROUP sets at a shingle are not paired:
-       their sets are sent again by two shingles, which similar sets share too if they share more than one. 3. The ring
-       of segments of the sets' bit vectors must hold a start from which all chains stay within their share of the distance; what is left is held
-       against longer vectors. 4. The full distance is computed on the shingles. Nothing is capped and no step loses a pair.
-    Above ROUND shingles, 1. goes by rounds, one for each band of the smaller set's size, so that meetings are counted and gone before the next.
-    """
+def close_sets(sets: DataFrame, similarity: float, across: bool = False) -> DataFrame:
+    """Pairs (a, b) of different sets, by `set`, that steps 1 to 3 of similar_sets() leave; `across`: only those whose numbers differ in the bit SIDE."""
     spark = sets.sparkSession
     size = sets.agg(F.sum("n")).first()[0] or 0
     frequency = spark.sparkContext.broadcast(shingle_frequencies(sets, size))  # 4 to 64 MB by construction
@@ -383,7 +379,7 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
         ranges = max(2 * spark.sparkContext.defaultParallelism, int(held * (1 - similarity) * RECORD.itemsize / 12e6) + 1)
         some = sets if len(bands) == 1 else sets.where(F.col("n").between(low, most))
         records = some.select("set", "n", "shingles").mapInPandas(_prefixes(similarity, frequency, ranges), "range long, records binary")
-        met = stage(records.repartition(ranges, "range").mapInPandas(_candidates(similarity, end), "a long, b long, n int, k int"), "candidates")
+        met = stage(records.repartition(ranges, "range").mapInPandas(_candidates(similarity, end, across), "a long, b long, n int, k int"), "candidates")
         enough = met.where("k > 0").groupBy("a", "b").agg(F.first("n").alias("n"), F.sum("k").alias("k")).where(F.col("k") >= least_shared_of(F.col("n"))).select("a", "b")
         told = met.where("k = 0").select(F.col("a").alias("set"), F.col("b").alias("key"))
         if len(bands) > 1:
@@ -403,6 +399,8 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
         tiny = crowded.join(unique.where(F.col("n") <= F.lit(int(1 / similarity + 1e-9))).select("set", "n"), "set")
         small = pairs_within(tiny, ["key"], "set", block=GROUP, keep=["n"])
         pairs = pairs.unionByName(within.select("a", "b")).unionByName(small.select("a", "b"))
+    if across:  # crowded groups pair all their sets
+        pairs = pairs.where(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(SIDE)) == SIDE)
     pairs = pairs.distinct()
     heads = sets.groupBy("set").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in SKETCH])
     of = lambda x: heads.select(F.col("set").alias(x), F.col("n").alias(f"n{x}"), *[F.col(c).alias(f"{x}{c}") for c in SKETCH])
@@ -410,6 +408,23 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     budget = F.floor(F.lit((1 - similarity) / (1 + similarity)) * (F.col("na") + F.col("nb")) + F.lit(1e-9))
     d = [F.bit_count(F.col(f"a{c}").bitwiseXOR(F.col(f"b{c}"))) for c in SKETCH]
     held = stage(both.where(ring_filter(budget, d)).select("a", "b"), "ring")
+    unstage(*done)
+    return held
+
+def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of different sets, by `set`, whose Jaccard similarity is at least `similarity`; sets(set, n, k0..k7, shingles), repeats allowed.
+
+    Jaccard similarity t means that the indicator vectors' Hamming distance is at most (1 - t) / (1 + t) * (|A| + |B|).
+    1. Each set's shingles are ordered rarest first, by counters filled from all texts, and the first n - ceil(t n) + 1 are sent
+       by range of the shingle to tasks that pair sets with a shingle in common. Any two similar sets meet there; frequent
+       shingles come last in the order and are hardly ever sent. Prefixes are longer by a few shingles, and a pair must share as many
+       more, which leaves few chance meetings. 2. Groups of more than GROUP sets at a shingle are not paired:
+       their sets are sent again by two shingles, which similar sets share too if they share more than one. 3. The ring
+       of segments of the sets' bit vectors must hold a start from which all chains stay within their share of the distance; what is left is held
+       against longer vectors. 4. The full distance is computed on the shingles. Nothing is capped and no step loses a pair.
+    Above ROUND shingles, 1. goes by rounds, one for each band of the smaller set's size, so that meetings are counted and gone before the next.
+    """
+    held = close_sets(sets, similarity)
     involved = stage(held.select(F.explode(F.array("a", "b")).alias("set")).distinct(), "involved")
     texts = stage(only_involved(sets.select("set", "n", "shingles"), involved).join(involved, "set", "left_semi").dropDuplicates(["set"]), "texts")
     fine = texts.mapInPandas(_fine_sketch, "set long, n int, fine binary")
@@ -417,7 +432,7 @@ def similar_sets(sets: DataFrame, similarity: float) -> DataFrame:
     near = stage(held.join(side("a"), "a").join(side("b"), "b").mapInPandas(_near(similarity), "a long, b long"), "near")
     j = near.join(texts.select(F.col("set").alias("a"), F.col("shingles").alias("sa")), "a").join(texts.select(F.col("set").alias("b"), F.col("shingles").alias("sb")), "b")
     out = stage(j.select("a", "b", "sa", "sb").mapInPandas(_verify(similarity), "a long, b long"), "similar")
-    unstage(*done, held, involved, texts, near)
+    unstage(held, involved, texts, near)
     return out
 
 
@@ -444,8 +459,7 @@ def near_duplicate_groups(df: DataFrame, row: str = "rec_no", text: str = "body"
     set and are never compared with each other. group is its least row; sets are told apart by 128 bits.
     """
     src = df.where(F.col(text).isNotNull()).select(F.col(row).cast("long").alias("row"), F.col(text).alias("text"))
-    schema = ", ".join(["row long", "set long", "high long", "n int", *(f"{c} long" for c in SKETCH), "shingles binary"])
-    sets = apart(stage(spread(src).mapInPandas(_sets(words), schema), "sets"))
+    sets = apart(stage(spread(src).mapInPandas(sets_of_texts(words), SETS), "sets"))
     pairs = similar_sets(sets, similarity)
     comp = connected_components(pairs, "a", "b")
     links = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("links"))

@@ -14,13 +14,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusmill.llm.near_duplicates import SETS, SIDE, apart, close_sets, sets_of_texts
 from corpusmill.llm.shingles import WordIds, distinct, least_overlap, shingle_batch, shingles_at, token_batch
-from corpusmill.runtime import new_path, stage
+from corpusmill.runtime import new_path, stage, unstage
 
 SHARD_WORDS = 4_000_000
 SKETCH_BITS = 1024
-#: Words of a stretch that is searched by itself; matches that pass its end are cut there and merged again. Shards that a task keeps open.
-STRETCH, OPEN_SHARDS = 512, 2
+#: Words of a stretch that is searched by itself; matches that pass its end are cut there and merged again. Tasks over which the training texts of a shard are spread.
+STRETCH, SPREAD = 512, 16
 
 
 def _write(path: str, name: str, arrays: dict[str, np.ndarray]) -> None:
@@ -261,19 +262,8 @@ def cut_shards(texts: DataFrame) -> tuple[DataFrame, int]:
     return texts.withColumn("step", step).join(F.broadcast(plan), "step").select("key", "text", spot.alias("shard")), n  # a row for each class
 
 
-def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: float):
-    """Streams training texts through the shards whose texts can be similar by size."""
-
-    def prepare(tokens, offsets):
-        """What all shards need of a batch: its different words and each word's place among them, its different runs of k words, and (text, run), each once, in order of texts."""
-        words, spelt = np.unique(tokens, return_inverse=True)
-        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
-        at = np.arange(len(tokens))
-        at = at[at + k <= offsets[owner + 1]]
-        _, first, run = np.unique(shingles_at(tokens, k)[at] if len(at) else np.empty(0, np.uint64), return_index=True, return_inverse=True)
-        runs = np.stack([spelt[at[first] + j] for j in range(k)], 1) if len(at) else np.empty((0, k), np.int64)
-        once = distinct(owner[at].astype(np.int64) * max(len(first), 1) + run)
-        return words, spelt, runs, once // max(len(first), 1), once % max(len(first), 1)
+def _compare(path: str, k: int, similarity: float):
+    """Rows (shard, train_key, text, eval_keys), shards together: a training text beside the candidates that it has among a shard's texts."""
 
     def matches(ix: WordIndex, symbols, offsets, docs) -> tuple[np.ndarray, ...]:
         """(text, begin, end, lo, hi): the maximal matches of the texts `docs`, in stretches of STRETCH words; runs over a cut belong to the later stretch."""
@@ -285,61 +275,32 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
         which, b, e, lo, hi = ix.maximal(symbols, begin, end, k)
         return text[which], b, e, lo, hi
 
-    def one(ix: WordIndex, sets_of: dict, batch, tokens, offsets, sets, sketches, fits) -> list[tuple[int, ...]]:
-        """(training text, indexed text, shared shingles, union, longest match, matched words) of similar pairs, for the texts of a batch that `fits` marks."""
-        words, spelt, runs, own, run = batch
-        mine = fits[own]
-        own, run = own[mine], run[mine]
-        needed = np.zeros(len(runs), bool)
-        needed[run] = True
-        symbol = ix.symbols(words)
-        symbols = symbol[runs[needed]]
-        known = (symbols > 0).all(1)
-        spot = np.flatnonzero(needed)[known]
-        lo, hi = np.zeros(len(runs), np.int64), np.zeros(len(runs), np.int64)
-        if len(spot):
-            lo[spot], hi[spot] = ix.search(symbols[known])
-        there = hi[run] > lo[run]
-        n = np.array([len(s) for s in sets])
-        present = np.bincount(own[there], minlength=len(sets))
-        enough = present >= np.ceil(similarity * n - 1e-9)
-        # the prefix of the rarest shingles: those that no indexed text has come first, for nothing
-        quota = n - np.ceil(similarity * n - 1e-9) + 1 - (n - present)
-        keep = there & enough[own]
-        own, run = own[keep], run[keep]
-        count = (hi - lo)[run]
-        order = np.lexsort((run, count, own))
-        own, run, count = own[order], run[order], count[order]
-        begin = np.searchsorted(own, own)
-        rank = np.arange(len(own)) - begin
-        rare = rank < quota[own]
-        by, rank, c, run = own[rare], rank[rare], count[rare], run[rare]
-        if not len(by):
-            return []
-        spot = np.repeat(lo[run], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
-        a, b = np.repeat(by, c).astype(np.int64), np.asarray(ix.doc)[spot].astype(np.int64)
-        # so many of the text's shingles come before this one in the order, absent ones among them: the rest must still be enough
-        before = np.repeat(rank + (n - present)[by], c)
-        nb = np.asarray(ix.size)[b]
-        need = least_overlap(n[a], nb, similarity)
-        may = (np.minimum(n[a], nb) >= similarity * np.maximum(n[a], nb) - 1e-9) & (n[a] - before >= need)
-        pair = distinct(a[may] << np.int64(32) | b[may])
-        a, b = pair >> 32, pair & 0xFFFFFFFF
-        theirs = np.asarray(ix.sketch)
-        far = np.concatenate([np.bitwise_count(sketches[a[i : i + 65536]] ^ theirs[b[i : i + 65536]]).sum(1, dtype=np.int64) for i in range(0, len(a), 65536)]) if len(a) else np.empty(0, np.int64)
+    def similar(ix: WordIndex, sets_of: dict, texts: pd.Series, ids: WordIds, a: np.ndarray, b: np.ndarray) -> list[tuple[int, ...]]:
+        """(training text, indexed text, shared shingles, union, longest match, matched words) of the similar ones among the pairs (a, b)."""
+        tokens, offsets = token_batch(texts, ids)
+        sets = shingle_batch(tokens, offsets, k)
+        n, width = np.array([len(s) for s in sets]), np.diff(offsets)
+        out = []
+        short = width[a] < k  # texts shorter than a shingle are similar to equal ones only
+        for d, y in zip(a[short].tolist(), b[short].tolist(), strict=True):
+            if np.array_equal(ix.words_of(y), tokens[offsets[d] : offsets[d + 1]]):
+                out.append((d, y, 1, 1, int(width[d]), int(width[d])))
+        a, b = a[~short], b[~short]
+        theirs, mine = np.asarray(ix.sketch), sketch(sets)
+        far = np.concatenate([np.empty(0, np.int64), *(np.bitwise_count(mine[a[i : i + 65536]] ^ theirs[b[i : i + 65536]]).sum(1, dtype=np.int64) for i in range(0, len(a), 65536))])
         near = far <= np.floor((1 - similarity) / (1 + similarity) * (n[a] + np.asarray(ix.size)[b]) + 1e-9)
         a, b = a[near], b[near]
         if not len(a):
-            return []
+            return out
         # maximal matches of the texts that are left; overlapping ones merge to spans, and a text whose spans hold too few of its shingles is no match of anything
-        text, begin, end, lo, hi = matches(ix, symbol[spelt], offsets, distinct(a))
+        words, spelt = np.unique(tokens, return_inverse=True)
+        text, begin, end, lo, hi = matches(ix, ix.symbols(words)[spelt], offsets, distinct(a))
         edge = np.zeros(len(tokens) + 1, np.int64)
         np.add.at(edge, begin, 1)
         np.add.at(edge, end, -1)
         covered = np.concatenate([[0], np.cumsum(np.cumsum(edge)[:-1] > 0)])
         span = covered[offsets[a + 1]] - covered[offsets[a]]
         enough = span >= least_overlap(n[a], np.asarray(ix.size)[b], similarity)
-        out = []
         for d, y in zip(a[enough].tolist(), b[enough].tolist(), strict=True):
             other = sets_of.get(y)
             if other is None:
@@ -353,40 +314,19 @@ def _probe(path: str, shards: list[tuple[str, int, int]], k: int, similarity: fl
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids = WordIds()
-        open_: dict[str, tuple[WordIndex, dict]] = {}
-        tiny_of: dict[str, dict[bytes, list[int]]] = {}
+        name, ix, sets_of, order = None, None, {}, None
         for pdf in batches:
-            tokens, offsets = token_batch(pdf["text"], ids)
-            sets = shingle_batch(tokens, offsets, k)
-            n = np.array([len(s) for s in sets])
-            width = np.diff(offsets)
-            sketches = sketch(sets)
-            keys = pdf["key"].to_numpy()
             rows = []
-            batch = prepare(tokens, offsets)
-            for name, least, most in shards:
-                docs = (n >= similarity * least - 1e-9) & (n * similarity <= most + 1e-9) & (width >= k)
-                short = np.flatnonzero((width > 0) & (width < k) & (n >= similarity * least - 1e-9) & (n * similarity <= most + 1e-9)).tolist()
-                if not docs.any() and not short:
-                    continue
-                if name not in open_:
-                    while len(open_) >= OPEN_SHARDS:
-                        open_.pop(next(iter(open_)))
-                    open_[name] = WordIndex(lambda x, name=name: _read(path, name, x)), {}
-                ix, sets_of = open_[name]
+            for shard, part in pdf.groupby("shard"):
+                if shard != name:
+                    name, ix, sets_of = shard, WordIndex(lambda x, shard=shard: _read(path, str(shard), x)), {}
+                    order = np.argsort(ix.key)
                 if len(sets_of) > 100_000:
                     sets_of.clear()
-                for d, y, *rest in one(ix, sets_of, batch, tokens, offsets, sets, sketches, docs) if docs.any() else []:
-                    rows.append((keys[d], int(ix.key[y]), *rest))
-                if short:  # texts shorter than a shingle are similar to equal ones only
-                    if name not in tiny_of:  # equal words may stand in several raw texts, each with a key of its own
-                        starts, ends = np.asarray(ix.start[:-1]), np.asarray(ix.start[1:]) - 1
-                        tiny_of[name] = {}
-                        for y in np.flatnonzero(ends - starts < k):
-                            tiny_of[name].setdefault(ix.words_of(int(y)).tobytes(), []).append(int(ix.key[y]))
-                    tiny = tiny_of[name]
-                    for d in short:
-                        rows += [(keys[d], y, 1, 1, int(width[d]), int(width[d])) for y in tiny.get(tokens[offsets[d] : offsets[d + 1]].tobytes(), ())]
+                keys = part["train_key"].to_numpy()
+                a = np.repeat(np.arange(len(part)), part["eval_keys"].map(len))
+                b = order[np.searchsorted(ix.key, np.concatenate(part["eval_keys"].to_list()), sorter=order)]
+                rows += [(keys[d], int(ix.key[y]), *rest) for d, y, *rest in similar(ix, sets_of, part["text"], ids, a, b)]
             yield pd.DataFrame(rows, columns=["train_key", "eval_key", "shared", "total", "longest", "matched"])
 
     return run
@@ -398,25 +338,39 @@ def split_overlap(df: DataFrame, row: str = "rec_no", text: str = "text", split:
     similarity = shared / total in shingles; longest and matched: words of the longest match, and within all matches, merged to spans.
 
     Similar: Jaccard similarity of the sets of `words`-word shingles at least `similarity` (a text of fewer words is one
-    shingle). Distinct evaluation texts, in order of length, become shards of a word-level FM-index, about SHARD_WORDS words each
-    however long the texts, in the shared folder. Distinct training texts stream through the shards of fitting lengths: backward
-    search counts every shingle's occurrences; a text with less than the needed share of shingles present is dropped, of the others the
-    rarest shingles are located. For texts with a candidate left after the bit vectors, backward search goes on word by word to the maximal
-    matches, which merge to spans; pairs whose spans could hold enough shingles are compared in full. Nothing is capped. Copies are
+    shingle). Distinct texts of both sides meet at their rarest shingles, by range of the shingle, and only with the other side
+    (close_sets), so work does not grow with the product of the sides. Evaluation texts that have a candidate, in order of length, become shards of a
+    word-level FM-index, about SHARD_WORDS words each however long the texts, in the shared folder; a training text goes to the
+    shards of its candidates alone. There backward search goes on word by word to the maximal matches, which merge to spans;
+    pairs whose spans could hold enough shingles are compared in full. Nothing is capped. Copies are
     searched once and joined back at the end. Null texts, texts without words and other splits take no part; empty sides give no rows.
     """
     spark = df.sparkSession
     src = df.where(F.col(text).isNotNull() & F.col(split).isin(train, *evals))
     src = src.select(F.col(row).cast("long").alias("row"), F.col(split).alias("split"), F.col(text).alias("text"), F.xxhash64(text).alias("h"), F.xxhash64(F.lit("second"), text).alias("g"))
-    side = (F.col("split") == train).alias("trains")
+    of_side = lambda trains: F.col("split") == train if trains else F.col("split") != train
     # a text is told by 128 bits and named by the least row that has it on its side
-    texts = lambda trains: src.where(F.col("split") == train if trains else F.col("split") != train).groupBy("h", "g").agg(F.min("row").alias("key"), F.first("text").alias("text")).select("key", "text")
+    texts = lambda trains: src.where(of_side(trains)).groupBy("h", "g").agg(F.min("row").alias("row"), F.first("text").alias("text")).select("row", "text")
+    made = lambda trains: texts(trains).mapInPandas(sets_of_texts(words), SETS).withColumn("trains", F.lit(trains))
+    marked = F.col("set").bitwiseAND(F.lit(~SIDE)).bitwiseOR(F.col("trains").cast("long") * SIDE)
+    raw = stage(made(True).unionByName(made(False)).withColumn("set", marked), "overlap-sets")
+    told = apart(raw)
+    sets = told.withColumn("set", marked)  # where a number was changed its side was too
+    met = close_sets(sets, similarity, across=True)
+    first = F.col("a").bitwiseAND(F.lit(SIDE)) == SIDE
+    met_by_side = met.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("train_set"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("eval_set"))
+    keys = lambda trains, c: sets.where(F.col("trains") == trains).select(F.col("set").alias(f"{c}_set"), F.col("row").alias(f"{c}_key"))
+    pairs = stage(met_by_side.join(keys(True, "train"), "train_set").join(keys(False, "eval"), "eval_set").select("train_key", "eval_key"), "overlap-candidates")
+    unstage(raw, told, met)
+    involved = lambda trains, c: src.where(of_side(trains)).select(F.col("row").alias(c), "text").join(pairs.select(c).distinct(), c, "left_semi")
     path = new_path(spark, "index")
-    sized, parts = cut_shards(texts(False))
-    shards = sized.repartition(parts, "shard").groupBy("shard").applyInPandas(_build(path, words), "shard string, least long, most long, texts long, words long").collect()  # a row for each shard
-    plan = [(r["shard"], r["least"], r["most"]) for r in shards]
-    found = stage(texts(True).mapInPandas(_probe(path, plan, words, similarity), "train_key long, eval_key long, shared long, total long, longest long, matched long"), "overlaps")
-    rows = src.select("row", "split", side, "h", "g")
+    sized, parts = cut_shards(stage(involved(False, "eval_key").withColumnRenamed("eval_key", "key"), "overlap-texts"))
+    sized.repartition(parts, "shard").groupBy("shard").applyInPandas(_build(path, words), "shard string, least long, most long, texts long, words long").collect()  # a row for each shard
+    routed = pairs.join(sized.select(F.col("key").alias("eval_key"), "shard"), "eval_key").groupBy("shard", "train_key").agg(F.collect_list("eval_key").alias("eval_keys"))  # of one shard
+    routed = routed.join(involved(True, "train_key"), "train_key").select("shard", "train_key", "text", "eval_keys")
+    routed = routed.repartition("shard", F.pmod(F.xxhash64("train_key"), F.lit(SPREAD))).sortWithinPartitions("shard")
+    found = stage(routed.mapInPandas(_compare(path, words, similarity), "train_key long, eval_key long, shared long, total long, longest long, matched long"), "overlaps")
+    rows = src.select("row", "split", (F.col("split") == train).alias("trains"), "h", "g")
     named = stage(rows.join(rows.groupBy("trains", "h", "g").agg(F.min("row").alias("key")), ["trains", "h", "g"]).select("trains", "row", "split", "key"), "overlap-rows")
     left = named.where("trains").select(F.col("key").alias("train_key"), F.col("row").alias("train_row"))
     right = named.where("not trains").select(F.col("key").alias("eval_key"), F.col("row").alias("eval_row"), F.col("split").alias("eval_split"))

@@ -103,6 +103,20 @@ def test_split_overlap_pairs_all_raw_variants_of_short_texts(spark):
     assert got == {(t, e, 1, 1, 2) for t in (1, 2) for e in (3, 4, 5, 7)}
 
 
+def test_split_overlap_indexes_and_probes_only_what_met(spark, monkeypatch):
+    """Texts of one side only, and evaluation texts that no training text meets, cost no search."""
+    rng = random.Random(8)
+    text = lambda: " ".join(f"w{rng.randrange(5000)}" for _ in range(40))
+    shared, twins = text(), text()
+    rows = [(i, "train" if i % 2 else "dev", text()) for i in range(120)] + [(200, "train", shared), (201, "test", shared + " end"), (202, "train", twins), (203, "train", twins + " end")]
+    seen, kept = {}, split_overlap.stage
+    monkeypatch.setattr(split_overlap, "stage", lambda df, name: (out := kept(df, name), seen.update({name: out.count()}))[0])
+    monkeypatch.setattr(split_overlap, "SHARD_WORDS", 60)
+    got = split_overlap.split_overlap(spark.createDataFrame(rows, "rec_no long, split string, text string"), similarity=0.6, words=3).collect()
+    assert [(r.train_row, r.eval_row, r.shared, r.total) for r in got] == [(200, 201, 38, 39)]
+    assert (seen["overlap-candidates"], seen["overlap-texts"]) == (1, 1)
+
+
 def test_split_overlap_empty(spark):
     assert split_overlap.split_overlap(spark.createDataFrame([], "rec_no long, split string, text string")).count() == 0
 
