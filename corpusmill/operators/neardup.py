@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from hashlib import md5
 
 import numpy as np
 import pandas as pd
@@ -14,6 +13,11 @@ from corpusmill.functions.text import alpha_tokens
 from corpusmill.operators.blocks import pairs_within
 from corpusmill.runtime import spread, stage
 
+try:
+    from _md5 import md5  # the same, for short strings in half the time
+except ImportError:
+    from hashlib import md5
+
 #: A prime, words of a shingle, permutations, bands, and how similar is too similar.
 PRIME, SHINGLE, PERMUTATIONS, BANDS, THRESHOLD = (1 << 31) - 1, 5, 128, 32, 0.9
 
@@ -27,12 +31,13 @@ def shingle_hashes(words: list[str], k: int = SHINGLE) -> np.ndarray:
     """The different k-word shingles of a text as numbers below the prime; all of it where it has fewer words, none for none."""
     if not len(words):
         return np.empty(0, np.int64)
-    runs = {" ".join(words[i : i + k]) for i in range(max(1, len(words) - k + 1))}
-    return np.unique(np.fromiter((int(md5(s.encode()).hexdigest()[:15], 16) % PRIME for s in runs), np.int64, len(runs)))
+    runs = set(map(" ".join, zip(*[words[i:] for i in range(k)], strict=False))) if len(words) >= k else {" ".join(words)}
+    digests = np.frombuffer(b"".join([md5(s.encode()).digest() for s in runs]), ">u8")[::2]  # 15 hexadecimal digits are 60 bits
+    return np.unique((digests.astype(np.uint64) >> np.uint64(4)).astype(np.int64) % PRIME)
 
 
-def signatures(docs: DataFrame, doc: str, text: str) -> DataFrame:
-    """(doc, signature, shingles): the least value of each of PERMUTATIONS universal hashes over the shingles; PRIME - 1 throughout for a text without words."""
+def signatures(docs: DataFrame, doc: str, text: str, shingles: bool = True) -> DataFrame:
+    """(doc, signature, shingles): the least value of each of PERMUTATIONS universal hashes over the shingles; PRIME - 1 throughout for a text without words. The shingles are left out where they are not wanted."""
     a, b = coefficients()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -45,10 +50,11 @@ def signatures(docs: DataFrame, doc: str, text: str) -> DataFrame:
                     least = np.minimum(least, ((h[at : at + 4096, None] * a + b) % PRIME).min(0))
                 sig.append(least)
                 sets.append(h)
-            yield pd.DataFrame({"doc": pdf["doc"], "signature": sig, "shingles": sets})
+            out = pd.DataFrame({"doc": pdf["doc"], "signature": sig})
+            yield out.assign(shingles=sets) if shingles else out
 
     t = spread(docs.select(F.col(doc).cast("long").alias("doc"), F.col(text).alias("text"))).select("doc", alpha_tokens(F.col("text")).alias("ts"))
-    return t.mapInPandas(run, "doc long, signature array<long>, shingles array<long>")
+    return t.mapInPandas(run, "doc long, signature array<long>" + ", shingles array<long>" * shingles)
 
 
 def agreement(a, b):
@@ -57,12 +63,18 @@ def agreement(a, b):
 
 
 def band_keys(sig: DataFrame, bands: int = BANDS) -> DataFrame:
-    """(doc, band, key): a key for each band of a signature, equal where all its rows are."""
+    """(doc, key): a key of 64 bits for each band of a signature, equal where the band and all its rows are; share_band() tells those that are equal by chance."""
     if PERMUTATIONS % bands:
         raise ValueError("the number of bands must divide that of the permutations")
     r = PERMUTATIONS // bands
-    keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.md5(F.array_join(F.slice("signature", i * r + 1, r), ",")).alias("key")))
-    return sig.select("doc", F.explode(keys).alias("x")).select("doc", "x.band", "x.key")
+    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("signature")[i * r + j] for j in range(r)]) for i in range(bands)])
+    return sig.select("doc", F.explode(keys).alias("key"))
+
+
+def share_band(a, b, bands: int = BANDS):
+    """Whether two signatures agree in all rows of a band."""
+    r = PERMUTATIONS // bands
+    return F.exists(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.slice(a, i * r + 1, r) == F.slice(b, i * r + 1, r))
 
 
 def similar_heads(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -71,9 +83,9 @@ def similar_heads(sig: DataFrame) -> tuple[DataFrame, DataFrame]:
     Documents of equal signatures meet only through their head, and a crowded band is split into blocks, so no band is joined with itself in one task.
     """
     heads = stage(sig.groupBy("signature").agg(F.min("doc").alias("doc")), "heads")
-    met = pairs_within(band_keys(heads), ["band", "key"], "doc").select("a", "b").distinct()
+    met = pairs_within(band_keys(heads), ["key"], "doc").select("a", "b").distinct()
     side = lambda c: heads.select(F.col("doc").alias(c), F.col("signature").alias(f"s{c}"))
-    return heads, stage(met.join(side("a"), "a").join(side("b"), "b").select("a", "b", agreement("sa", "sb").alias("similarity")), "near")
+    return heads, stage(met.join(side("a"), "a").join(side("b"), "b").where(share_band("sa", "sb")).select("a", "b", agreement("sa", "sb").alias("similarity")), "near")
 
 
 def verdicts(sig: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

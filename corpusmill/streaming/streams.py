@@ -71,21 +71,21 @@ def near_duplicates(stream: DataFrame, doc: str, text: str, threshold: float = n
 
     def step(batch: DataFrame, no: int) -> None:
         mine = f"{path}/index/batch={no:09d}"
-        sig = neardup.signatures(batch.where(F.trim(text) != ""), doc, text).select("doc", "signature")
+        sig = neardup.signatures(batch.where(F.trim(text) != ""), doc, text, shingles=False).select("doc", F.col("signature").cast("array<int>").alias("signature"))  # below 2^31
         sig.write.mode("overwrite").parquet(mine)
         new = spark.read.parquet(mine)
-        inside = neardup.verdicts(new.withColumn("shingles", F.array().cast("array<long>")), threshold).select("doc", "matched", "similarity")
+        inside = neardup.verdicts(new, threshold).select("doc", "matched", "similarity")
         earlier = spark.read.parquet(f"{path}/index").where(F.col("batch") < no).drop("batch") if no else None
         best = inside
         if earlier is not None and not earlier.isEmpty():
             old = earlier.groupBy("signature").agg(F.min("doc").alias("doc"))
             keys = neardup.band_keys(new.dropDuplicates(["signature"])).withColumn("fresh", F.lit(True))
-            both = neardup.band_keys(old).join(keys.select("band", "key").distinct(), ["band", "key"], "left_semi").withColumn("fresh", F.lit(False))
+            both = neardup.band_keys(old).join(keys.select("key").distinct(), "key", "left_semi").withColumn("fresh", F.lit(False))
             tagged = keys.unionByName(both)
-            met = pairs_within(tagged.withColumn("m", F.concat_ws("|", "fresh", "doc")), ["band", "key"], "m", keep=["fresh", "doc"]).where("fresh_a <> fresh_b")
+            met = pairs_within(tagged.withColumn("m", F.concat_ws("|", "fresh", "doc")), ["key"], "m", keep=["fresh", "doc"]).where("fresh_a <> fresh_b")
             met = met.select(F.when(F.col("fresh_a"), F.col("doc_a")).otherwise(F.col("doc_b")).alias("head"), F.when(F.col("fresh_a"), F.col("doc_b")).otherwise(F.col("doc_a")).alias("earlier")).distinct()
             heads = new.dropDuplicates(["signature"]).select(F.col("doc").alias("head"), F.col("signature").alias("s"))
-            scored = met.join(heads, "head").join(old.select(F.col("doc").alias("earlier"), F.col("signature").alias("t")), "earlier").select("s", "earlier", neardup.agreement("s", "t").alias("similarity"))
+            scored = met.join(heads, "head").join(old.select(F.col("doc").alias("earlier"), F.col("signature").alias("t")), "earlier").where(neardup.share_band("s", "t")).select("s", "earlier", neardup.agreement("s", "t").alias("similarity"))
             across = new.join(scored, new["signature"] == scored["s"]).select("doc", F.col("earlier").alias("matched"), "similarity")
             every = inside.where("matched is not null").unionByName(across)
             top = every.groupBy("doc").agg(F.max(F.struct("similarity", (-F.col("matched")).alias("e"))).alias("m"))

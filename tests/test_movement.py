@@ -180,3 +180,17 @@ def test_documents_that_are_a_folder_stream_too(spark, tmp_path):
     docs = spark.createDataFrame([(i, " ".join(f"w{j}" for j in range(30))) for i in range(3)] + [(3, "other words"), (4, " ")], "doc_id long, text string")
     docs.repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
     assert {r.doc_id: (r.matched, r.similarity) for r in movement.stream_near_dups(spark, str(tmp_path)).collect()} == {0: (None, 0.0), 1: (0, 1.0), 2: (0, 1.0), 3: (None, 0.0)}
+
+
+def test_index_of_streamed_documents_is_small(spark, tmp_path, monkeypatch):
+    """Band keys are numbers, and a key that two bands have by chance makes no match."""
+    docs = spark.createDataFrame([(i, " ".join(chr(97 + n // 26) + chr(97 + n % 26) for n in (j * i % 97 for j in range(40)))) for i in range(1, 9)], "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/in/documents.parquet")
+    one_key = lambda sig: sig.select("doc", F.lit(7).cast("long").alias("key"))
+    assert neardup.band_keys(neardup.signatures(docs, "doc_id", "text", shingles=False)).dtypes == [("doc", "bigint"), ("key", "bigint")]
+    monkeypatch.setattr(neardup, "band_keys", one_key)
+    paths = []
+    monkeypatch.setattr(streams, "new_path", lambda s, name: paths.append(f"{tmp_path}/{name}") or paths[-1])
+    got = {r.doc_id: (r.matched, r.similarity) for r in movement.stream_near_dups(spark, f"{tmp_path}/in").collect()}
+    assert got == {i: (None, 0.0) for i in range(1, 9)}
+    assert dict(spark.read.parquet(f"{paths[0]}/index").dtypes)["signature"] == "array<int>"
